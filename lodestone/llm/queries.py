@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import fresh_path
 from .substring_dedup import remove_repeated_passages
+from .token_binary import read_token_shards, write_token_shards
+
+#: The vocabulary and the end-of-document id of the production token files.
+VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +24,18 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    shards = write_token_shards(_table(spark, sf_dir, "documents"), fresh_path(spark, "tokens"), public_tokenizers.path(VOCABULARY), END_ID)
+    return read_token_shards(shards)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup}
+    return {
+        "op1_substring_dedup": op1_substring_dedup,
+        "op10_token_binary": op10_token_binary,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
