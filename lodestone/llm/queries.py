@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
+from .quality_rules import apply_quality_rules
 from .scratch import fresh_path
 from .substring_dedup import remove_repeated_passages
 from .token_binary import read_token_shards, write_token_shards
@@ -31,6 +32,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = apply_quality_rules(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "metrics.n_words", "metrics.word_chars", "metrics.n_symbols", "metrics.n_dup_lines", "metrics.n_repeat_words", "base_failed", "kept")
+
+
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op5_decontaminate": op5_decontaminate,
+        "op7_quality_rules": op7_quality_rules,
         "op10_token_binary": op10_token_binary,
     }
 
