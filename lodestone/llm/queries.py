@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import count_words, text_or_empty
+from .curriculum import first_position, plan_mix
 from .decontaminate import find_contamination
 from .quality_rules import apply_quality_rules
-from .scratch import fresh_path
+from .scratch import fresh_path, materialize
 from .substring_dedup import remove_repeated_passages
 from .token_binary import read_token_shards, write_token_shards
 
@@ -26,6 +28,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", count_words(text_or_empty("text")).alias("n_words"))
+    planned = plan_mix(materialize(docs, "sizes"), size_col="n_words").withColumn("position", first_position(F.col("mix")))
+    return planned.orderBy("position", "doc_id").select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "position")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("item_ids", ","), 256)
@@ -47,6 +55,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op3_curriculum_mix": op3_curriculum_mix,
         "op5_decontaminate": op5_decontaminate,
         "op7_quality_rules": op7_quality_rules,
         "op10_token_binary": op10_token_binary,
