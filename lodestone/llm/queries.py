@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .columns import count_words, text_or_empty
 from .curriculum import first_position, plan_mix
 from .decontaminate import find_contamination
+from .license_scan import scan_licenses
 from .ngram_join import similar_sets
 from .quality_rules import apply_quality_rules
 from .scratch import fresh_path, materialize
@@ -46,6 +47,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "metrics.n_words", "metrics.word_chars", "metrics.n_symbols", "metrics.n_dup_lines", "metrics.n_repeat_words", "base_failed", "kept")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licenses(_table(spark, sf_dir, "documents"))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels"), joined("labels"), "score")
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_curriculum_mix": op3_curriculum_mix,
         "op5_decontaminate": op5_decontaminate,
         "op7_quality_rules": op7_quality_rules,
+        "op8_license_scan": op8_license_scan,
         "op9_ngram_join": op9_ngram_join,
         "op10_token_binary": op10_token_binary,
     }
