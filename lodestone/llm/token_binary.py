@@ -39,33 +39,77 @@ MAGIC, END = b"LSTI", b"LSTX"
 _PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W_]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s")
 #: Characters whose classes Python and the tokenizer might see differently; texts with any go to the tokenizer whole.
 _ODD = re.compile(r"[^\x00-\x1b\x20-\u024f]")
-#: Distinct pieces that a worker keeps; past that it starts anew.
-_CACHE_ENTRIES = 600_000
+#: A space before white space or the end; without one the tokenizer cuts before every space.
+_LOOSE = re.compile(r" (?:\s|$)")
+#: Entries that a worker keeps of each kind; later ones are encoded each time.
+_CACHE_ENTRIES = 400_000
+
+
+class _Pieces(dict):
+    """Ids of the pieces of the split, as little-endian 32-bit bytes; frequent pieces come early and are kept."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        raw = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        shown = dict.fromkeys(raw)
+        # The published byte alphabet: printable bytes stand for themselves, the others for the code points from 256 on.
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in shown)}
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.lstrip(" ").isalpha():  # one piece for the tokenizer too: its model is asked directly
+            word = piece.encode().decode("latin-1").translate(self.alphabet)
+            ids = [t.id for t in self.tokenizer.model.tokenize(word)]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < _CACHE_ENTRIES // 4:
+            self[piece] = packed
+        return packed
+
+
+class _Words(dict):
+    """Ids of a space and the characters up to the next space; words of letters alone are kept."""
+
+    def __init__(self, pieces: _Pieces):
+        self.pieces, self.tokenize, self.alphabet = pieces, pieces.tokenizer.model.tokenize, pieces.alphabet
+        self.ends = {e: pieces[e] for e in ",.;:?!"}
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha():
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+            ids = [t.id for t in self.tokenize(self.alphabet[32] + shown)]
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self) < _CACHE_ENTRIES:
+                self[word] = packed
+            return packed
+        stem, end = word[:-1], self.ends.get(word[-1:])
+        if end is not None and stem.isalpha():
+            return self[stem] + end
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(" " + word)))
 
 
 class Encoder:
-    """Ids of whole texts, as little-endian 32-bit bytes; the ids of each distinct piece are kept for reuse."""
+    """Ids of whole texts, as little-endian 32-bit bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Pieces(self.tokenizer)
+        self.words = _Words(self.pieces)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) > _CACHE_ENTRIES:
-            self.pieces.clear()
-        cut = [[t] if _ODD.search(t) else _PIECE.findall(t) for t in texts]
-        new = list({x for c in cut for x in c} - self.pieces.keys())
-        for lo in range(0, len(new), 5000):
-            part = new[lo : lo + 5000]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.pieces[x] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
-        for c in cut:
-            if len(c) == 1 and len(c[0]) > 200:
-                self.pieces.pop(c[0], None)
+        out = []
+        for t in texts:
+            if _ODD.search(t):
+                ids = self.tokenizer.encode(t, add_special_tokens=False).ids
+                out.append(np.array(ids, "<u4").tobytes())
+            elif _LOOSE.search(t):
+                out.append(b"".join(map(self.pieces.__getitem__, _PIECE.findall(t))))
+            else:
+                head, *rest = t.split(" ")
+                out.append(b"".join([*map(self.pieces.__getitem__, _PIECE.findall(head)), *map(self.words.__getitem__, rest)]))
         return out
 
 
