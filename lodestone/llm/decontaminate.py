@@ -17,7 +17,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _KEEP = bytes(range(48, 58)) + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -138,6 +138,51 @@ def _blocks(items: list[tuple[object, list[bytes]]], most: int) -> Iterator[list
     yield block
 
 
+def _broadcast_automata(spark: SparkSession, benchmark: DataFrame, window: int, max_item_words: int, item_id_col: str, item_text_col: str) -> list:
+    rows = benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("null")), F.col(item_text_col)).distinct()
+    items = [(k, w) for k, w in sorted((r[0], item_words(r[1])) for r in rows.toLocalIterator()) if w]
+    return [spark.sparkContext.broadcast(SuffixAutomaton(block, window)) for block in _blocks(items, max_item_words)]
+
+
+def _scan(text: bytes, shared: list) -> tuple[int, list[list[int]], list[str]]:
+    """Number of words, merged hit spans and the items' ids, sorted as strings."""
+    words = text.translate(_FOLD).split()
+    spans: list[tuple[int, int]] = []
+    found: set = set()
+    for block in shared:
+        automaton = block.value
+        s, f = automaton.scan(words)
+        spans += s
+        found.update(automaton.item_ids[k] for k in f)
+    merged: list[list[int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    return len(words), merged, sorted(found)
+
+
+def _contaminated(n_hit: int, n_words: int, share: float) -> bool:
+    return n_hit > 0 and n_hit >= share * n_words - 1e-9
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05, max_item_words: int = 2_000_000, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated (see find_contamination), all columns unchanged; no shuffle."""
+    shared = _broadcast_automata(docs.sparkSession, benchmark, window, max_item_words, item_id_col, item_text_col)
+    at = docs.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for text in batch.column(at):
+                n_words, spans, _ = _scan(text.as_buffer().to_pybytes() if text.is_valid else b"", shared)
+                keep.append(not _contaminated(sum(b - a for a, b in spans), n_words, share))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05, max_item_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, item_ids (sorted as strings), hit_spans, contaminated.
 
@@ -147,33 +192,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     "null". Rows are judged one by one, so repeated rows repeat their result. Other columns are ignored. The items
     (not the documents) are gathered on the driver, in blocks of at most ``max_item_words`` words.
     """
-    spark = docs.sparkSession
-    rows = benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("null")), F.col(item_text_col)).distinct()
-    items = sorted((r[0], item_words(r[1])) for r in rows.toLocalIterator())
-    # The automata are built on the driver once, then broadcast one per block.
-    shared = [spark.sparkContext.broadcast(SuffixAutomaton(block, window)) for block in _blocks([x for x in items if x[1]], max_item_words)]
+    shared = _broadcast_automata(docs.sparkSession, benchmark, window, max_item_words, item_id_col, item_text_col)
     names = ["doc_id", "n_words", "n_hit", "item_ids", "hit_spans", "contaminated"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for text in batch.column(1):
-                words = (text.as_buffer().to_pybytes() if text.is_valid else b"").translate(_FOLD).split()
-                spans: list[tuple[int, int]] = []
-                found: set = set()
-                for block in shared:
-                    automaton = block.value
-                    s, f = automaton.scan(words)
-                    spans += s
-                    found.update(automaton.item_ids[k] for k in f)
-                merged: list[list[int]] = []
-                for a, b in sorted(spans):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(b, merged[-1][1])
-                    else:
-                        merged.append([a, b])
+                n_words, merged, found = _scan(text.as_buffer().to_pybytes() if text.is_valid else b"", shared)
                 n_hit = sum(b - a for a, b in merged)
-                for col, value in zip(out, (len(words), n_hit, sorted(found), merged, n_hit > 0 and n_hit >= share * len(words) - 1e-9)):
+                for col, value in zip(out, (n_words, n_hit, found, merged, _contaminated(n_hit, n_words, share))):
                     col.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.list_(pa.list_(pa.int64()))), pa.array(out[4], pa.bool_())], names)
 

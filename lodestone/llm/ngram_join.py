@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -238,6 +238,19 @@ def similar_sets(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.cast("long").alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each class of ``docs`` (the smallest id; of its rows the one with the least text hash), all columns.
+
+    Documents without words are classes of their own; rows without an id stay.
+    """
+    out = similar_sets(docs, id_col=id_col, text_col=text_col, **options)
+    first = out.where("component_id = doc_id").select(F.col("doc_id").alias("__keep")).distinct()
+    kept = docs.join(first, F.col(id_col).cast("long") == F.col("__keep"), "left_semi")
+    row = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col))))
+    kept = kept.withColumn("__nth", row).where("__nth = 1").drop("__nth")
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def brute_force(rows: list[tuple], size: int = 4, percent: int = 85) -> list[tuple]:
     """(doc_id, n_shingles, component_id) by comparing all pairs; for small inputs with distinct ids."""
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -12,6 +12,7 @@ from .curriculum import first_position, plan_mix
 from .decontaminate import find_contamination
 from .license_scan import scan_licenses
 from .ngram_join import similar_sets
+from .private_data import BASE_KINDS, find_private_data, joined
 from .quality_rules import apply_quality_rules
 from .scratch import fresh_path, materialize
 from .substring_dedup import remove_repeated_passages
@@ -30,6 +31,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_private_data(_table(spark, sf_dir, "documents"))
+    of_kind = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k))
+    counts = [of_kind(k).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
+
+
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", count_words(text_or_empty("text")).alias("n_words"))
     planned = plan_mix(materialize(docs, "sizes"), size_col="n_words").withColumn("position", first_position(F.col("mix")))
@@ -67,6 +75,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_private_data": op2_private_data,
         "op3_curriculum_mix": op3_curriculum_mix,
         "op5_decontaminate": op5_decontaminate,
         "op7_quality_rules": op7_quality_rules,
