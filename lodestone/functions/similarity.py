@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import words_of
@@ -32,23 +32,42 @@ def normalized(a: Column) -> Column:
     return F.when(n == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / n))
 
 
-def _shingles(c: Column, k: int = 3) -> Column:
-    joined = F.array_join(words_of(c), " ")
-    each = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(joined) - k + 1)), lambda i: F.substr(joined, i, F.lit(k)))
-    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.array_distinct(each))
+def _shingles(c: Column) -> Column:
+    """Distinct runs of 3 characters, or the whole of a shorter text. Characters are taken apart once: finding the i-th
+    of a string would mean to walk there every time."""
+
+    def of(joined: Column) -> Column:
+        def runs(chars: Column) -> Column:
+            each = F.transform(chars, lambda x, i: F.concat(x, F.get(chars, i + 1), F.get(chars, i + 2)))
+            return F.array_distinct(F.slice(each, F.lit(1), F.greatest(F.lit(0), F.size(chars) - 2)))
+
+        long = F.transform(F.array(F.filter(F.split(joined, ""), lambda x: x != "")), runs)[0]
+        return F.when(joined == "", F.array().cast("array<string>")).when(F.length(joined) < 3, F.array(joined)).otherwise(long)
+
+    return F.transform(F.array(F.array_join(words_of(c), " ")), of)[0]
 
 
 def minhash(c: Column, permutations: int = 128) -> Column:
-    """Signature over distinct 3-character shingles of the lower-case, single-spaced text; exact integer arithmetic."""
-    wide = "decimal(38,0)"
-    hashes = F.transform(_shingles(c), lambda s: F.conv(F.substring(F.md5(s), 25, 8), 16, 10).cast(wide))
+    """Signature over distinct 3-character shingles of the lower-case, single-spaced text.
+
+    a h + b (mod 2^61 - 1) takes 70 bits; with h in two halves every step fits 64, because multiplying by 2^16 modulo
+    a Mersenne prime is a rotation of 61 bits.
+    """
+    prime, low = F.lit(PRIME), F.lit((1 << 45) - 1)
+    hashes = F.transform(_shingles(c), lambda s: F.conv(F.substring(F.md5(s), 25, 8), 16, 10).cast("long"))
+
+    def least(i: Column, hs: Column) -> Column:
+        a, b = i * F.lit(A_STEP), i * F.lit(B_STEP)
 
-    def least(i: Column) -> Column:
-        a, b = (i * F.lit(A_STEP)).cast("decimal(20,0)"), (i * F.lit(B_STEP)).cast("decimal(20,0)")
-        each = F.transform(hashes, lambda h: ((a * h.cast("decimal(10,0)") + b) % F.lit(PRIME).cast("decimal(20,0)")).cast("long").bitwiseAND(F.lit(MAX_HASH)))
-        return F.coalesce(F.array_min(each), F.lit(MAX_HASH))
+        def value(h: Column) -> Column:
+            high = (a * F.shiftright(h, 16)) % prime
+            turned = F.shiftleft(high.bitwiseAND(low), 16) + F.shiftright(high, 45)
+            return ((turned + a * h.bitwiseAND(F.lit(0xFFFF)) + b) % prime).bitwiseAND(F.lit(MAX_HASH))
 
-    return F.transform(F.sequence(F.lit(1).cast("long"), F.lit(permutations).cast("long")), least)
+        return F.coalesce(F.array_min(F.transform(hs, value)), F.lit(MAX_HASH))
+
+    numbers = F.sequence(F.lit(1).cast("long"), F.lit(permutations).cast("long"))
+    return F.transform(F.array(hashes), lambda hs: F.transform(numbers, lambda i: least(i, hs)))[0]
 
 
 def signature_similarity(a: Column, b: Column) -> Column:
@@ -61,12 +80,33 @@ def near_duplicates(a: Column, b: Column, threshold: float = 0.8) -> Column:
     return signature_similarity(a, b) >= threshold
 
 
-def simhash(c: Column) -> Column:
-    """Signed 64-bit fingerprint of the lower-case words, with multiplicity."""
-    hashes = F.transform(words_of(c), lambda w: F.unhex(F.substring(F.md5(w), 17, 16)))
-    counted = F.transform(hashes, lambda h: F.conv(F.hex(h), 16, -10).cast("long"))
+def _word_bits(word: Column) -> Column:
+    """The low 64 bits of the word's MD5 as a long."""
+    return F.conv(F.substring(F.md5(word), 17, 16), 16, -10).cast("long")
+
+
+def _sign_bits(sums: list[Column]) -> Column:
     out = F.lit(0).cast("long")
-    for bit in range(64):
-        up = F.aggregate(counted, F.lit(0), lambda s, h: s + (F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(1)) * 2 - 1).cast("int"))
-        out = out.bitwiseOR(F.when(up > 0, F.shiftleft(F.lit(1).cast("long"), bit)).otherwise(F.lit(0).cast("long")))
+    for bit, s in enumerate(sums):
+        out = out.bitwiseOR(F.when(s > 0, F.shiftleft(F.lit(1).cast("long"), bit)).otherwise(F.lit(0).cast("long")))
     return out
+
+
+def simhash(c: Column) -> Column:
+    """Signed 64-bit fingerprint of the lower-case words, with multiplicity; :func:`simhash_table` is for whole corpora."""
+
+    def of(hs: Column) -> Column:
+        return _sign_bits([_tally(hs, bit) for bit in range(64)])
+
+    return F.transform(F.array(F.transform(words_of(c), _word_bits)), of)[0]
+
+
+def _tally(hashes: Column, bit: int) -> Column:
+    return F.aggregate(hashes, F.lit(0), lambda s, h: s + (F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(1)) * 2 - 1).cast("int"))
+
+
+def simhash_table(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, simhash): one row a word, 64 generated sums in one aggregate, summed before any shuffle."""
+    each = df.select(id_col, F.explode_outer(words_of(F.coalesce(F.col(text_col), F.lit("")))).alias("w")).select(id_col, _word_bits(F.col("w")).alias("h"))
+    sums = each.groupBy(id_col).agg(*[F.sum(F.shiftrightunsigned("h", bit).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"s{bit}") for bit in range(64)])
+    return sums.select(id_col, _sign_bits([F.coalesce(F.col(f"s{bit}"), F.lit(0)) for bit in range(64)]).alias("simhash"))

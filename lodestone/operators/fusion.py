@@ -31,7 +31,8 @@ def _rerank(df: DataFrame, *order: Column) -> DataFrame:
 
 def lexical_rerank(df: DataFrame, query_col: str = "query", text_col: str = "text") -> DataFrame:
     """Sorted by lexical score, ties by the rank before."""
-    scored = df.withColumn("lexical_score", F.round(lexical_score(tokenize(F.col(query_col)), tokenize(F.col(text_col))), 9))
+    words = df.withColumn("__q", tokenize(F.col(query_col))).withColumn("__p", tokenize(F.col(text_col)))
+    scored = words.withColumn("lexical_score", F.round(lexical_score(F.col("__q"), F.col("__p")), 9)).drop("__q", "__p")
     return _rerank(scored, F.desc("lexical_score"), F.col("rank"))
 
 
