@@ -83,7 +83,7 @@ class _Blocks(HTMLParser):
             self.skip = max(0, self.skip - 1)
         elif tag == "title":
             self.in_title = False
-        elif tag == "tr":
+        elif tag in ("tr", "table"):
             self._end()
             if self.row:
                 self.blocks.append(("tr", " | ".join(self.row)))

@@ -70,7 +70,7 @@ def test_fusion(spark):
     d = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "query_id int, cid string, rank int")
     s = spark.createDataFrame([(1, "b", 1), (1, "c", 2)], "query_id int, cid string, rank int")
     got = {r["cid"]: (r["fused_score"], r["rank"]) for r in fusion.rrf(d, s).collect()}
-    assert got["b"] == (round(0.7 / 62 + 0.3 / 61, 9), 1) and got["a"][0] == round(0.7 / 61 + 0.3 / 63, 9)
+    assert got["b"] == (round(0.7 / 62 + 0.3 / 61, 9), 2) and got["a"] == (round(0.7 / 61 + 0.3 / 63, 9), 1)
     assert fusion.rrf(d, s.limit(0)).count() == 2
     pool = spark.createDataFrame([(1, "a", 1, [1.0, 0.0], [1.0, 0.2]), (1, "b", 2, [1.0, 0.01], [1.0, 0.2]), (1, "c", 3, [0.0, 1.0], [1.0, 0.2])], "query_id int, cid string, rank int, embedding array<double>, query_vector array<double>")
     assert [r["cid"] for r in fusion.mmr(pool, 0.3, 2).orderBy("rank").collect()] == ["b", "c"]
