@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernel as K
+
 _KEEP = bytes(range(48, 58)) + bytes(range(97, 123)) + bytes(range(128, 256))
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b in _KEEP else 32 for b in range(256))
 
@@ -180,7 +182,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, s
                 keep.append(not _contaminated(sum(b - a for a, b in spans), n_words, share))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return K.map_batches(docs, clean, docs.schema)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05, max_item_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -206,7 +208,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.list_(pa.list_(pa.int64()))), pa.array(out[4], pa.bool_())], names)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(judge, "doc_id long, n_words long, n_hit long, item_ids array<string>, hit_spans array<array<long>>, contaminated boolean")
+    return K.map_batches(slim, judge, "doc_id long, n_words long, n_hit long, item_ids array<string>, hit_spans array<array<long>>, contaminated boolean")
 
 
 def brute_force(docs: list[tuple], items: list[tuple], window: int = 13) -> list[tuple]:

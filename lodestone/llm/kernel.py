@@ -6,11 +6,16 @@ sum (mod 2^64), mixed to spread their bits; window hashes are the same construct
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 #: Bytes of text hashed at once; a longer single text makes a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -123,3 +128,28 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
         step *= 2
     rest = width - step
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
+
+
+#: Rows of an Arrow batch on its way to a Python worker; texts are long, and both sides hold a few batches at once.
+BATCH_ROWS = 500
+
+
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches of bounded size (the session's batch size is lowered if it is larger), whose workers
+    give freed memory back at the end of a task."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)

@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernel as K
 from .scratch import materialize
 
 BLOCK_IDS = 1 << 16
@@ -42,7 +43,7 @@ _ODD = re.compile(r"[^\x00-\x1b\x20-\u024f]")
 #: A space before white space or the end; without one the tokenizer cuts before every space.
 _LOOSE = re.compile(r" (?:\s|$)")
 #: Entries that a worker keeps of each kind; later ones are encoded each time.
-_CACHE_ENTRIES = 400_000
+_CACHE_ENTRIES = 300_000
 
 
 class _Pieces(dict):
@@ -220,7 +221,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([path]), pa.array([n_docs], pa.int64()), pa.array([writer.n_ids], pa.int64())], ["shard", "path", "n_docs", "n_ids"])
 
-    return materialize(rows.mapInArrow(shard, "shard int, path string, n_docs long, n_ids long"), "shards")
+    return materialize(K.map_batches(rows, shard, "shard int, path string, n_docs long, n_ids long"), "shards")
 
 
 def read_token_shards(shards: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -255,4 +256,5 @@ def read_token_shards(shards: DataFrame, with_ids: bool = False) -> DataFrame:
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return shards.withColumn("start", before).repartition(n, "shard").select("path", "start").mapInArrow(read, schema)
+    todo = shards.withColumn("start", before).repartition(n, "shard").select("path", "start")
+    return K.map_batches(todo, read, schema)
