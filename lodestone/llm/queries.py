@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .columns import count_words, text_or_empty
 from .curriculum import first_position, plan_mix
 from .decontaminate import find_contamination
+from . import line_dedup
 from .license_scan import scan_licenses
 from .ngram_join import similar_sets
 from .private_data import BASE_KINDS, find_private_data, joined
@@ -17,9 +18,12 @@ from .quality_rules import apply_quality_rules
 from .scratch import fresh_path, materialize
 from .substring_dedup import remove_repeated_passages
 from .token_binary import read_token_shards, write_token_shards
+from .token_counts import count_tokens
 
 #: The vocabulary and the end-of-document id of the production token files.
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
+#: The vocabulary of the unigram token counts.
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +48,23 @@ def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.orderBy("position", "doc_id").select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "position")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_site_lines(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "host", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("item_ids", ","), 256)
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = apply_quality_rules(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "metrics.n_words", "metrics.word_chars", "metrics.n_symbols", "metrics.n_dup_lines", "metrics.n_repeat_words", "base_failed", "kept")
@@ -77,7 +92,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_private_data": op2_private_data,
         "op3_curriculum_mix": op3_curriculum_mix,
+        "op4_line_dedup": op4_line_dedup,
         "op5_decontaminate": op5_decontaminate,
+        "op6_token_counts": op6_token_counts,
         "op7_quality_rules": op7_quality_rules,
         "op8_license_scan": op8_license_scan,
         "op9_ngram_join": op9_ngram_join,
@@ -86,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": line_dedup.ORACLE_SQL}
