@@ -136,7 +136,8 @@ def adaptive_thresholds(measured: DataFrame, lang_col: str, source_col: str, met
 
 def judge(measured: DataFrame, lang_col: str = "lang", source_col: str = "source", metrics: str = "metrics", least_words: int = 50, out: str = "kept") -> DataFrame:
     """``measured`` (read more than once: give a stored table) with boolean ``base_failed`` and ``kept``."""
-    bounds = adaptive_thresholds(measured, lang_col, source_col, metrics, least_words)
+    # Stored, its size is known: one row a group is broadcast if it is small, and documents are not shuffled for it.
+    bounds = materialize(adaptive_thresholds(measured, lang_col, source_col, metrics, least_words).coalesce(1), "bounds")
     m = F.col(metrics)
     joined = measured.join(bounds, F.col(lang_col).eqNullSafe(F.col("__lang")) & F.col(source_col).eqNullSafe(F.col("__source")), "left")
     bad = F.lit(False)

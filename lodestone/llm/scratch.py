@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,12 +22,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Scratch paths of the stage that runs, and of the one before it.
+_now: list[str] | None = None
+_before: list[str] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
     atexit.register(_drop, spark, path)
+    if _now is not None:
+        _now.append(path)
     return path
 
 
+@contextlib.contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """A stage of a pipeline whose result is stored before the next stage begins: its scratch tables go then."""
+    global _now
+    while _before:
+        discard(spark, _before.pop())
+    _now = []
+    try:
+        yield
+    finally:
+        _before.extend(_now)
+        _now = None
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so that lost executors cost no recomputation."""
     spark = df.sparkSession
@@ -34,7 +57,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def discard(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
