@@ -12,35 +12,40 @@ from lodestone.llm.decontaminate import drop_contaminated
 from lodestone.llm.ngram_join import keep_one_of_each
 from lodestone.llm.quality_rules import keep_good
 from lodestone.llm.queries import END_ID, VOCABULARY
-from lodestone.llm.scratch import fresh_path, materialize
+from lodestone.llm.scratch import discard, fresh_path, stage_scope
 from lodestone.llm.token_binary import read_token_shards, write_token_shards
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or their group's thresholds reject go."""
-    return keep_good(docs)
+    with stage_scope(spark):
+        return keep_good(docs)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that of the smallest id."""
-    return keep_one_of_each(docs)
+    with stage_scope(spark):
+        return keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages cover a twentieth or more go."""
-    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    with stage_scope(spark):
+        return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix reads them, in training order."""
-    return mixed_order(docs)
+    with stage_scope(spark):
+        return mixed_order(docs)
 
 
 def token_binary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, and from them for each document doc_id, start, n_tokens, ids_crc32."""
     import public_tokenizers
 
-    return read_token_shards(write_token_shards(docs, fresh_path(spark, "tokens"), public_tokenizers.path(VOCABULARY), END_ID))
+    with stage_scope(spark):
+        return read_token_shards(write_token_shards(docs, fresh_path(spark, "tokens"), public_tokenizers.path(VOCABULARY), END_ID))
 
 
 STAGES = [
@@ -56,7 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = fresh_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if last is not None:
+            discard(spark, last)
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
