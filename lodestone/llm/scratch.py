@@ -29,7 +29,7 @@ _before: list[str] = []
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
+    atexit.register(discard, spark, path)
     if _now is not None:
         _now.append(path)
     return path
