@@ -98,7 +98,9 @@ def ranking_response(ranking: DataFrame, df: DataFrame, k: int) -> DataFrame:
 
 def drop_near_repeats(df: DataFrame, threshold: float = 0.8, permutations: int = 128, text_col: str = "text") -> DataFrame:
     """Greedy in rank order: a candidate stays if it is no near duplicate of any that stayed (one query's pool at a time)."""
-    signed = df.withColumn("__sig", minhash(F.col(text_col), permutations))
+    # A text is signed once, however many queries found it.
+    signatures = df.select("cid", text_col).dropDuplicates(["cid"]).select("cid", minhash(F.col(text_col), permutations).alias("__sig"))
+    signed = df.join(signatures, "cid").select(*df.columns, "__sig")
     columns = signed.columns
 
     def pick(pool: pd.DataFrame) -> pd.DataFrame:
