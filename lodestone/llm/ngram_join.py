@@ -7,7 +7,7 @@ fragments; for every candidate pair each fragment's overlap is counted separatel
 
 What would grow with the square of a group of copies is avoided without dropping a link:
  - equal sets are one class (a digest), represented once per partition;
- - in each prefix n-gram's group all are first compared with two hubs; most of a group of near copies is one
+ - in each prefix n-gram's group all are first compared with a few hubs; most of a group of near copies is one
    component after that. Only pairs that are in different components then are compared as well, which is every
    pair that could still join two classes.
 """
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +30,8 @@ from . import sketch as S
 from .components import connected_components
 from .scratch import materialize
 
-FREQUENCY_BITS = 20
+FREQUENCY_BLOCK, MOST_FREQUENCY_BITS = 20, 26
+HUBS = 8
 FRAGMENTS = 8
 PREFILTER_ROWS, MOST_PREFILTER_BITS = 3, 28
 
@@ -53,36 +55,46 @@ def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.nda
         yield lo, grams, np.searchsorted(row, np.arange(len(offsets)))
 
 
-def _add(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64) for x in parts["counts"])
-    return pd.DataFrame({"block": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
-
-
-def _frequencies(docs: DataFrame, size: int) -> np.ndarray:
-    """For each cell of a one-row count sketch over all documents: 0, or how far its count stands out (log2 steps)."""
-    n_cells, block = 1 << FREQUENCY_BITS, 1 << 14
+def _frequencies(docs: DataFrame, size: int, total_bytes: int) -> tuple[int, dict[int, bytes]]:
+    """(bits, compressed blocks) of a one-row count sketch over all documents: for each cell how far its count is above
+    the mean, in quarter powers of two. Cells grow with the text up to a bound; blocks are summed and graded apart."""
+    bits = min(MOST_FREQUENCY_BITS, max(FREQUENCY_BLOCK, math.ceil(math.log2(max(1, total_bytes) / 50))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_cells, np.uint32)
+        found = [np.zeros(0, np.int64)]
         for batch in batches:
             for _, grams, _ in _sets(batch.column(0), size):
-                total += np.bincount((grams >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64), minlength=n_cells).astype(np.uint32)
-        packed = [zlib.compress(total[k : k + block].tobytes(), 1) for k in range(0, n_cells, block)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(n_cells // block), pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"])
+                found.append((grams >> np.uint64(64 - bits)).astype(np.int64))
+        cell, n = np.unique(np.concatenate(found), return_counts=True)
+        for block in np.unique(cell >> FREQUENCY_BLOCK):
+            lo, hi = np.searchsorted(cell, [block << FREQUENCY_BLOCK, block + 1 << FREQUENCY_BLOCK])
+            pair = np.concatenate([np.diff(cell[lo:hi] & (1 << FREQUENCY_BLOCK) - 1, prepend=0), n[lo:hi]]).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zlib.compress(pair.tobytes(), 1)], pa.binary())], ["block", "cells"])
+
+    def grade(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(1 << FREQUENCY_BLOCK, np.int64)
+        for x in parts["cells"]:
+            at, n = np.frombuffer(zlib.decompress(x), np.uint32).reshape(2, -1)
+            total[np.cumsum(at.astype(np.int64))] += n
+        steps = np.clip(4 * np.log2(np.maximum(total, 1) / max(1.0, total.mean())), 0, 255).astype(np.uint8)
+        return pd.DataFrame({"block": [key[0]], "bits": [zlib.compress(steps.tobytes(), 1)]})
+
+    rows = K.map_batches(docs.select("text"), count, S.PARTIAL_SCHEMA).groupBy("block").applyInPandas(grade, "block long, bits binary").collect()
+    return bits, {r["block"]: bytes(r["bits"]) for r in rows}
+
 
-    rows = docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(_add, "block int, counts binary").collect()
-    total = np.zeros(n_cells, np.int64)  # a fixed size, whatever the corpus
-    for r in rows:
-        total[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
-    over = total - total.mean()
-    return np.where(over > 8 * math.sqrt(total.mean()) + 24, np.log2(np.maximum(over, 1)), 0).astype(np.uint8)
+def _grades(bits: int, blocks: dict[int, bytes]) -> np.ndarray:
+    out = np.zeros(1 << bits, np.uint8)
+    for block, packed in blocks.items():
+        out[block << FREQUENCY_BLOCK : block + 1 << FREQUENCY_BLOCK] = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return out
 
 
-def _prefixes(grams: np.ndarray, first: np.ndarray, order_class: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _prefixes(grams: np.ndarray, first: np.ndarray, grades: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(n-gram, row, position) of the n-grams of every row's prefix in the global order."""
     n = np.diff(first)
     row = np.repeat(np.arange(len(n)), n)
-    rank = np.lexsort((grams, order_class[(grams >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)], row))
+    rank = np.lexsort((grams, grades[(grams >> np.uint64(65 - len(grades).bit_length())).astype(np.int64)], row))
     length = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
     at, row = K.spans_to_index(first[:-1], length)
     return grams[rank[at]], row, at - first[row]
@@ -97,33 +109,40 @@ def _digest(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(n > 0, np.where(d == 0, np.uint64(1), d), np.uint64(0))
 
 
+def _done(df: DataFrame, *broadcasts: Broadcast) -> DataFrame:
+    """``df``, which is stored, after which nobody needs the broadcasts."""
+    for b in broadcasts:
+        b.destroy()
+    return df
+
+
 def _table(docs: DataFrame, size: int, percent: int, total_bytes: int) -> DataFrame:
     """For every row id, node (the set's digest), n; for a set with prefix n-grams that another may have also these (grams) and their positions (at)."""
     spark = docs.sparkSession
-    classes = spark.sparkContext.broadcast(_frequencies(docs, size))
+    classes = spark.sparkContext.broadcast(_frequencies(docs, size, total_bytes))
     bits = min(MOST_PREFILTER_BITS, max(12, math.ceil(math.log2(max(1, total_bytes) / 8))))
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, seen = [], set()
+        found, seen, grades = [], set(), _grades(*classes.value)
         for batch in batches:
             for _, grams, first in _sets(batch.column(0), size):
                 digest = _digest(grams, first)
-                gram, row, _ = _prefixes(grams, first, classes.value, percent)
+                gram, row, _ = _prefixes(grams, first, grades, percent)
                 new = np.array([not (d in seen or seen.add(d)) for d in digest.tolist()], bool)
                 found.append(gram[new[row]])
         if found:
             yield from S.partial(np.concatenate(found), PREFILTER_ROWS, bits)
 
-    blocks = spark.sparkContext.broadcast(S.merged(docs.select("text").mapInArrow(first_pass, S.PARTIAL_SCHEMA)))
+    blocks = spark.sparkContext.broadcast(S.merged(K.map_batches(docs.select("text"), first_pass, S.PARTIAL_SCHEMA)))
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = S.planes(blocks.value, PREFILTER_ROWS, bits)
+        planes, grades = S.planes(blocks.value, PREFILTER_ROWS, bits), _grades(*classes.value)
         seen: set[int] = set()
         longs = pa.list_(pa.int64())
         for batch in batches:
             for lo, grams, first in _sets(batch.column(1), size):
                 digest = _digest(grams, first)
-                gram, row, at = _prefixes(grams, first, classes.value, percent)
+                gram, row, at = _prefixes(grams, first, grades, percent)
                 hit = S.repeated(gram, planes, bits)
                 gram, row, at = gram[hit].view(np.int64), row[hit], at[hit]
                 edge = np.searchsorted(row, np.arange(len(first)))
@@ -137,7 +156,7 @@ def _table(docs: DataFrame, size: int, percent: int, total_bytes: int) -> DataFr
                 )
 
     schema = "id long, node long, n long, grams array<long>, at array<long>"
-    return materialize(docs.select("id", "text").mapInArrow(second_pass, schema), "ngrams")
+    return _done(materialize(K.map_batches(docs.select("id", "text"), second_pass, schema), "ngrams"), classes, blocks)
 
 
 def _fragments(rows: DataFrame, size: int) -> DataFrame:
@@ -160,7 +179,7 @@ def _fragments(rows: DataFrame, size: int) -> DataFrame:
                                 out[2].append(piece)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64()))], ["node", "part", "piece"])
 
-    return materialize(rows.mapInArrow(cut, "node long, part int, piece array<long>"), "fragments")
+    return materialize(K.map_batches(rows, cut, "node long, part int, piece array<long>"), "fragments")
 
 
 def _possible(percent: int):
@@ -170,14 +189,54 @@ def _possible(percent: int):
     return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (most * (100 + percent) >= percent * need)
 
 
-def _linked(pairs: DataFrame, pieces: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that reach the threshold: partial overlaps per fragment, summed per pair."""
-    left = pieces.select(F.col("node").alias("a"), "part", F.col("piece").alias("x"))
-    right = pieces.select(F.col("node").alias("b"), "part", F.col("piece").alias("y"))
-    counted = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", "na", "nb", "part", F.size(F.array_intersect("x", "y")).alias("o"))
-    # A row that comes twice has its pieces twice: the same overlap, counted once.
-    counted = counted.groupBy("a", "b", "na", "nb", "part").agg(F.max("o").alias("o"))
-    summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+def _rows_of(base: DataFrame, holders: DataFrame) -> DataFrame:
+    """(node, text) of the holders (node, id). A Bloom filter of their ids, of bounded size, keeps most other texts out
+    of the shuffle; the join decides."""
+    spark = base.sparkSession
+    n = holders.count()
+    bits = min(MOST_PREFILTER_BITS, max(12, math.ceil(math.log2(max(1, n) * 12))))
+
+    def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = [batch.column(0).to_numpy(zero_copy_only=False) for batch in batches]
+        if ids:  # every id twice: the merged planes mark what counts two or more
+            yield from S.partial(np.repeat(np.concatenate(ids).astype(np.int64).view(np.uint64), 2), 2, bits)
+
+    blocks = spark.sparkContext.broadcast(S.merged(K.map_batches(holders.select("id"), note, S.PARTIAL_SCHEMA)))
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = S.planes(blocks.value, 2, bits)
+        for batch in batches:
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            yield batch.filter(pa.array(S.repeated(ids, planes, bits)))
+
+    return K.map_batches(base.select("id", "text"), maybe, "id long, text string").join(holders, "id").select("node", "text")
+
+
+def _linked(pairs: DataFrame, base: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) that reach the threshold, as (a, b): overlaps counted per fragment and summed per pair.
+
+    The first fragment goes first; its count and what is left of both sets bound the sum, which rules most pairs out.
+    A row that comes twice has its fragments twice: the same overlap, counted once by taking the largest.
+    """
+    pairs = materialize(pairs, "pairs")
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    holders = materialize(known.groupBy("node").agg(F.min("id").alias("id")).join(needed, "node", "left_semi"), "holders")
+    pieces = _fragments(_rows_of(base, holders), size)
+    side = lambda df, node, piece: df.select(F.col("node").alias(node), "part", F.col("piece").alias(piece))
+    keys = ["a", "b", "na", "nb"]
+
+    first = pieces.where("part = 0")
+    met = pairs.join(side(first, "a", "x").drop("part"), "a", "left").join(side(first, "b", "y").drop("part"), "b", "left")
+    length = lambda c: F.coalesce(F.size(c), F.lit(0))
+    met = met.select(*keys, F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.size(F.array_intersect("x", "y"))).otherwise(0).alias("o"), F.when(F.col("x").isNull(), 0).otherwise(length(F.col("x"))).alias("nx"), F.when(F.col("y").isNull(), 0).otherwise(length(F.col("y"))).alias("ny"))
+    met = met.groupBy(*keys).agg(F.max("o").alias("o"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
+    most = F.col("o") + F.least(F.col("na") - F.col("nx"), F.col("nb") - F.col("ny"))
+    left = materialize(met.where(most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select(*keys, "o"), "left")
+
+    rest = pieces.where("part > 0")
+    counted = left.select(*keys).join(side(rest, "a", "x"), "a").join(side(rest, "b", "y"), ["b", "part"]).select(*keys, "part", F.size(F.array_intersect("x", "y")).alias("more"))
+    counted = counted.groupBy(*keys, "part").agg(F.max("more").alias("more")).groupBy("a", "b").agg(F.sum("more").alias("more"))
+    summed = left.join(counted, ["a", "b"], "left").withColumn("o", F.col("o") + F.coalesce("more", F.lit(0)))
     return summed.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
@@ -197,37 +256,37 @@ def similar_sets(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str
     members = table.select("id", "node", "n")
     known = members.where("n > 0 AND id IS NOT NULL")
     groups = table.where("grams IS NOT NULL").select("node", "n", F.explode(F.arrays_zip("grams", "at")).alias("g")).select("node", "n", F.col("g.grams").alias("gram"), F.col("g.at").alias("at"))
-    one = F.struct("node", "n", "at")
-    hubs = groups.groupBy("gram").agg(F.min(one).alias("h1"), F.max(one).alias("h2"), F.count("*").alias("rows")).where("h1.node != h2.node")
-    shared = materialize(groups.join(hubs, "gram"), "shared")
-
-    needed = shared.select("node").distinct()
-    holders = known.groupBy("node").agg(F.min("id").alias("id")).join(needed, "node", "left_semi")
-    pieces = _fragments(base.join(holders, "id").select("node", "text"), size)
+    # Rows of n-grams that two sets have; per n-gram the first HUBS sets (limited on the map side, before the shuffle).
+    several = groups.groupBy("gram").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("rows")).where("x != y").select("gram", "rows")
+    shared = materialize(groups.join(several, "gram"), "shared")
+    nth = F.row_number().over(Window.partitionBy("gram").orderBy("node"))
+    hubs = shared.withColumn("nth", nth).where(F.col("nth") <= HUBS).select("gram", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
 
     def pairs(a: tuple, b: tuple) -> list:
         (x, nx, px), (y, ny, py) = a, b
         up = x < y
         return [F.when(up, p).otherwise(q).alias(name) for p, q, name in ((x, y, "a"), (y, x, "b"), (nx, ny, "na"), (ny, nx, "nb"), (px, py, "pa"), (py, px, "pb"))]
 
-    me = (F.col("node"), F.col("n"), F.col("at"))
-    hub = lambda h: (F.col(f"{h}.node"), F.col(f"{h}.n"), F.col(f"{h}.at"))
-    with_hubs = shared.select(*pairs(me, hub("h1"))).unionByName(shared.select(*pairs(me, hub("h2")))).where("a != b").where(_possible(percent))
-    links = materialize(_linked(with_hubs.select("a", "b", "na", "nb").distinct(), pieces, percent), "links")
+    def candidates(rows: DataFrame) -> DataFrame:
+        both = pairs((F.col("node"), F.col("n"), F.col("at")), (F.col("node2"), F.col("n2"), F.col("at2")))
+        return rows.select(*both).where(_possible(percent)).select("a", "b", "na", "nb").distinct()
+
+    links = materialize(_linked(candidates(shared.join(hubs, "gram").where("node != node2")), base, known, size, percent), "links")
     parts = connected_components(links)
 
-    # Pairs with neither hub, in different components as they are now.
-    inner = shared.where("rows > 2").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).select("gram", "node", "n", "at", "component", F.col("h1.node").alias("u"), F.col("h2.node").alias("v"))
-    inner = materialize(inner.where("node != u AND node != v"), "inner")
+    # Pairs without a hub, in different components as they are now.
+    inner = shared.where(F.col("rows") > HUBS).join(hubs.select("gram", F.col("node2").alias("node")), ["gram", "node"], "left_anti")
+    inner = inner.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    inner = materialize(inner.select("gram", "node", "n", "at", "component"), "inner")
     sizes = inner.groupBy("gram", "component").agg(F.count("*").alias("rows"))
     largest = sizes.groupBy("gram").agg(F.max(F.struct("rows", "component")).alias("top"), F.count("*").alias("components")).where("components > 1")
-    mixed = inner.drop("u", "v").join(largest.select("gram", F.col("top.component").alias("top")), "gram")
+    mixed = inner.join(largest.select("gram", F.col("top.component").alias("top")), "gram")
     few = mixed.where("component != top").select("gram", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("component").alias("component2"))
     crossed = few.join(mixed, "gram").where("component != component2 AND (component = top OR node < node2)")
-    more = crossed.select(*pairs(me, (F.col("node2"), F.col("n2"), F.col("at2")))).where(_possible(percent)).select("a", "b", "na", "nb").distinct()
-    links = links.unionByName(_linked(more, pieces, percent))
-    several = known.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("id", "a")
-    same_id = known.join(several, "id").where("a != node").select("a", F.col("node").alias("b"))
+    more = candidates(crossed)
+    links = links.unionByName(_linked(more, base, known, size, percent))
+    twice = known.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("id", "a")
+    same_id = known.join(twice, "id").where("a != node").select("a", F.col("node").alias("b"))
     parts = connected_components(links.unionByName(same_id))
 
     nodes = known.groupBy("node").agg(F.min("id").alias("least")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
