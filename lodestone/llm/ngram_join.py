@@ -160,7 +160,7 @@ def _table(docs: DataFrame, size: int, percent: int, total_bytes: int) -> DataFr
 
 
 def _fragments(rows: DataFrame, size: int) -> DataFrame:
-    """(node, part, piece) from rows (node, text): each set cut along the n-gram order."""
+    """(node, pieces) from rows (node, text): each set cut along the n-gram order."""
     cuts = np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // FRAGMENTS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,18 +168,15 @@ def _fragments(rows: DataFrame, size: int) -> DataFrame:
             for lo, grams, first in _sets(batch.column(1), size):
                 nodes = batch.column(0).slice(lo, len(first) - 1).to_pylist()
                 own = _digest(grams, first).view(np.int64).tolist()
-                out: tuple[list, list, list] = ([], [], [])
+                out: tuple[list, list] = ([], [])
                 for k, node in enumerate(nodes):
                     if own[k] == node:  # a row of the same id may hold another text
                         one = grams[first[k] : first[k + 1]]
-                        for part, piece in enumerate(np.split(one.view(np.int64), np.searchsorted(one, cuts))):
-                            if len(piece):
-                                out[0].append(node)
-                                out[1].append(part)
-                                out[2].append(piece)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64()))], ["node", "part", "piece"])
+                        out[0].append(node)
+                        out[1].append(np.split(one.view(np.int64), np.searchsorted(one, cuts)))
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.list_(pa.int64())))], ["node", "pieces"])
 
-    return materialize(K.map_batches(rows, cut, "node long, part int, piece array<long>"), "fragments")
+    return materialize(K.map_batches(rows, cut, "node long, pieces array<array<long>>"), "fragments")
 
 
 def _possible(percent: int):
@@ -212,31 +209,27 @@ def _rows_of(base: DataFrame, holders: DataFrame) -> DataFrame:
     return K.map_batches(base.select("id", "text"), maybe, "id long, text string").join(holders, "id").select("node", "text")
 
 
-def _linked(pairs: DataFrame, base: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, base: DataFrame, known: DataFrame, prefixes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) that reach the threshold, as (a, b): overlaps counted per fragment and summed per pair.
 
-    The first fragment goes first; its count and what is left of both sets bound the sum, which rules most pairs out.
-    A row that comes twice has its fragments twice: the same overlap, counted once by taking the largest.
+    The prefixes (node, grams) are the first fragment. Of the set whose prefix ends first, what is common lies in both
+    prefixes or behind its own, so their overlap and the longer rest bound the sum: unlike pairs end here. The other
+    fragments come from the texts of the pairs that are left. A row that comes twice has its fragments twice: the same
+    overlap, counted once by taking the largest.
     """
-    pairs = materialize(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    holders = materialize(known.groupBy("node").agg(F.min("id").alias("id")).join(needed, "node", "left_semi"), "holders")
-    pieces = _fragments(_rows_of(base, holders), size)
-    side = lambda df, node, piece: df.select(F.col("node").alias(node), "part", F.col("piece").alias(piece))
     keys = ["a", "b", "na", "nb"]
+    side = lambda df, node, kept, name: df.select(F.col("node").alias(node), F.col(kept).alias(name))
+    met = pairs.join(side(prefixes, "a", "grams", "x"), "a").join(side(prefixes, "b", "grams", "y"), "b")
+    behind = F.ceil(percent * F.greatest("na", "nb") / 100) - 1
+    most = F.size(F.array_intersect("x", "y")) + behind
+    left = materialize(met.where(most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select(*keys), "left")
 
-    first = pieces.where("part = 0")
-    met = pairs.join(side(first, "a", "x").drop("part"), "a", "left").join(side(first, "b", "y").drop("part"), "b", "left")
-    length = lambda c: F.coalesce(F.size(c), F.lit(0))
-    met = met.select(*keys, F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.size(F.array_intersect("x", "y"))).otherwise(0).alias("o"), F.when(F.col("x").isNull(), 0).otherwise(length(F.col("x"))).alias("nx"), F.when(F.col("y").isNull(), 0).otherwise(length(F.col("y"))).alias("ny"))
-    met = met.groupBy(*keys).agg(F.max("o").alias("o"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
-    most = F.col("o") + F.least(F.col("na") - F.col("nx"), F.col("nb") - F.col("ny"))
-    left = materialize(met.where(most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select(*keys, "o"), "left")
-
-    rest = pieces.where("part > 0")
-    counted = left.select(*keys).join(side(rest, "a", "x"), "a").join(side(rest, "b", "y"), ["b", "part"]).select(*keys, "part", F.size(F.array_intersect("x", "y")).alias("more"))
-    counted = counted.groupBy(*keys, "part").agg(F.max("more").alias("more")).groupBy("a", "b").agg(F.sum("more").alias("more"))
-    summed = left.join(counted, ["a", "b"], "left").withColumn("o", F.col("o") + F.coalesce("more", F.lit(0)))
+    needed = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+    holders = materialize(known.groupBy("node").agg(F.min("id").alias("id")).join(needed, "node", "left_semi"), "holders")
+    pieces = _fragments(_rows_of(base, holders), size)
+    both = left.join(side(pieces, "a", "pieces", "x"), "a").join(side(pieces, "b", "pieces", "y"), "b")
+    counts = F.zip_with("x", "y", lambda x, y: F.size(F.array_intersect(x, y)))
+    summed = both.select(*keys, F.aggregate(counts, F.lit(0), lambda s, x: s + x).alias("o")).groupBy(*keys).agg(F.max("o").alias("o"))
     return summed.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
@@ -267,11 +260,13 @@ def similar_sets(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str
         up = x < y
         return [F.when(up, p).otherwise(q).alias(name) for p, q, name in ((x, y, "a"), (y, x, "b"), (nx, ny, "na"), (ny, nx, "nb"), (px, py, "pa"), (py, px, "pb"))]
 
+    prefixes = materialize(table.where("grams IS NOT NULL").select("node", "grams").dropDuplicates(["node"]), "prefixes")
+
     def candidates(rows: DataFrame) -> DataFrame:
         both = pairs((F.col("node"), F.col("n"), F.col("at")), (F.col("node2"), F.col("n2"), F.col("at2")))
         return rows.select(*both).where(_possible(percent)).select("a", "b", "na", "nb").distinct()
 
-    links = materialize(_linked(candidates(shared.join(hubs, "gram").where("node != node2")), base, known, size, percent), "links")
+    links = materialize(_linked(candidates(shared.join(hubs, "gram").where("node != node2")), base, known, prefixes, size, percent), "links")
     parts = connected_components(links)
 
     # Pairs without a hub, in different components as they are now.
@@ -284,7 +279,7 @@ def similar_sets(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str
     few = mixed.where("component != top").select("gram", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("component").alias("component2"))
     crossed = few.join(mixed, "gram").where("component != component2 AND (component = top OR node < node2)")
     more = candidates(crossed)
-    links = links.unionByName(_linked(more, base, known, size, percent))
+    links = links.unionByName(_linked(more, base, known, prefixes, size, percent))
     twice = known.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("id", "a")
     same_id = known.join(twice, "id").where("a != node").select("a", F.col("node").alias("b"))
     parts = connected_components(links.unionByName(same_id))
