@@ -100,7 +100,7 @@ def _repeated(docs: DataFrame, size: int, cells: int, max_cells: int) -> DataFra
     pieces = max(1, cells // max_cells)
     spark, out = docs.sparkSession, None
     for piece in range(pieces):
-        partial = docs.select("text").mapInArrow(lambda b, p=piece: _sketch(b, size, bits, p, pieces), "block long, cells binary")
+        partial = K.map_batches(docs.select("text"), lambda b, p=piece: _sketch(b, size, bits, p, pieces), "block long, cells binary")
         merged = partial.groupBy("block").applyInPandas(_merge, "block long, bits binary").collect()
         sketch = spark.sparkContext.broadcast({r["block"]: bytes(r["bits"]) for r in merged})
 
@@ -141,7 +141,7 @@ def _repeated(docs: DataFrame, size: int, cells: int, max_cells: int) -> DataFra
                         ["h1", "h2", "id", "row", "at"],
                     )
 
-        part = docs.mapInArrow(second, "h1 long, h2 int, id long, row long, at int")
+        part = K.map_batches(docs, second, "h1 long, h2 int, id long, row long, at int")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -167,7 +167,7 @@ def remove_repeated_passages(docs: DataFrame, size: int = 50, id_col: str = "doc
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = 1 << max(10, math.ceil(math.log2(max(1.0, total * CELLS_PER_BYTE))))
     found = _repeated(base.where(F.col("id").isNotNull()), size, cells, max_cells)
-    first = found.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h1", "h2", "least")
+    first = found.groupBy("h1", "h2").agg(F.min("id").alias("least"))
     hits = found.join(first, ["h1", "h2"]).where("id > least").groupBy("id", "row").agg(F.collect_list("at").alias("starts"))
     joined = base.join(hits, ["id", "row"], "left").select("id", "text", "starts")
 
@@ -191,7 +191,7 @@ def remove_repeated_passages(docs: DataFrame, size: int = 50, id_col: str = "doc
                 ["doc_id", "n_words", "n_removed", "kept_text", "spans"],
             )
 
-    return joined.mapInArrow(rebuild, "doc_id long, n_words long, n_removed long, kept_text string, spans array<array<long>>")
+    return K.map_batches(joined, rebuild, "doc_id long, n_words long, n_removed long, kept_text string, spans array<array<long>>")
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], size: int = 50) -> list[tuple[int | None, int, int, str]]:
