@@ -474,10 +474,10 @@ def ttl_cache_read(t: Tables) -> DataFrame:
     return maintenance.live(cache, F.lit("2024-01-15 00:00:00").cast("timestamp")).select("event_id")
 
 
-@query("SELECT DISTINCT user_id AS item_id FROM {usage} WHERE user_id NOT IN (SELECT user_id FROM {usage} WHERE ts < TIMESTAMP '2024-01-04 00:00:00')")
+@query("SELECT DISTINCT user_id AS item_id FROM {usage} WHERE user_id NOT IN (SELECT user_id FROM {usage} WHERE ts < TIMESTAMP '2024-01-01 03:00:00')")
 def rss_unseen(t: Tables) -> DataFrame:
     items = t.usage.select(F.col("user_id").alias("item_id"))
-    return maintenance.unseen(items, t.usage.where("ts < TIMESTAMP '2024-01-04 00:00:00'").select(F.col("user_id").alias("item_id")))
+    return maintenance.unseen(items, t.usage.where("ts < TIMESTAMP '2024-01-01 03:00:00'").select(F.col("user_id").alias("item_id")))
 
 
 # --- graph -----------------------------------------------------------------------------------------------------------
