@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import materialize
+
 _HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>|<!--.*?-->"
 _BREAKS = r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|tr|td|th|table|section|article|nav|header|footer|title|head|body|html|a)\b[^>]*>"
 #: Fixed entities that are read back.
@@ -42,6 +44,7 @@ def drop_site_lines(pages: DataFrame, ratio: float = 0.5, least_pages: int = 3,
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), page_lines(F.col(html_col)).alias("lines"))
     totals = rows.groupBy("host").agg(F.count("*").alias("pages"))
     seen = rows.select("host", "page_id", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line"))
+    seen = materialize(seen, "lines")  # read twice; the pages' text is taken apart once for it
     counts = seen.groupBy("host", "line").agg(F.count("*").alias("n")).where(f"n > {ratio} * {least_pages}")
     common = counts.join(totals.where(F.col("pages") >= least_pages), "host").where(F.col("n") > ratio * F.col("pages")).select("host", "line")
     per_page = seen.join(common, ["host", "line"]).groupBy("page_id", "host").agg(F.collect_set("line").alias("gone"))  # lines of one page
