@@ -23,6 +23,8 @@ def cells(values: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 def partial(values: np.ndarray, rows: int, bits: int) -> Iterator[pa.RecordBatch]:
     """The sketch of ``values``: for each block of each row the cells that count 1, and those that count more."""
+    if not len(values):
+        return
     per_block = 1 << min(BLOCK_BITS, bits)
     for row in range(rows):
         cell, times = np.unique(cells(values, row, bits), return_counts=True)

@@ -224,6 +224,16 @@ def test_ngram_join(spark):
     assert ngram_join.similar_sets(same.limit(0)).count() == 0
 
 
+def test_ngram_join_of_empty_partitions(spark):
+    empty = [(1, None), (2, ""), (3, " \n\t"), (4, None)]
+    want = [(i, 0, i) for i, _ in empty]
+    assert sorted(map(tuple, ngram_join.similar_sets(table(spark, empty).coalesce(1)).collect())) == want
+    assert sorted(r["doc_id"] for r in ngram_join.keep_one_of_each(table(spark, empty)).collect()) == [1, 2, 3, 4]
+    full = [(10, "a b c d e f"), (11, "A b c d e f"), (12, "q")]
+    parts = table(spark, empty).coalesce(1).unionByName(table(spark, full).coalesce(1))  # one partition without words
+    assert sorted(map(tuple, ngram_join.similar_sets(parts).collect())) == sorted(ngram_join.brute_force(empty + full))
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(k, k + 1) for k in range(0, 40)] + [(100, 200), (200, 150), (7, 7)] + [(rng.randint(300, 340), rng.randint(300, 340)) for _ in range(25)]
