@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +16,8 @@ from .text import words_of
 MAX_HASH = 0xFFFFFFFF
 PRIME = (1 << 61) - 1
 A_STEP, B_STEP = 0x5BD1E995, 0x1B873593
+#: Shingles whose slots a Python worker remembers.
+MOST_SHINGLES = 1 << 16
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -70,6 +77,49 @@ def minhash(c: Column, permutations: int = 128) -> Column:
     return F.transform(F.array(hashes), lambda hs: F.transform(numbers, lambda i: least(i, hs)))[0]
 
 
+class Signer:
+    """Signatures as in :func:`minhash` of lower-case, single-spaced texts. The slots of a shingle are worked out once."""
+
+    def __init__(self, permutations: int = 128):
+        self.a = [(i + 1) * A_STEP for i in range(permutations)]
+        self.b = [(i + 1) * B_STEP for i in range(permutations)]
+        self.known: dict[str, int] = {}
+        self.slots = np.empty((1024, permutations), np.uint32)
+
+    def _add(self, shingle: str) -> int:
+        h = int(hashlib.md5(shingle.encode("utf-8", "replace")).hexdigest()[24:], 16)
+        at = len(self.known)
+        if at == len(self.slots):
+            self.slots = np.concatenate([self.slots, np.empty_like(self.slots)])
+        self.slots[at] = [(a * h + b) % PRIME & MAX_HASH for a, b in zip(self.a, self.b)]
+        self.known[shingle] = at
+        return at
+
+    def sign(self, joined: str) -> np.ndarray:
+        least = np.full(len(self.a), MAX_HASH, np.uint32)
+        shingles = list({joined[i : i + 3] for i in range(max(1, len(joined) - 2))}) if joined else []
+        for lo in range(0, len(shingles), 4096):
+            part = shingles[lo : lo + 4096]
+            if len(self.known) + len(part) > MOST_SHINGLES:
+                self.known.clear()
+            at = [k if (k := self.known.get(s)) is not None else self._add(s) for s in part]
+            least = np.minimum(least, self.slots[at].min(axis=0))
+        return least
+
+
+def minhash_table(df: DataFrame, id_col: str, permutations: int = 128, text_col: str = "text") -> DataFrame:
+    """(id, signature): :func:`minhash` of whole tables, each signature as the bytes of little-endian 32-bit slots."""
+    rows = df.select(F.col(id_col), F.array_join(words_of(F.coalesce(F.col(text_col), F.lit(""))), " ").alias("joined"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(permutations)
+        for batch in batches:
+            signed = [signer.sign(t).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed, pa.binary())], [id_col, "signature"])
+
+    return rows.mapInArrow(sign, f"{id_col} {dict(rows.dtypes)[id_col]}, signature binary")
+
+
 def signature_similarity(a: Column, b: Column) -> Column:
     """Share of equal slots; 0 for empty signatures or different lengths."""
     same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import minhash
+from ..functions.similarity import minhash_table
 from ..functions.text import heading_prefix, lexical_score, tokenize
 
 
@@ -99,19 +99,19 @@ def ranking_response(ranking: DataFrame, df: DataFrame, k: int) -> DataFrame:
 def drop_near_repeats(df: DataFrame, threshold: float = 0.8, permutations: int = 128, text_col: str = "text") -> DataFrame:
     """Greedy in rank order: a candidate stays if it is no near duplicate of any that stayed (one query's pool at a time)."""
     # A text is signed once, however many queries found it.
-    signatures = df.select("cid", text_col).dropDuplicates(["cid"]).select("cid", minhash(F.col(text_col), permutations).alias("__sig"))
+    signatures = minhash_table(df.select("cid", text_col).dropDuplicates(["cid"]), "cid", permutations, text_col).withColumnRenamed("signature", "__sig")
     signed = df.join(signatures, "cid").select(*df.columns, "__sig")
     columns = signed.columns
 
     def pick(pool: pd.DataFrame) -> pd.DataFrame:
         pool = pool.sort_values("rank")
-        kept: list[np.ndarray] = []
-        keep = []
-        for sig in map(np.asarray, pool["__sig"]):
-            stays = all((sig == other).mean() < threshold for other in kept)
+        kept, n, keep = np.empty((len(pool), permutations), "<u4"), 0, []
+        for sig in (np.frombuffer(x, "<u4") for x in pool["__sig"]):
+            stays = not ((kept[:n] == sig).mean(axis=1) >= threshold).any()
             keep.append(stays)
             if stays:
-                kept.append(sig)
+                kept[n] = sig
+                n += 1
         return pool[np.array(keep, bool)].drop(columns="__sig")
 
     out = signed.groupBy("query_id").applyInPandas(pick, signed.drop("__sig").schema)

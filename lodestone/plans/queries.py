@@ -590,7 +590,7 @@ def mmr(t: Tables) -> DataFrame:
 
 @query()
 def near_repeats(t: Tables) -> DataFrame:
-    return fusion.drop_near_repeats(t.candidates, 0.8, 16).select("query_id", "cid", "rank")
+    return fusion.drop_near_repeats(t.candidates, 0.8).select("query_id", "cid", "rank")
 
 
 def corpus_chunks(t: Tables) -> DataFrame:
@@ -605,7 +605,7 @@ def hybrid_pipeline(t: Tables) -> DataFrame:
     """The default profile end to end: dense and full-text recall, fusion, near-duplicate removal, top k."""
     vectors = t.embeddings.select((F.col("vec_id")).alias("query_id"), "embedding")
     queries = _items(t).join(vectors, "query_id")
-    run = pipeline.Pipeline(corpus_chunks(t), pipeline.Config(k=10, dedup_permutations=16))
+    run = pipeline.Pipeline(corpus_chunks(t), pipeline.Config(k=10))
     return run.retrieve(queries).select("query_id", "cid", "rank")
 
 

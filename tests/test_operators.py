@@ -53,6 +53,44 @@ def test_signatures(spark):
     assert one(spark, similarity.cosine_similarity(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0
 
 
+def test_near_repeats_take_128_slots(spark):
+    import random
+
+    import numpy as np
+
+    from lodestone.plans.queries import QUERIES
+    from lodestone.plans.views import view
+
+    sf = "/root/testdata/sf0.001"
+    odd = [(1, "The  Quick\nbrown fox"), (2, None), (3, " "), (4, "ab"), (5, "Éa 中文 😀 x"), (6, " ".join(f"w{random.Random(k).random()}" for k in range(900)))]
+    df = spark.createDataFrame(odd, "id int, text string")
+    got = {r["id"]: np.frombuffer(r["signature"], "<u4").tolist() for r in similarity.minhash_table(df, "id", 20).collect()}
+    assert got == {r["id"]: r["s"] for r in df.select("id", similarity.minhash(F.coalesce("text", F.lit("")), 20).alias("s")).collect()}
+    pools = {}
+    for r in view(spark, sf, "candidates").orderBy("query_id", "rank").collect():
+        pools.setdefault(r["query_id"], []).append((r["cid"], r["text"]))
+    signer, want = similarity.Signer(128), set()
+    for q, pool in pools.items():
+        kept = []
+        for cid, t in pool:
+            sig = signer.sign(" ".join((t or "").lower().split()))
+            if all((sig == x).sum() < 0.8 * 128 for _, x in kept):
+                kept.append((cid, sig))
+        want |= {(q, cid, n + 1) for n, (cid, _) in enumerate(kept)}
+    assert {tuple(r) for r in QUERIES["near_repeats"](spark, sf).collect()} == want
+
+
+def test_registered_queries_take_the_operators_permutations(spark, monkeypatch):
+    from lodestone.operators import fusion as f
+    from lodestone.plans.queries import QUERIES
+
+    seen, whole = [], f.minhash_table
+    monkeypatch.setattr(f, "minhash_table", lambda df, id_col, permutations, *rest: seen.append(permutations) or whole(df, id_col, permutations, *rest))
+    for name in ("near_repeats", "hybrid_pipeline"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == [128, 128]
+
+
 def test_filters(spark):
     df = spark.createDataFrame([("c1", "/A/x.md", ".md", 1), ("c2", "/b/y", None, 2), ("c3", "/b/z.txt", ".txt", None)], "chunk_id string, source_path string, ext string, cluster_id int")
     ids = lambda d: [r["chunk_id"] for r in d.orderBy("chunk_id").collect()]
