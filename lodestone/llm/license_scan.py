@@ -5,8 +5,8 @@ contain to a share t has to meet the block in one of its first n - ceil(t n) + 1
 the block needs at least ceil(t n) template tokens (length filter), as many of them from the shared one on, in both
 orders (positional filter). What passes is counted exactly.
 
-Blocks are sentences: texts are cut at line ends and after ``.``, ``!`` or ``?`` before white space. Only DataFrame
-functions are used; what reaches the driver is one row per template token.
+Blocks are sentences, however they are wrapped: texts are cut at blank lines and after ``.``, ``!`` or ``?`` before
+white space. Only DataFrame functions are used; what reaches the driver is one row per template token.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ TEMPLATES = {
 }
 SHARE = 0.9
 _GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_ENDS = r"(?<=[.!?])[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -106,7 +107,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     ordered = F.array(*map(F.lit, sorted(vocabulary, key=rank.__getitem__)))
 
     # One pass over the texts: base scan, and the blocks of texts that hold any prefix word (cut before normalising).
-    blocks = F.split(F.regexp_replace("__text", r"(?<=[.!?])[\x20\x09-\x0D]+", "\n"), "\n")
+    blocks = F.split("__text", _ENDS)
     block_words = F.filter(F.transform(blocks, lambda b: F.array_intersect(ordered, F.split(normalized(b), " "))), lambda x: F.size(x) > 0)
     held = F.when(F.arrays_overlap(F.split("__norm", " "), prefix), F.filter(block_words, lambda b: F.arrays_overlap(b, prefix)))
     scanned = rows.select("doc_id", *_base(F.col("__norm"), phrases), held.alias("held"))

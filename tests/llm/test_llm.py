@@ -206,6 +206,21 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(table(spark, texts).limit(0)).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software"
+    texts = [
+        (1, mit),
+        (2, "// " + mit.replace("\n", "\r\n// ") + " and\r\n// associated files"),
+        (3, "Intro\n\nRedistribution and use in source\nand binary forms, with or without\nmodification,\nare permitted. More"),
+        (4, mit.replace("\n", "\n \t\n")),  # two paragraphs, none with enough of the words
+        (5, mit.replace("person\n", "person.\n")),  # two sentences
+        (6, "One line\nAll rights reserved\nthird line"),
+        (7, "Licensed under\nthe Apache License,\nVersion 2.0"),
+    ]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan_licenses(table(spark, texts)).collect()}
+    assert got == {1: (["mit"], 1.0), 2: (["mit"], 1.0), 3: (["bsd"], 1.0), 4: ([], 0.0), 5: ([], 0.0), 6: (["all-rights-reserved"], 1.0), 7: (["apache-2"], 1.0)}
+
+
 def test_ngram_join(spark):
     rng = random.Random(3)
     base = passage(rng, 120, 9999)
