@@ -313,3 +313,17 @@ def test_pipeline(spark):
             assert ids == {x[0] for x in decontaminate.brute_force([(i, before[i]) for i in given], bench) if not x[5]}
         held = out
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, held.collect()))
+
+
+def test_pipeline_near_duplicates(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    texts = [passage(rng, 100, 99999), passage(rng, 400, 99999)]
+    block = list(texts[1])
+    block[150:190] = passage(rng, 40, 99999)
+    rows = [(1, texts[0]), (2, texts[0] + passage(rng, 20, 99999)), (3, texts[1]), (4, block), (5, passage(rng, 100, 99999)), (6, texts[0][:60] + passage(rng, 40, 99999))]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    kept = {r["doc_id"] for r in corpus_pipeline.ngram_join(spark, table(spark, rows), SF).collect()}
+    assert kept == {c for _, _, c in ngram_join.brute_force(rows, 5, 80)} == {1, 3, 5, 6}
+    assert {c for _, _, c in ngram_join.brute_force(rows)} == {1, 2, 3, 4, 5, 6}
