@@ -76,6 +76,14 @@ def thematic_edges(t: Tables) -> DataFrame:
     return retrieval.within(t.embeddings, t.vector_queries, 0.3, "vec_id").where("query_id != cid")
 
 
+@query(f"""
+SELECT a.vec_id AS id_a, b.vec_id AS id_b, round({_cos('a.embedding', 'b.embedding')}, 6) AS similarity FROM {{embeddings}} a JOIN {{embeddings}} b
+ON a.vec_id < b.vec_id WHERE round({_cos('a.embedding', 'b.embedding')}, 6) >= 0.8""")
+def similar_pairs(t: Tables) -> DataFrame:
+    """The thematic links of all vectors with one another; thematic_edges searches from the stated queries only."""
+    return retrieval.similar_pairs(t.embeddings, 0.8, "vec_id")
+
+
 _BM25 = """
   tokens AS (SELECT doc_id AS cid, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM {documents}),
   stats AS (SELECT count(*) AS n_docs, avg(len(ts)) AS mean FROM tokens),

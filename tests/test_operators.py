@@ -126,6 +126,23 @@ def test_search_edge_cases(spark):
     assert retrieval.similar_pairs(corpus.where("cid < 4"), 0.999, "cid").collect()[0][:2] == (0, 3)
 
 
+def test_similar_pairs_of_all_vectors(spark, tmp_path):
+    import numpy as np
+
+    from lodestone.plans.queries import QUERIES
+
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(90, 8))
+    v[45:] = v[:45] + rng.normal(size=(45, 8)) * 0.5
+    spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label long").write.parquet(str(tmp_path / "embeddings.parquet"))
+    unit = v.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want = {(int(i), int(j)) for i, j in np.argwhere(np.triu(np.round(unit @ unit.T, 6) >= 0.8, 1))}
+    got = [(r["id_a"], r["id_b"]) for r in QUERIES["similar_pairs"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sum(bool(a % 20 and b % 20) for a, b in want) > 20
+
+
 def test_versions(spark):
     rows = [("c1", "/f", 1, False), ("c2", "/f", 2, False), ("c3", "/f", 3, False), ("c4", "/f", 4, True)]
     df = spark.createDataFrame(rows, "chunk_id string, source_path string, version int, is_current boolean").withColumn("ingested_at", F.lit(None).cast("date"))
