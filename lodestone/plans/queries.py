@@ -229,6 +229,12 @@ def slugs_and_tokens(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.slugify(F.substring("text", 1, 80)).alias("slug"), text.estimate_tokens(F.col("text")).alias("tokens"))
 
 
+@query("""SELECT doc_id, regexp_replace(substring(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 50), '-+$', '') AS slug FROM {documents}""")
+def whole_slugs(t: Tables) -> DataFrame:
+    """Slugs of whole texts, at most 50 characters; slugs_and_tokens takes the first 80 characters of a text as its name."""
+    return t.documents.select("doc_id", text.slugify(F.col("text"), 50).alias("slug"))
+
+
 @query(r"""
 WITH k AS (SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_\-]{{2,}}'), lambda w: lower(w)), lambda w: w NOT IN (""" + ", ".join(f"'{w}'" for w in text.KEYWORD_STOP_WORDS) + r""")))) AS ks,
   regexp_extract_all(text, '\b((?:19|20)\d{{2}})\b', 1) AS ys FROM {documents})

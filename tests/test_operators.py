@@ -31,6 +31,18 @@ def test_text_functions(spark):
     assert one(spark, text.lexical_score(text.tokenize(lit("python programming")), text.tokenize(lit("python programming guide")))) == pytest.approx(1.1)
 
 
+def test_slugs_of_whole_texts(spark, tmp_path):
+    import re
+
+    from lodestone.plans.queries import QUERIES
+
+    rows = [(1, "!" * 100 + " Late Words"), (2, "Яд " * 40 + "after"), (3, "ab-" * 40), (4, None), (5, ""), (6, "x" * 49 + " - yz")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: re.sub(r"[^a-z0-9]+", "-", (t or "").lower()).strip("-")[:50].rstrip("-") for i, t in rows}
+    assert want[1] == "late-words" and want[2] == "after"
+    assert {r["doc_id"]: r["slug"] for r in QUERIES["whole_slugs"](spark, str(tmp_path)).collect()} == want
+
+
 def test_signatures(spark):
     import hashlib
 
