@@ -37,8 +37,8 @@ def lexical_rerank(df: DataFrame, query_col: str = "query", text_col: str = "tex
 
 
 def drop_repeats(df: DataFrame, text_col: str = "text", most: int = 2000) -> DataFrame:
-    """The first of equal texts (lower case, single blanks, first ``most`` characters); empty texts go."""
-    key = F.trim(F.regexp_replace(F.lower(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, most)), r"\s+", " "))
+    """The first of equal texts (lower case, single blanks, of that the first ``most`` characters); empty texts go."""
+    key = F.substring(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+", " ")), 1, most)
     keyed = df.withColumn("__key", key).where("__key != ''")
     first = F.row_number().over(Window.partitionBy("query_id", "__key").orderBy("rank"))
     return _rerank(keyed.withColumn("__n", first).where("__n = 1").drop("__n", "__key"), F.col("rank"))

@@ -65,6 +65,13 @@ def test_signatures(spark):
     assert one(spark, similarity.cosine_similarity(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0
 
 
+def test_repeats_by_folded_text(spark):
+    wide = "a" + " " * 2000
+    texts = [wide + "one", wide + "two", "\n" * 2000 + "late", "A\n\tone", "b" * 2000 + "x", "b" * 2000 + "y", " \n", None]
+    df = spark.createDataFrame([(1, str(n), n, t) for n, t in enumerate(texts, 1)], "query_id int, cid string, rank int, text string")
+    assert [r["cid"] for r in fusion.drop_repeats(df).orderBy("rank").collect()] == ["1", "2", "3", "5"]
+
+
 def test_near_repeats_take_128_slots(spark):
     import random
 
