@@ -602,6 +602,12 @@ def mmr(t: Tables) -> DataFrame:
     return fusion.mmr(j, 0.7, 10).select("query_id", "cid", "rank")
 
 
+@query()
+def minhash_signature_full(t: Tables) -> DataFrame:
+    """All 128 slots, as the hexadecimal digits of little-endian 32-bit numbers."""
+    return similarity.minhash_table(t.documents, "doc_id").select("doc_id", F.hex("signature").alias("signature"))
+
+
 @query()
 def near_repeats(t: Tables) -> DataFrame:
     return fusion.drop_near_repeats(t.candidates, 0.8).select("query_id", "cid", "rank")

@@ -110,6 +110,22 @@ def test_registered_queries_take_the_operators_permutations(spark, monkeypatch):
     assert seen == [128, 128]
 
 
+def test_full_signatures(spark):
+    import hashlib
+    import struct
+
+    from lodestone.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: struct.unpack("<128I", bytes.fromhex(r["signature"])) for r in QUERIES["minhash_signature_full"](spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    for i in sorted(texts, key=lambda i: len(texts[i] or ""))[:40]:
+        joined = " ".join((texts[i] or "").lower().split())
+        hs = {int(hashlib.md5(joined[k : k + 3].encode()).hexdigest(), 16) & 0xFFFFFFFF for k in range(max(1, len(joined) - 2))} if joined else set()
+        assert got[i] == tuple(min([((k * 0x5BD1E995 * h + k * 0x1B873593) % ((1 << 61) - 1)) & 0xFFFFFFFF for h in hs] + [0xFFFFFFFF]) for k in range(1, 129))
+
+
 def test_filters(spark):
     df = spark.createDataFrame([("c1", "/A/x.md", ".md", 1), ("c2", "/b/y", None, 2), ("c3", "/b/z.txt", ".txt", None)], "chunk_id string, source_path string, ext string, cluster_id int")
     ids = lambda d: [r["chunk_id"] for r in d.orderBy("chunk_id").collect()]
