@@ -2,14 +2,17 @@
 
 The global n-gram order puts n-grams that many documents have last and orders the others by hash. Two sets that
 reach the threshold share an n-gram among the first few of that order (their prefixes), so prefixes give the
-candidates; length and position rule out most. The sets are cut along the n-gram order (by hash range) into
-fragments; for every candidate pair each fragment's overlap is counted separately and the counts are summed.
+candidates; length and position rule out most. The order is then cut into fragments of about equal mass. Every set
+falls apart along these cuts, one row a fragment; for every candidate pair each fragment's overlap is counted by
+itself, and the counts are summed per pair.
 
 What would grow with the square of a group of copies is avoided without dropping a link:
  - equal sets are one class (a digest), represented once per partition;
- - in each prefix n-gram's group all are first compared with a few hubs; most of a group of near copies is one
-   component after that. Only pairs that are in different components then are compared as well, which is every
-   pair that could still join two classes.
+ - in each prefix n-gram's group all are first compared with one hub, the set that has the fewest rarer n-grams
+   before the shared one: the copy nearest to what the group has in common. Near copies are one component after that;
+ - then only pairs in different components are left that could still join two classes. The smaller set of a pair has
+   a shared n-gram in a shorter prefix, and a set's position bounds the size of its partner, so most sets of a group
+   that is not linked end before any pair is made.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from . import sketch as S
+from .columns import private_names
 from .components import connected_components
 from .scratch import materialize
 
 FREQUENCY_BLOCK, MOST_FREQUENCY_BITS = 20, 26
-HUBS = 8
 FRAGMENTS = 8
 PREFILTER_ROWS, MOST_PREFILTER_BITS = 3, 28
 
@@ -55,9 +58,10 @@ def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.nda
         yield lo, grams, np.searchsorted(row, np.arange(len(offsets)))
 
 
-def _frequencies(docs: DataFrame, size: int, total_bytes: int) -> tuple[int, dict[int, bytes]]:
-    """(bits, compressed blocks) of a one-row count sketch over all documents: for each cell how far its count is above
-    the mean, in quarter powers of two. Cells grow with the text up to a bound; blocks are summed and graded apart."""
+def _frequencies(docs: DataFrame, size: int, total_bytes: int) -> tuple[int, dict[int, bytes], np.ndarray]:
+    """(bits, compressed blocks, cuts). A one-row count sketch over all documents says for each cell how far its count
+    is above the mean, in quarter powers of two. Cells grow with the text up to a bound; blocks are summed and graded
+    apart. ``cuts`` cut the order of grades and hashes (see _order) into fragments of about equal mass."""
     bits = min(MOST_FREQUENCY_BITS, max(FREQUENCY_BLOCK, math.ceil(math.log2(max(1, total_bytes) / 50))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,24 +81,38 @@ def _frequencies(docs: DataFrame, size: int, total_bytes: int) -> tuple[int, dic
             at, n = np.frombuffer(zlib.decompress(x), np.uint32).reshape(2, -1)
             total[np.cumsum(at.astype(np.int64))] += n
         steps = np.clip(4 * np.log2(np.maximum(total, 1) / max(1.0, total.mean())), 0, 255).astype(np.uint8)
-        return pd.DataFrame({"block": [key[0]], "bits": [zlib.compress(steps.tobytes(), 1)]})
+        mass = np.bincount(steps, weights=total, minlength=256)
+        return pd.DataFrame({"block": [key[0]], "bits": [zlib.compress(steps.tobytes(), 1)], "mass": [mass]})
 
-    rows = K.map_batches(docs.select("text"), count, S.PARTIAL_SCHEMA).groupBy("block").applyInPandas(grade, "block long, bits binary").collect()
-    return bits, {r["block"]: bytes(r["bits"]) for r in rows}
+    rows = K.map_batches(docs.select("text"), count, S.PARTIAL_SCHEMA).groupBy("block").applyInPandas(grade, "block long, bits binary, mass array<double>").collect()
+    mass = np.sum([r["mass"] for r in rows], axis=0) if rows else np.zeros(256)
+    upto = np.r_[0, np.cumsum(mass)]
+    at = np.interp(np.arange(1, FRAGMENTS) * upto[-1] / FRAGMENTS, upto, np.arange(257)) if upto[-1] else np.arange(1, FRAGMENTS)
+    cuts = at.astype(np.uint64) << np.uint64(56) | ((at % 1) * (1 << 56)).astype(np.uint64)
+    return bits, {r["block"]: bytes(r["bits"]) for r in rows}, cuts
 
 
-def _grades(bits: int, blocks: dict[int, bytes]) -> np.ndarray:
+def _grades(bits: int, blocks: dict[int, bytes], cuts: np.ndarray) -> np.ndarray:
     out = np.zeros(1 << bits, np.uint8)
     for block, packed in blocks.items():
         out[block << FREQUENCY_BLOCK : block + 1 << FREQUENCY_BLOCK] = np.frombuffer(zlib.decompress(packed), np.uint8)
     return out
 
 
+def _grade_of(grams: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    return grades[(grams >> np.uint64(65 - len(grades).bit_length())).astype(np.int64)]
+
+
+def _order(grams: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """Place of n-grams in the global order: the grade, then the first 56 bits of the hash."""
+    return _grade_of(grams, grades).astype(np.uint64) << np.uint64(56) | grams >> np.uint64(8)
+
+
 def _prefixes(grams: np.ndarray, first: np.ndarray, grades: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(n-gram, row, position) of the n-grams of every row's prefix in the global order."""
     n = np.diff(first)
     row = np.repeat(np.arange(len(n)), n)
-    rank = np.lexsort((grams, grades[(grams >> np.uint64(65 - len(grades).bit_length())).astype(np.int64)], row))
+    rank = np.lexsort((grams, _grade_of(grams, grades), row))
     length = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
     at, row = K.spans_to_index(first[:-1], length)
     return grams[rank[at]], row, at - first[row]
@@ -109,17 +127,8 @@ def _digest(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(n > 0, np.where(d == 0, np.uint64(1), d), np.uint64(0))
 
 
-def _done(df: DataFrame, *broadcasts: Broadcast) -> DataFrame:
-    """``df``, which is stored, after which nobody needs the broadcasts."""
-    for b in broadcasts:
-        b.destroy()
-    return df
-
-
-def _table(docs: DataFrame, size: int, percent: int, total_bytes: int) -> DataFrame:
+def _table(docs: DataFrame, size: int, percent: int, total_bytes: int, classes: Broadcast) -> DataFrame:
     """For every row id, node (the set's digest), n; for a set with prefix n-grams that another may have also these (grams) and their positions (at)."""
-    spark = docs.sparkSession
-    classes = spark.sparkContext.broadcast(_frequencies(docs, size, total_bytes))
     bits = min(MOST_PREFILTER_BITS, max(12, math.ceil(math.log2(max(1, total_bytes) / 8))))
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +142,7 @@ def _table(docs: DataFrame, size: int, percent: int, total_bytes: int) -> DataFr
         if found:
             yield from S.partial(np.concatenate(found), PREFILTER_ROWS, bits)
 
-    blocks = spark.sparkContext.broadcast(S.merged(K.map_batches(docs.select("text"), first_pass, S.PARTIAL_SCHEMA)))
+    blocks = docs.sparkSession.sparkContext.broadcast(S.merged(K.map_batches(docs.select("text"), first_pass, S.PARTIAL_SCHEMA)))
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes, grades = S.planes(blocks.value, PREFILTER_ROWS, bits), _grades(*classes.value)
@@ -156,27 +165,32 @@ def _table(docs: DataFrame, size: int, percent: int, total_bytes: int) -> DataFr
                 )
 
     schema = "id long, node long, n long, grams array<long>, at array<long>"
-    return _done(materialize(K.map_batches(docs.select("id", "text"), second_pass, schema), "ngrams"), classes, blocks)
+    table = materialize(K.map_batches(docs.select("id", "text"), second_pass, schema), "ngrams")
+    blocks.destroy()
+    return table
 
 
-def _fragments(rows: DataFrame, size: int) -> DataFrame:
-    """(node, pieces) from rows (node, text): each set cut along the n-gram order."""
-    cuts = np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // FRAGMENTS)
+def _fragments(rows: DataFrame, size: int, classes: Broadcast) -> DataFrame:
+    """(node, fragment, grams) from rows (node, text): each set cut along the n-gram order, one row a fragment."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grades, cuts = _grades(*classes.value), classes.value[2]
         for batch in batches:
             for lo, grams, first in _sets(batch.column(1), size):
-                nodes = batch.column(0).slice(lo, len(first) - 1).to_pylist()
-                own = _digest(grams, first).view(np.int64).tolist()
-                out: tuple[list, list] = ([], [])
-                for k, node in enumerate(nodes):
-                    if own[k] == node:  # a row of the same id may hold another text
-                        one = grams[first[k] : first[k + 1]]
-                        out[0].append(node)
-                        out[1].append(np.split(one.view(np.int64), np.searchsorted(one, cuts)))
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.list_(pa.int64())))], ["node", "pieces"])
-
-    return materialize(K.map_batches(rows, cut, "node long, pieces array<array<long>>"), "fragments")
+                nodes = batch.column(0).slice(lo, len(first) - 1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(nodes)), np.diff(first))
+                own = (_digest(grams, first).view(np.int64) == nodes)[row]  # a row of the same id may hold another text
+                grams, row = grams[own], row[own]
+                fragment = np.searchsorted(cuts, _order(grams, grades), "right")
+                by = np.lexsort((fragment, row))
+                grams, row, fragment = grams[by].view(np.int64), row[by], fragment[by]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (fragment[1:] != fragment[:-1])
+                start = np.flatnonzero(new)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[start, len(row)], pa.int32()), pa.array(grams, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[row[start]], pa.int64()), pa.array(fragment[start], pa.int32()), lists], ["node", "fragment", "grams"])
+
+    return materialize(K.map_batches(rows, cut, "node long, fragment int, grams array<long>"), "fragments")
 
 
 def _possible(percent: int):
@@ -209,28 +223,47 @@ def _rows_of(base: DataFrame, holders: DataFrame) -> DataFrame:
     return K.map_batches(base.select("id", "text"), maybe, "id long, text string").join(holders, "id").select("node", "text")
 
 
-def _linked(pairs: DataFrame, base: DataFrame, known: DataFrame, prefixes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that reach the threshold, as (a, b): overlaps counted per fragment and summed per pair.
+def _linked(pairs: DataFrame, base: DataFrame, known: DataFrame, size: int, percent: int, classes: Broadcast) -> DataFrame:
+    """The pairs (a, b, na, nb), stored, that reach the threshold, as (a, b), stored: one overlap a pair and fragment,
+    summed per pair. A row that comes twice has its fragments twice: the same overlap, counted once by the largest."""
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    holders = materialize(known.groupBy("node").agg(F.min("id").alias("id")).join(needed, "node", "left_semi"), "holders")
+    pieces = _fragments(_rows_of(base, holders), size, classes)
+    side = lambda node, kept: pieces.select(F.col("node").alias(node), "fragment", F.col("grams").alias(kept))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), ["b", "fragment"])
+    counted = both.groupBy("a", "b", "na", "nb", "fragment").agg(F.max(F.size(F.array_intersect("x", "y"))).alias("o"))
+    summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+    return materialize(summed.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b"), "links")
+
+
+def _distinct_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb), a < b, of the possible pairs in rows (node, n, at, node2, n2, at2), stored."""
+    up, ends = F.col("node") < F.col("node2"), (("node", "node2", "a", "b"), ("n", "n2", "na", "nb"), ("at", "at2", "pa", "pb"))
+    both = [F.when(up, p).otherwise(q).alias(name) for one, two, low, high in ends for p, q, name in ((F.col(one), F.col(two), low), (F.col(two), F.col(one), high))]
+    return materialize(rows.select(*both).where(_possible(percent)).select("a", "b", "na", "nb").distinct(), "pairs")
+
+
+def _across(shared: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of rows (gram, node, n, at) with one n-gram whose sets are in different components and might still link.
 
-    The prefixes (node, grams) are the first fragment. Of the set whose prefix ends first, what is common lies in both
-    prefixes or behind its own, so their overlap and the longer rest bound the sum: unlike pairs end here. The other
-    fragments come from the texts of the pairs that are left. A row that comes twice has its fragments twice: the same
-    overlap, counted once by taking the largest.
+    The smaller set of a linked pair (either, of equal sizes) holds a shared n-gram so early that the sets could be
+    twins of its size; the larger one so early that the smallest such set of the n-gram could be its partner.
     """
-    keys = ["a", "b", "na", "nb"]
-    side = lambda df, node, kept, name: df.select(F.col("node").alias(node), F.col(kept).alias(name))
-    met = pairs.join(side(prefixes, "a", "grams", "x"), "a").join(side(prefixes, "b", "grams", "y"), "b")
-    behind = F.ceil(percent * F.greatest("na", "nb") / 100) - 1
-    most = F.size(F.array_intersect("x", "y")) + behind
-    left = materialize(met.where(most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select(*keys), "left")
-
-    needed = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
-    holders = materialize(known.groupBy("node").agg(F.min("id").alias("id")).join(needed, "node", "left_semi"), "holders")
-    pieces = _fragments(_rows_of(base, holders), size)
-    both = left.join(side(pieces, "a", "pieces", "x"), "a").join(side(pieces, "b", "pieces", "y"), "b")
-    counts = F.zip_with("x", "y", lambda x, y: F.size(F.array_intersect(x, y)))
-    summed = both.select(*keys, F.aggregate(counts, F.lit(0), lambda s, x: s + x).alias("o")).groupBy(*keys).agg(F.max("o").alias("o"))
-    return summed.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
+    rows = shared.select("gram", "node", "n", "at").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    early = (100 + percent) * (F.col("n") - F.col("at")) >= 2 * percent * F.col("n")
+    rows = materialize(rows.withColumn("early", early), "rows")
+    least = rows.groupBy("gram").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min(F.when(F.col("early"), F.col("n"))).alias("least"))
+    least = materialize(least.where("c1 != c2 AND least IS NOT NULL").select("gram", "least"), "least")
+    partner = F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100))
+    mixed = materialize(rows.join(least, "gram").where((100 + percent) * (F.col("n") - F.col("at")) >= percent * (F.col("n") + partner)).drop("least"), "mixed")
+    sizes = mixed.groupBy("gram", "component").agg(F.count("*").alias("rows"))
+    largest = sizes.groupBy("gram").agg(F.max(F.struct("rows", "component")).alias("top"), F.count("*").alias("components")).where("components > 1")
+    mixed = materialize(mixed.join(largest.select("gram", F.col("top.component").alias("top")), "gram").withColumn("few", F.col("component") != F.col("top")).drop("top"), "mixed")
+    other = mixed.where("early").select("gram", *[F.col(c).alias(c + "2") for c in ("node", "n", "at", "component", "few")])
+    fits = (F.col("component") != F.col("component2")) & (F.col("n") >= F.col("n2"))
+    possible = (100 * F.col("n2") >= percent * F.col("n")) & (F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * (100 + percent) >= percent * (F.col("n") + F.col("n2")))
+    crossed = mixed.join(other.where("few2"), "gram").unionByName(mixed.where("few").join(other.where("NOT few2"), "gram"))
+    return crossed.where(fits & possible)
 
 
 def similar_sets(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,46 +273,30 @@ def similar_sets(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str
     case); with fewer words the whole sequence as one; null and empty texts have empty sets and link with nothing.
     Documents link when 100 * intersection >= ``percent`` * union; component_id is the smallest id that links reach.
     Rows of one id count as one document (their sets are linked); a row without an id gets no component. Other columns
-    are ignored. N-grams and sets are compared by 64 bits of hash.
+    are ignored; an empty table gives an empty result. N-grams and sets are compared by 64 bits of hash.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    table = _table(base, size, percent, total)
+    classes = base.sparkSession.sparkContext.broadcast(_frequencies(base, size, total))
+    table = _table(base, size, percent, total, classes)
 
     members = table.select("id", "node", "n")
     known = members.where("n > 0 AND id IS NOT NULL")
     groups = table.where("grams IS NOT NULL").select("node", "n", F.explode(F.arrays_zip("grams", "at")).alias("g")).select("node", "n", F.col("g.grams").alias("gram"), F.col("g.at").alias("at"))
-    # Rows of n-grams that two sets have; per n-gram the first HUBS sets (limited on the map side, before the shuffle).
-    several = groups.groupBy("gram").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("rows")).where("x != y").select("gram", "rows")
+    # N-grams that two sets have, each with its hub; stored, so that the join's both sides can be split where they are skewed.
+    hub = F.min(F.struct("at", "node", "n"))
+    several = groups.groupBy("gram").agg(F.min("node").alias("x"), F.max("node").alias("y"), hub.alias("hub")).where("x != y")
+    several = materialize(several.select("gram", F.col("hub.node").alias("node2"), F.col("hub.n").alias("n2"), F.col("hub.at").alias("at2")), "hubs")
     shared = materialize(groups.join(several, "gram"), "shared")
-    nth = F.row_number().over(Window.partitionBy("gram").orderBy("node"))
-    hubs = shared.withColumn("nth", nth).where(F.col("nth") <= HUBS).select("gram", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
 
-    def pairs(a: tuple, b: tuple) -> list:
-        (x, nx, px), (y, ny, py) = a, b
-        up = x < y
-        return [F.when(up, p).otherwise(q).alias(name) for p, q, name in ((x, y, "a"), (y, x, "b"), (nx, ny, "na"), (ny, nx, "nb"), (px, py, "pa"), (py, px, "pb"))]
+    first = _distinct_pairs(shared.where("node != node2"), percent)
+    links = _linked(first, base, known, size, percent, classes)
+    rest = _distinct_pairs(_across(shared, connected_components(links), percent), percent)
+    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    if not rest.isEmpty():
+        links = links.unionByName(_linked(rest, base, known, size, percent, classes))
+    classes.destroy()
 
-    prefixes = materialize(table.where("grams IS NOT NULL").select("node", "grams").dropDuplicates(["node"]), "prefixes")
-
-    def candidates(rows: DataFrame) -> DataFrame:
-        both = pairs((F.col("node"), F.col("n"), F.col("at")), (F.col("node2"), F.col("n2"), F.col("at2")))
-        return rows.select(*both).where(_possible(percent)).select("a", "b", "na", "nb").distinct()
-
-    links = materialize(_linked(candidates(shared.join(hubs, "gram").where("node != node2")), base, known, prefixes, size, percent), "links")
-    parts = connected_components(links)
-
-    # Pairs without a hub, in different components as they are now.
-    inner = shared.where(F.col("rows") > HUBS).join(hubs.select("gram", F.col("node2").alias("node")), ["gram", "node"], "left_anti")
-    inner = inner.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    inner = materialize(inner.select("gram", "node", "n", "at", "component"), "inner")
-    sizes = inner.groupBy("gram", "component").agg(F.count("*").alias("rows"))
-    largest = sizes.groupBy("gram").agg(F.max(F.struct("rows", "component")).alias("top"), F.count("*").alias("components")).where("components > 1")
-    mixed = inner.join(largest.select("gram", F.col("top.component").alias("top")), "gram")
-    few = mixed.where("component != top").select("gram", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("component").alias("component2"))
-    crossed = few.join(mixed, "gram").where("component != component2 AND (component = top OR node < node2)")
-    more = candidates(crossed)
-    links = links.unionByName(_linked(more, base, known, prefixes, size, percent))
     twice = known.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("id", "a")
     same_id = known.join(twice, "id").where("a != node").select("a", F.col("node").alias("b"))
     parts = connected_components(links.unionByName(same_id))
@@ -295,13 +312,15 @@ def similar_sets(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each class of ``docs`` (the smallest id; of its rows the one with the least text hash), all columns.
 
-    Documents without words are classes of their own; rows without an id stay.
+    Documents without words are classes of their own; rows without an id stay; an empty table stays empty. ``docs`` may
+    have columns of any other names.
     """
+    keep, nth = private_names(docs, "keep", "nth")
     out = similar_sets(docs, id_col=id_col, text_col=text_col, **options)
-    first = out.where("component_id = doc_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(first, F.col(id_col).cast("long") == F.col("__keep"), "left_semi")
+    first = out.where("component_id = doc_id").select(F.col("doc_id").alias(keep)).distinct()
+    kept = docs.join(first, F.col(id_col).cast("long") == F.col(keep), "left_semi")
     row = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col))))
-    kept = kept.withColumn("__nth", row).where("__nth = 1").drop("__nth")
+    kept = kept.withColumn(nth, row).where(F.col(nth) == 1).drop(nth)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
 
 

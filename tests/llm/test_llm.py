@@ -239,6 +239,34 @@ def test_ngram_join(spark):
     assert ngram_join.similar_sets(same.limit(0)).count() == 0
 
 
+def test_ngram_join_of_large_groups(spark):
+    """Near copies on both sides of the threshold, with and without the text they come from, and unlike texts with one passage."""
+    rng = random.Random(8)
+    rows = []
+    for start, many, edits in ((0, 150, (0, 1, 2, 3, 5)), (1000, 120, (2, 2, 2, 3))):
+        base = passage(rng, 150, 99999)
+        for i in range(many):
+            w = list(base)
+            for _ in range(rng.choice(edits)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.choice((0, 1, 1, 2))] = [f"x{rng.randint(0, 10**6)}"]
+            rows.append((start + i, " ".join(w)))
+    common = passage(rng, 30, 99999)
+    rows += [(2000 + i, " ".join(common + passage(rng, rng.choice((2, 4, 6, 200)), 10**6))) for i in range(80)]
+    for size, percent in ((4, 85), (5, 80), (2, 60)):
+        assert sorted(map(tuple, ngram_join.similar_sets(table(spark, rows), size, percent).collect())) == sorted(ngram_join.brute_force(rows, size, percent))
+
+
+def test_keep_one_of_each_names(spark):
+    docs = table(spark, [(1, "a b c d e"), (2, "a b c d e"), (1, "z"), (None, "q"), (3, None)])
+    for clash in ("__keep", "__nth", "__KEEP_", "gram", "component", "n2", "rows"):
+        docs = docs.withColumn(clash, F.lit("own"))
+    kept = ngram_join.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and {r["__nth"] for r in kept.collect()} == {"own"}
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "None"]
+    assert ngram_join.keep_one_of_each(docs.limit(0)).count() == 0
+
+
 def test_ngram_join_of_empty_partitions(spark):
     empty = [(1, None), (2, ""), (3, " \n\t"), (4, None)]
     want = [(i, 0, i) for i, _ in empty]
