@@ -2,8 +2,10 @@
 
 Each metric's distribution is kept as a quantile sketch of logarithmic buckets (relative error ``ERROR``): counts per
 bucket, which merge by addition. Sketches are taken per language and source over all documents and merged upwards
-(per language, over everything) for groups with too few documents. A threshold is a far-out fence of its group's
-quartiles plus a slack; documents are joined with their group's thresholds and judged.
+(per language, over everything). A threshold is a tail quantile of its group's sketch, moved outwards by ``reach`` times
+its distance from the median. Every group's threshold is a weighted mean of its own and its language's, and that of the
+language of its own and the whole corpus's; the parent counts as ``prior`` documents, so a group of few documents leans on
+its parent and one of many does not, without a step between. Documents are joined with their group's thresholds and judged.
 
 Only DataFrame functions are used. The sketches' sums do not depend on how rows are dealt, so reruns agree.
 """
@@ -15,20 +17,21 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import NOT_SPACE, let, plain_words, text_or_empty
+from .columns import NOT_SPACE, let, plain_words, private_names, text_or_empty
 from .scratch import materialize
 
 ERROR = 0.04
-#: Metric: (side that is bad, slack added to the fence). Shares are between 0 and 1.
-RULES = {
-    "symbol_share": ("upper", 0.05),
-    "dup_line_share": ("upper", 0.50),
-    "repeat_share": ("upper", 0.20),
-    "word_length": ("both", 2.0),
+#: Metric: the quantiles beyond which a document is unlike its group (None: no bound on that side).
+TAILS = {
+    "symbol_share": (None, 0.90),
+    "dup_line_share": (None, 0.99),
+    "repeat_share": (None, 0.99),
+    "word_length": (0.01, 0.99),
 }
-FENCE = 3.0
-LEAST_ROWS = 100
-_LOWEST = 1e-3
+REACH = 0.5
+PRIOR = 100
+#: Values up to this one share the sketch's first bucket.
+LOWEST = 1e-3
 
 
 def _repeat_words(words: Column) -> Column:
@@ -50,10 +53,11 @@ def _repeat_words(words: Column) -> Column:
 
 
 def with_metrics(docs: DataFrame, text_col: str = "text", out: str = "metrics") -> DataFrame:
-    """``docs`` with a struct of n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words (null text: zeros)."""
+    """``docs`` with a struct ``out`` of n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words (null text: zeros)."""
+    words_col, lines_col = private_names(docs, "words", "lines")
     text = text_or_empty(text_col)
-    parts = docs.withColumn("__words", plain_words(text)).withColumn("__lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE)))
-    words, lines = F.col("__words"), F.col("__lines")
+    parts = docs.withColumn(words_col, plain_words(text)).withColumn(lines_col, F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE)))
+    words, lines = F.col(words_col), F.col(lines_col)
     return parts.withColumn(
         out,
         F.struct(
@@ -64,7 +68,7 @@ def with_metrics(docs: DataFrame, text_col: str = "text", out: str = "metrics")
             F.size(lines).cast("long").alias("n_lines"),
             _repeat_words(words).alias("n_repeat_words"),
         ),
-    ).drop("__words", "__lines")
+    ).drop(words_col, lines_col)
 
 
 def _measure(m: Column, name: str) -> Column:
@@ -85,77 +89,73 @@ def quantile_sketches(measured: DataFrame, keys: list[str], metrics: str, least_
     """(keys, metric, bucket, n) over the documents that pass the base rules."""
     m = F.col(metrics)
     step = math.log((1 + ERROR) / (1 - ERROR))
-    values = F.array(*[F.struct(F.lit(k).alias("metric"), _measure(m, k).alias("x")) for k in RULES])
+    values = F.array(*[F.struct(F.lit(k).alias("metric"), _measure(m, k).alias("x")) for k in TAILS])
     rows = measured.where(~_base_failed(m, least_words)).select(*keys, F.explode(values).alias("v"))
-    bucket = F.when(F.col("v.x") <= _LOWEST, F.lit(0)).otherwise(F.ceil(F.log(F.col("v.x") / _LOWEST) / step)).cast("int")
+    bucket = F.when(F.col("v.x") <= LOWEST, F.lit(0)).otherwise(F.ceil(F.log(F.col("v.x") / LOWEST) / step)).cast("int")
     return rows.groupBy(*keys, F.col("v.metric").alias("metric"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def _thresholds_of(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per group: n and, for each metric, lower and upper (null: no bound)."""
+_BOUNDS = [f"{k}_{side}" for k, ends in TAILS.items() for side, q in zip(("lower", "upper"), ends) if q is not None]
+
+
+def _thresholds_of(sketch: DataFrame, keys: list[str], reach: float) -> DataFrame:
+    """One row per group: n and the bounds. Quantiles are the far ends of their buckets, so that values that a sketch
+    cannot tell from the quantile are inside."""
     growth = (1 + ERROR) / (1 - ERROR)
     group = Window.partitionBy(*keys, "metric")
     ranked = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("all", F.sum("n").over(group))
-    value = F.when(F.col("bucket") == 0, F.lit(0.0)).otherwise(_LOWEST * F.pow(F.lit(growth), F.col("bucket")) * 2 / (growth + 1))
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), value))
-    quartiles = ranked.groupBy(*keys, "metric").agg(F.max("all").alias("n"), at(0.25).alias("q1"), at(0.75).alias("q3"))
-    side = {k: s for k, (s, _) in RULES.items()}
+    top = LOWEST * F.pow(F.lit(growth), F.col("bucket"))
+    bottom = F.when(F.col("bucket") == 0, F.lit(0.0)).otherwise(top / growth)
+    at = lambda k, q, value: F.min(F.when((F.col("metric") == k) & (F.col("upto") >= q * F.col("all")), value))
     columns = []
-    for k, (_, slack) in RULES.items():
-        here = F.col("metric") == k
-        reach = FENCE * (F.col("q3") - F.col("q1")) + slack
-        if side[k] == "both":
-            columns.append(F.max(F.when(here, F.col("q1") - reach)).alias(f"{k}_lower"))
-        columns.append(F.max(F.when(here, F.col("q3") + reach)).alias(f"{k}_upper"))
-    return quartiles.groupBy(*keys).agg(F.max("n").alias("n"), *columns)
-
-
-_BOUNDS = [f"{k}_{s}" for k, (side, _) in RULES.items() for s in (("lower", "upper") if side == "both" else ("upper",))]
-
-
-def adaptive_thresholds(measured: DataFrame, lang_col: str, source_col: str, metrics: str = "metrics", least_words: int = 50, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """One row per language and source (nulls are groups too): __lang, __source and the bounds that hold there."""
-    keyed = measured.select(F.col(lang_col).alias("__lang"), F.col(source_col).alias("__source"), F.col(metrics).alias("__m"))
-    sketch = materialize(quantile_sketches(keyed, ["__lang", "__source"], "__m", least_words), "sketches")
+    for k, (low, high) in TAILS.items():
+        if low is not None:
+            columns.append((at(k, low, bottom) - reach * (at(k, 0.5, bottom) - at(k, low, bottom))).alias(f"{k}_lower"))
+        if high is not None:
+            columns.append((at(k, high, top) + reach * (at(k, high, top) - at(k, 0.5, top))).alias(f"{k}_upper"))
+    return ranked.groupBy(*keys).agg(F.max("all").alias("n"), *columns)
+
+
+def adaptive_thresholds(measured: DataFrame, lang_col: str, source_col: str, metrics: str = "metrics", least_words: int = 50, reach: float = REACH, prior: float = PRIOR) -> DataFrame:
+    """One row per language and source (nulls are groups too) with a document that passes the base rules: lang, source
+    and the bounds that hold there. ``measured`` may have any other columns."""
+    keyed = measured.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(metrics).alias("m"))
+    sketch = materialize(quantile_sketches(keyed, ["lang", "source"], "m", least_words), "sketches")
     merged = lambda keys: sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
-    fine = _thresholds_of(sketch, ["__lang", "__source"])
-    by_lang = _thresholds_of(merged(["__lang"]), ["__lang"])
-    overall = _thresholds_of(merged([]).withColumn("__all", F.lit(1)), ["__all"])
-    for df_name in ("by_lang", "overall"):
-        df = by_lang if df_name == "by_lang" else overall
-        renamed = df.select(*[F.col(c) for c in df.columns if c in ("__lang", "__all")], F.col("n").alias("__n"), *[F.col(b).alias(f"__{b}") for b in _BOUNDS])
-        if df_name == "by_lang":
-            renamed = renamed.withColumnRenamed("__lang", "__up")
-            wide = fine.join(renamed, F.col("__lang").eqNullSafe(F.col("__up")), "left").drop("__up")
-        else:
-            wide = fine.withColumn("__all", F.lit(1)).join(renamed, "__all", "left").drop("__all")
-        few = F.col("n") < least_rows
-        fine = wide.select("__lang", "__source", F.when(few, F.col("__n")).otherwise(F.col("n")).alias("n"), *[F.when(few, F.col(f"__{b}")).otherwise(F.col(b)).alias(b) for b in _BOUNDS])
-    return fine.drop("n")
-
-
-def judge(measured: DataFrame, lang_col: str = "lang", source_col: str = "source", metrics: str = "metrics", least_words: int = 50, out: str = "kept") -> DataFrame:
-    """``measured`` (read more than once: give a stored table) with boolean ``base_failed`` and ``kept``."""
+    overall = _thresholds_of(merged([]).withColumn("all_of", F.lit(1)), ["all_of"], reach)
+    by_lang = _thresholds_of(merged(["lang"]), ["lang"], reach).withColumn("all_of", F.lit(1))
+    fine = _thresholds_of(sketch, ["lang", "source"], reach)
+    lean = lambda parent: [((F.col("n") * F.col(b) + prior * parent[b]) / (F.col("n") + prior)).alias(b) for b in _BOUNDS]
+    packed = lambda df, *keys: df.select(*keys, F.struct(*_BOUNDS).alias("parent"))
+    by_lang = by_lang.join(packed(overall, "all_of"), "all_of").select("lang", *lean(F.col("parent")))
+    parents = packed(by_lang, F.col("lang").alias("of"))
+    return fine.join(parents, F.col("lang").eqNullSafe(F.col("of"))).select("lang", "source", *lean(F.col("parent")))
+
+
+def judge(measured: DataFrame, lang_col: str = "lang", source_col: str = "source", metrics: str = "metrics", least_words: int = 50, out: tuple[str, str] = ("base_failed", "kept")) -> DataFrame:
+    """``measured`` (read more than once: give a stored table) with two booleans named by ``out``; other columns unchanged."""
+    lang, source, bounds = private_names(measured, "lang", "source", "bounds")
     # Stored, its size is known: one row a group is broadcast if it is small, and documents are not shuffled for it.
-    bounds = materialize(adaptive_thresholds(measured, lang_col, source_col, metrics, least_words).coalesce(1), "bounds")
+    found = materialize(adaptive_thresholds(measured, lang_col, source_col, metrics, least_words).coalesce(1), "bounds")
+    found = found.select(F.col("lang").alias(lang), F.col("source").alias(source), F.struct(*_BOUNDS).alias(bounds))
     m = F.col(metrics)
-    joined = measured.join(bounds, F.col(lang_col).eqNullSafe(F.col("__lang")) & F.col(source_col).eqNullSafe(F.col("__source")), "left")
+    joined = measured.join(found, F.col(lang_col).eqNullSafe(F.col(lang)) & F.col(source_col).eqNullSafe(F.col(source)), "left")
     bad = F.lit(False)
-    for k, (side, _) in RULES.items():
-        bad = bad | F.coalesce(_measure(m, k) > F.col(f"{k}_upper"), F.lit(False))
-        if side == "both":
-            bad = bad | F.coalesce(_measure(m, k) < F.col(f"{k}_lower"), F.lit(False))
+    for b in _BOUNDS:
+        k, side = b.rsplit("_", 1)
+        x, limit = _measure(m, k), F.col(bounds)[b]
+        bad = bad | F.coalesce(x > limit if side == "upper" else x < limit, F.lit(False))
     failed = _base_failed(m, least_words)
-    return joined.withColumn("base_failed", failed).withColumn(out, ~failed & ~bad).drop("__lang", "__source", *_BOUNDS)
+    return joined.withColumn(out[0], failed).withColumn(out[1], ~failed & ~bad).drop(lang, source, bounds)
 
 
 def apply_quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_words: int = 50) -> DataFrame:
     """One row per row of ``docs``: doc_id, lang, source, metrics, base_failed, kept.
 
     A document fails the base rules with fewer than ``least_words`` words or with over half of its words inside
-    repeated 3-word windows; one that passes is kept if every metric is inside its group's thresholds. Null texts have
-    no words and fail. Null languages and sources are groups of their own. Repeated rows are judged alike; an empty
-    table gives an empty result; other columns are ignored.
+    repeated 3-word windows; one that passes is kept if every metric is inside its group's thresholds. Null and empty
+    texts have no words and fail. Null languages and sources are groups of their own. Repeated rows are judged alike; an
+    empty table gives an empty result; other columns are ignored.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     measured = materialize(with_metrics(slim).drop("text"), "metrics")
@@ -163,7 +163,7 @@ def apply_quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns unchanged."""
-    stored = materialize(with_metrics(docs, text_col, "__metrics"), "measured")
-    renamed = stored.withColumnRenamed("__metrics", "__metrics_of")
-    return judge(renamed, lang_col, source_col, "__metrics_of", out="__kept").where("__kept").select(*docs.columns)
+    """The rows of ``docs`` that the rules keep, all columns unchanged, whatever their names (see apply_quality_rules)."""
+    slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    stored = materialize(with_metrics(slim).drop("text"), "measured")
+    return judge(stored).where("kept").select("row.*")

@@ -16,6 +16,7 @@ an executor was lost leaves at worst a file that nothing points to.
 from __future__ import annotations
 
 import json
+import math
 import re
 import struct
 import uuid
@@ -24,26 +25,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
 from .scratch import materialize
 
 BLOCK_IDS = 1 << 16
+#: Bytes of text that a shard takes at most (a longer single text makes a larger one); text worth a shard of its own.
+SHARD_BYTES, LEAST_SHARD_BYTES = 1 << 27, 1 << 20
 MAGIC, END = b"LSTI", b"LSTX"
 #: The published split of byte-level BPE, letters and digits together: the places where it cuts are places where the
 #: tokenizer cuts too, so pieces can be encoded one by one.
 _PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W_]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s")
 #: Characters whose classes Python and the tokenizer might see differently; texts with any go to the tokenizer whole.
-_ODD = re.compile(r"[^\x00-\x1b\x20-\u024f]")
+_ODD = r"[^\x00-\x1b\x20-\x{24f}]"
 #: A space before white space or the end; without one the tokenizer cuts before every space.
-_LOOSE = re.compile(r" (?:\s|$)")
-#: Entries that a worker keeps of each kind; later ones are encoded each time.
-_CACHE_ENTRIES = 300_000
+_LOOSE = r" (?:[\t-\r \x{85}\x{a0}]|\z)"
+#: Entries that a worker keeps of each kind, and their longest length; others are encoded each time.
+_CACHE_ENTRIES, _CACHE_LENGTH = 500_000, 40
 
 
 class _Pieces(dict):
@@ -63,13 +67,13 @@ class _Pieces(dict):
         else:
             ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
         packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) < _CACHE_ENTRIES // 4:
+        if len(self) < _CACHE_ENTRIES // 5 and len(piece) <= _CACHE_LENGTH:
             self[piece] = packed
         return packed
 
 
 class _Words(dict):
-    """Ids of a space and the characters up to the next space; words of letters alone are kept."""
+    """Ids of a space and the characters up to the next space; words are kept as they come."""
 
     def __init__(self, pieces: _Pieces):
         self.pieces, self.tokenize, self.alphabet = pieces, pieces.tokenizer.model.tokenize, pieces.alphabet
@@ -80,39 +84,62 @@ class _Words(dict):
             shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
             ids = [t.id for t in self.tokenize(self.alphabet[32] + shown)]
             packed = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self) < _CACHE_ENTRIES:
-                self[word] = packed
-            return packed
-        stem, end = word[:-1], self.ends.get(word[-1:])
-        if end is not None and stem.isalpha():
-            return self[stem] + end
-        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(" " + word)))
+        elif (end := self.ends.get(word[-1:])) is not None and (stem := word[:-1]).isalpha():
+            packed = self[stem] + end
+        else:
+            packed = b"".join(map(self.pieces.__getitem__, _PIECE.findall(" " + word)))
+        if len(self) < _CACHE_ENTRIES and len(word) <= _CACHE_LENGTH:
+            self[word] = packed
+        return packed
 
 
 class Encoder:
-    """Ids of whole texts, as little-endian 32-bit bytes."""
+    """Ids of whole texts, as little-endian 32-bit bytes: those of ``encode(text, add_special_tokens=False)``."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings of the vocabulary's added tokens, which the tokenizer takes out of a text before it splits the rest.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = _Pieces(self.tokenizer)
         self.words = _Words(self.pieces)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for t in texts:
-            if _ODD.search(t):
-                ids = self.tokenizer.encode(t, add_special_tokens=False).ids
-                out.append(np.array(ids, "<u4").tobytes())
-            elif _LOOSE.search(t):
-                out.append(b"".join(map(self.pieces.__getitem__, _PIECE.findall(t))))
-            else:
-                head, *rest = t.split(" ")
-                out.append(b"".join([*map(self.pieces.__getitem__, _PIECE.findall(head)), *map(self.words.__getitem__, rest)]))
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Texts are cut at spaces; each distinct word of the batch is looked up once and its ids are dealt by index."""
+        whole = pc.match_substring_regex(texts, _ODD)
+        for x in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, x))
+        loose = pc.and_not(pc.match_substring_regex(texts, _LOOSE), whole)
+        out: list[bytes] = [b""] * len(texts)
+        for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+        for k in np.flatnonzero(loose.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = self._by_pieces(texts[k].as_py())
+        plain = np.flatnonzero(pc.invert(pc.or_(whole, loose)).to_numpy(zero_copy_only=False))
+        if not len(plain):
+            return out
+        cut = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        first = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        parts = cut.flatten()
+        heads = np.zeros(len(parts), bool)
+        heads[first[:-1]] = True  # no space stands before a text's first word
+        found = parts.filter(pa.array(~heads)).dictionary_encode()
+        table = [*map(self.words.__getitem__, found.dictionary.to_numpy(zero_copy_only=False).tolist()), *map(self._by_pieces, parts.filter(pa.array(heads)).to_pylist())]
+        code = np.empty(len(parts), np.int64)
+        code[~heads] = found.indices.to_numpy(zero_copy_only=False)
+        code[heads] = len(found.dictionary) + np.arange(len(plain))
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        at, _ = K.spans_to_index((np.cumsum(size) - size)[code], size[code])
+        ids = np.frombuffer(b"".join(table), "<u4")[at]
+        edge = np.r_[0, np.cumsum(size[code])][first]
+        for k, lo, hi in zip(plain.tolist(), edge[:-1].tolist(), edge[1:].tolist()):
+            out[k] = ids[lo:hi].tobytes()
         return out
 
+    def _by_pieces(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -171,50 +198,62 @@ class ShardWriter:
         self.out.close()
 
 
-def read_shard(raw: bytes) -> Iterator[tuple[int | None, bytes]]:
-    """(document id, its ids as bytes) in the order written; one block is unpacked at a time."""
-    if raw[:4] != MAGIC or raw[-4:] != END:
+def read_shard(file) -> Iterator[tuple[int | None, bytes]]:
+    """(document id, its ids as bytes) in the order written, from a file that can seek; one block is read and unpacked at a time."""
+    size = file.seek(0, 2)
+    file.seek(max(0, size - 12))
+    end = file.read(12)
+    file.seek(0)
+    if size < 28 or file.read(4) != MAGIC or end[-4:] != END:
         raise ValueError("not a token shard, or cut short")
-    (length,) = struct.unpack("<Q", raw[-12:-4])
-    index = json.loads(zstandard.ZstdDecompressor().decompress(raw[-12 - length : -12]))
-    at, blocks, held = 16, iter(index["blocks"]), bytearray()
+    (length,) = struct.unpack("<Q", end[:8])
+    file.seek(size - 12 - length)
+    index = json.loads(zstandard.ZstdDecompressor().decompress(file.read(length)))
+    file.seek(16)
+    blocks, held = iter(index["blocks"]), bytearray()
     for doc_id, count in zip(index["ids"], index["counts"]):
         while len(held) < 4 * count:
             n, *lengths = next(blocks)
-            frames = []
-            for x in lengths:
-                frames.append(raw[at : at + x])
-                at += x
-            held += unpack_block(frames, n, index["planes"]).tobytes()
+            held += unpack_block([file.read(x) for x in lengths], n, index["planes"]).tobytes()
         yield doc_id, bytes(held[: 4 * count])
         del held[: 4 * count]
 
 
-def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", planes: str = "byte", block_ids: int = BLOCK_IDS) -> DataFrame:
+def _shard_count(texts: Column, rows: DataFrame, shard_bytes: int) -> int:
+    """Shards of at most about ``shard_bytes`` of text, and of smaller ones as many as keep the cores busy."""
+    total = rows.agg(F.sum(F.octet_length(texts))).first()[0] or 0
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, math.ceil(total / shard_bytes), min(4 * cores, math.ceil(total / LEAST_SHARD_BYTES)))
+
+
+def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", planes: str = "byte", block_ids: int = BLOCK_IDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode every text, append ``end_id``, write shards to ``folder``; returns shard, path, n_docs, n_ids.
 
-    Null texts are empty (the end id alone). Rows go in ascending order of id, null ids first, rows of equal id by
-    text; repeated rows are written as often as they come. Other columns are ignored. An empty table gives no shard.
+    Null texts are empty (the end id alone). Strings of the vocabulary's added tokens become these tokens. Rows go in
+    ascending order of id, null ids first, rows of equal id by a hash of the text, so that one id's rows are spread
+    over shards too; repeated rows are written as often as they come. Other columns are ignored. An empty table gives
+    no shard.
     """
     if planes not in ("byte", "bit"):
         raise ValueError("planes: byte or bit")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    rows = rows.repartitionByRange(_shard_count(F.col("text"), rows, shard_bytes), *order).sortWithinPartitions(*order, "text")
     end = struct.pack("<I", end_id)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, writer, n_docs, path = TaskContext.get().partitionId(), None, 0, ""
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
+            for lo in range(0, batch.num_rows, K.BATCH_ROWS):
                 if writer is None:
                     system, root = _open_fs(folder)
                     system.create_dir(root, recursive=True)
                     name = f"shard-{number:06d}-{uuid.uuid4().hex}.ids"
                     path = f"{folder}/{name}"
                     writer = ShardWriter(system.open_output_stream(f"{root}/{name}"), planes, block_ids)
-                ids, texts = batch.column(0).slice(lo, 200).to_pylist(), batch.column(1).slice(lo, 200).to_pylist()
-                for i, raw in zip(ids, encoder.encode(texts)):
+                ids = batch.column(0).slice(lo, K.BATCH_ROWS).to_pylist()
+                for i, raw in zip(ids, encoder.encode(batch.column(1).slice(lo, K.BATCH_ROWS))):
                     writer.add(i, raw + end)
                 n_docs += len(ids)
         if writer is not None:
@@ -233,15 +272,14 @@ def read_token_shards(shards: DataFrame, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 system, at = _open_fs(path)
-                with system.open_input_file(at) as f:
-                    raw = f.read()
+                file = system.open_input_file(at)
                 ids, starts, counts, sums, values = [], [], [], [], []
 
                 def packed() -> pa.RecordBatch:
                     cols = [pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())]
                     return pa.RecordBatch.from_arrays([*cols, pa.array(values, pa.list_(pa.int64()))] if with_ids else cols, names)
 
-                for doc_id, own in read_shard(raw):
+                for doc_id, own in read_shard(file):
                     ids.append(doc_id)
                     starts.append(start)
                     counts.append(len(own) // 4)
@@ -252,6 +290,7 @@ def read_token_shards(shards: DataFrame, with_ids: bool = False) -> DataFrame:
                     if len(ids) == 2000:
                         yield packed()
                         ids, starts, counts, sums, values = [], [], [], [], []
+                file.close()
                 yield packed()
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]

@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small tables, with nulls, ties, repeats, long and empty texts."""
 
 import hashlib
+import io
 import random
 import re
 import struct
@@ -8,7 +9,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import components, curriculum, decontaminate, license_scan, ngram_join, private_data, quality_rules, substring_dedup, token_binary
@@ -192,6 +195,79 @@ def test_quality(spark, rows):
     assert {r["doc_id"] for r in kept.collect()} == set(range(300)) and kept.columns == table(spark, clean).columns
 
 
+def test_quality_thresholds(spark):
+    """Groups of different habits get thresholds of their own for every metric, and verdicts follow exact quantiles within the sketch's error."""
+    rng = random.Random(12)
+    rows, habits = [], {("en", "a"): (0.00, 0.0, 4), ("en", "b"): (0.20, 0.3, 7), ("de", "a"): (0.05, 0.6, 10), (None, None): (0.1, 0.1, 5)}
+    for (lang, source), (symbols, lines, length) in habits.items():
+        for _ in range(12 if lang is None else 150):
+            words = ["".join(rng.choice("abcdefgh") for _ in range(max(1, length + rng.randint(-2, 2)))) for _ in range(rng.randint(60, 120))]
+            words = [w + "#" * (rng.random() < symbols) for w in words]
+            same = [" ".join(rng.choice("uvwxyz") for _ in range(3)) for _ in range(3)]
+            text = "\n".join(" ".join(words[k : k + 5]) if rng.random() > lines * rng.random() else rng.choice(same) for k in range(0, len(words), 5))
+            rows.append((len(rows), text, lang, source))
+    rows += [(len(rows) + k, " ".join(f"w{rng.randrange(10**6)}" + "&" * 6 for _ in range(90)), "en", "a") for k in range(3)]
+    rows += [(len(rows), None, "en", "a"), (len(rows) + 1, "", None, "b"), (len(rows) + 2, "only group " * 5, "fr", "z")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    measured = materialize(quality_rules.with_metrics(docs), "m")
+    found = {(r["lang"], r["source"]): r for r in quality_rules.adaptive_thresholds(measured, "lang", "source").collect()}
+    assert found.keys() == habits.keys()
+    for bound in quality_rules._BOUNDS:
+        assert len({round(r[bound], 3) for r in found.values()}) == len(habits), bound
+
+    values, judged = {}, {}
+    for i, t, lang, source in rows:
+        n_words, word_chars, n_symbols, n_dup, n_repeat, failed = quality(t)
+        n_lines = sum(1 for x in (t or "").split("\n") if x.strip(" \t\n\v\f\r"))
+        v = dict(symbol_share=n_symbols / max(word_chars, 1), dup_line_share=n_dup / max(n_lines, 1), repeat_share=n_repeat / max(n_words, 1), word_length=word_chars / max(n_words, 1))
+        judged[i] = (lang, source, v, failed)
+        if not failed:
+            for key in ((lang, source), (lang,), ()):
+                values.setdefault(key, []).append(v)
+
+    def bounds(key):
+        out = {}
+        for k, ends in quality_rules.TAILS.items():
+            xs = sorted(v[k] for v in values[key])
+            q = lambda p: next(x for n, x in enumerate(xs, 1) if n >= p * len(xs))
+            for side, p in zip(("lower", "upper"), ends):
+                if p is not None:
+                    out[f"{k}_{side}"] = q(p) + quality_rules.REACH * (q(p) - q(0.5))
+        return out
+
+    def leaning(key):
+        own, n = bounds(key), len(values[key])
+        up = leaning(key[:-1]) if key else own
+        return {b: (n * own[b] + quality_rules.PRIOR * up[b]) / (n + quality_rules.PRIOR) for b in own}
+
+    limits, near, kept = {key: leaning(key) for key in habits}, set(), set()
+    for i, (lang, source, v, failed) in judged.items():
+        beyond = []  # how far outside each bound the document is, in the sketch's error
+        for b, limit in ({} if failed else limits[(lang, source)]).items():
+            x = v[b.rsplit("_", 1)[0]]
+            error = (2 + 2 * quality_rules.REACH) * quality_rules.ERROR * max(x, limit) + 2 * quality_rules.LOWEST
+            beyond.append((x - limit if b.endswith("upper") else limit - x) / error)
+        if beyond and max(beyond) <= 0:
+            kept.add(i)
+        if beyond and abs(max(beyond)) <= 1:
+            near.add(i)
+    got = {r["doc_id"] for r in quality_rules.apply_quality_rules(docs).where("kept").collect()}
+    assert got - near == kept - near and len(near) < len(rows) / 4 and len(kept - near) > len(rows) / 2
+    assert len({i for i, x in judged.items() if not x[3]} - kept - near) >= 3
+
+
+def test_quality_names(spark):
+    docs = table(spark, [(1, "w " * 60), (2, None), (3, " ".join(f"a{k}" for k in range(90)))])
+    own = ["base_failed", "kept", "metrics", "metric", "bucket", "n", "m", "bounds", "lang_", "__lang", "__source", "__bounds", "__words", "__lines", "all_of", "parent", "of", *quality_rules._BOUNDS]
+    for clash in own:
+        docs = docs.withColumn(clash, F.lit("own"))
+    kept = quality_rules.keep_good(docs)
+    assert kept.columns == docs.columns and [(r["doc_id"], r["kept"], r["base_failed"], r["symbol_share_upper"]) for r in kept.collect()] == [(3, "own", "own", "own")]
+    judged = quality_rules.judge(quality_rules.with_metrics(docs, out="measure"), metrics="measure", out=("failed", "good"))
+    assert judged.columns == [*docs.columns, "measure", "failed", "good"] and {r["kept"] for r in judged.collect()} == {"own"}
+    assert quality_rules.keep_good(docs.limit(0)).count() == 0
+
+
 def test_licenses(spark):
     texts = [(1, "Released under the MIT License."), (2, "x Apache-License, Version 2.0!\nunder the mit license under the mit license"), (3, None), (4, ""), (5, "CC BY NC"), (6, "under the Kt license mit"), (7, "This work is licensed under the GNU General Public License, version 3."), (8, "under the mit licenses"), (9, "é under the MIT license"), (None, "cc-by-nc"), (1, "none " * 5000)]
     got = Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], ",".join(r["base_labels"])) for r in license_scan.scan_licenses(table(spark, texts)).collect())
@@ -294,28 +370,37 @@ def test_tokens(spark, rows):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     encode = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
     encoder = token_binary.Encoder(path)
-    odd = ["", "  ", " ", "a  b", "a \n b", "\n\n a", "x  y  ", "  lead", "tab\t x", "a\x1c b \x1d c", "12  34's  'll", "é  ü  z", "a   ", "it's 's ''ll x're_a _b__ c_d", "a b ́x中", "x  \n\n  y\n \n", "a\xa0 b\x85c ² ½ª", "<|endoftext|> a", "Straße Éa, b."]
-    for t in odd:
-        assert encoder.encode([t])[0] == np.array(encode(t), "<u4").tobytes(), t
+    odd = ["", "  ", " ", "a  b", "a \n b", "\n\n a", "x  y  ", "  lead", "tab\t x", "a\x1c b \x1d c", "12  34's  'll", "é  ü  z", "a   ", "it's 's ''ll x're_a _b__ c_d", "a b ́x中", "x  \n\n  y\n \n", "a\xa0 b\x85c ² ½ª", "<|endoftext|> a", "Straße Éa, b.", "a<|endoftext|>b", "a b<|endoftext|>", "a  <|endoftext|> <|endoftext|>b c", "<|endoftext|>", "<|endoftext|", "w" * 300 + " " + "v" * 300]
+    assert encode("a<|endoftext|>b").count(50256) == 1
+    for texts in (odd, *[[t] for t in odd]):
+        assert encoder.encode(pa.array(texts)) == [np.array(encode(t), "<u4").tobytes() for t in texts]
     for planes in ("byte", "bit"):
         x = (np.arange(13, dtype="<u4") * 329_991_733).astype("<u4")
         assert (token_binary.unpack_block(token_binary.pack_block(x, planes), 13, planes) == x).all()
     docs = [*rows[::7], *[(500 + k, t) for k, t in enumerate(odd)], (3, "again"), (None, "none")]
-    order = sorted(((i, t or "") for i, t in docs), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+    docs += [(None, f"none {k % 40}") for k in range(80)]
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) ^ 1 << 63) - (1 << 63)
+    order = sorted(((i, t or "") for i, t in docs), key=lambda x: (x[0] is not None, x[0] or 0, signed(x[1])))
     want, start = [], 0
     for i, t in order:
         ids = encode(t) + [2]
         want.append((i, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)), ids))
         start += len(ids)
     for planes in ("byte", "bit"):
-        shards = token_binary.write_token_shards(table(spark, docs), fresh_path(spark, "t"), path, 2, planes=planes, block_ids=64)
+        shards = token_binary.write_token_shards(table(spark, docs), fresh_path(spark, "t"), path, 2, planes=planes, block_ids=64, shard_bytes=60_000)
+        assert shards.count() > 2
         assert sorted((tuple(r) for r in token_binary.read_token_shards(shards, with_ids=True).collect()), key=lambda r: r[1]) == want
+    got = sorted(map(tuple, Q.op10_token_binary(spark, SF).collect()))
+    start = 0
+    for (i, t), row in zip(sorted(docs_of(spark)), got):
+        ids = encode(t or "") + [2]
+        assert row == (i, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += len(ids)
     assert token_binary.read_token_shards(token_binary.write_token_shards(table(spark, docs).limit(0), fresh_path(spark, "t"), path, 2)).count() == 0
     with pytest.raises(ValueError):
-        list(token_binary.read_shard(b"LSTIxxxx"))
+        list(token_binary.read_shard(io.BytesIO(b"LSTIxxxx")))
 
 
 def test_pipeline(spark):
