@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import count_words, text_or_empty
+from .columns import count_words, private_names, text_or_empty
 from .scratch import materialize
 
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -56,31 +56,36 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     words that the mix takes, repeats included: a source takes its target, rounded to whole words, in whole passes
     over its documents in hash order and part of one more. start is the word of a pass at which the document starts.
     Null sources are one source; a document of no words takes none; documents of one id and size are dealt in any
-    order, with the same counts; rows with a null id are dealt by their size.
+    order, with the same counts; rows with a null id are dealt by their size. An empty table gives an empty plan.
+    ``docs`` may have columns of any names; if one is called mix already, the plan's column has underscores around it.
     """
     size = F.coalesce(F.col(size_col), F.lit(0)).cast("long") if size_col else count_words(text_or_empty(text_col))
     key = F.xxhash64(F.col(id_col), F.lit(17))
-    rows = docs.withColumn("__size", size).withColumn("__key", F.when(F.col(id_col).isNull(), F.xxhash64("__size")).otherwise(key))
-    rows = rows.withColumn("__bucket", F.pmod(F.shiftrightunsigned("__key", 20), F.lit(buckets)).cast("int"))
-    # A null source is told from a source by its first part.
-    rows = rows.withColumn("__source", F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col), F.lit("")).alias("name")))
-
-    sums = materialize(rows.groupBy("__source", "__bucket").agg(F.sum("__size").alias("words")), "buckets")
-    sizes = sums.groupBy("__source").agg(F.sum("words").alias("source_size")).select(F.when(~F.col("__source.none"), F.col("__source.name")).alias("source"), "source_size", "__source")
-    targets = source_targets(sizes.select("source", "source_size"), weights, tilts, most_passes)
-    targets = targets.select(F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("__source"), "source_size", "target", "tilt")
-    earlier = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0))).join(targets, "__source").drop("words")
-
-    inside = Window.partitionBy("__source", "__bucket").orderBy("__key", id_col, "__size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__inside", F.coalesce(F.sum("__size").over(inside), F.lit(0))).join(offsets, ["__source", "__bucket"], "left")
-    start = F.col("offset") + F.col("__inside")
+    # All columns of ``docs`` travel in one struct, so that no name of theirs meets one of the plan's. A null source is
+    # told from a source by its first part.
+    source_of = lambda name: F.struct(F.col(name).isNull().alias("none"), F.coalesce(F.col(name).cast("string"), F.lit("")).alias("name"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), source_of(source_col).alias("key_source"), size.alias("size"), key.alias("key"))
+    rows = rows.withColumn("key", F.when(F.col("id").isNull(), F.xxhash64("size")).otherwise(F.col("key")))
+    rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 20), F.lit(buckets)).cast("int"))
+
+    sums = materialize(rows.groupBy("key_source", "bucket").agg(F.sum("size").alias("words")), "buckets")
+    sizes = sums.groupBy("key_source").agg(F.sum("words").alias("source_size"))
+    sizes = sizes.select(F.when(~F.col("key_source.none"), F.col("key_source.name")).alias("source"), "source_size")
+    targets = source_targets(sizes, weights, tilts, most_passes).select(source_of("source").alias("key_source"), "source_size", "target", "tilt")
+    earlier = Window.partitionBy("key_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0))).join(targets, "key_source").drop("words")
+
+    inside = Window.partitionBy("key_source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["key_source", "bucket"], "left")
+    start = F.col("offset") + F.col("inside")
     whole = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = whole - passes * F.col("source_size")
-    taken = passes * F.col("__size") + F.greatest(F.lit(0), F.least(F.col("__size"), rest - start))
-    mix = F.struct(F.col("__size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"), start.alias("start"), "tilt")
-    return rows.withColumn("mix", mix).select(*docs.columns, "mix")
+    taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
+    mix = F.struct("size", "source_size", "target", taken.cast("long").alias("taken"), start.alias("start"), "tilt")
+    # Two columns of one name would be unreadable: the plan's is called otherwise then.
+    name = "mix" if "mix" not in {c.lower() for c in docs.columns} else private_names(docs, "mix")[0]
+    return rows.select("doc.*", mix.alias(name))
 
 
 def first_position(mix: Column) -> Column:
@@ -96,9 +101,12 @@ def pass_position(mix: Column, number: Column) -> Column:
 def mixed_order(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The training sequence: rows of ``docs`` as often as the mix reads them, range-sorted by position, columns unchanged.
 
-    A document is repeated taken / size times, rounded to whole texts.
+    A document is repeated taken / size times, rounded to whole texts. ``docs`` may have columns of any other names;
+    nulls, repeats and empty tables are dealt with as in plan_mix.
     """
     planned = plan_mix(docs, id_col=id_col, **options)
-    times = F.when(F.col("mix.size") > 0, F.round(F.col("mix.taken") / F.col("mix.size"))).otherwise(F.lit(0)).cast("int")
-    repeated = planned.withColumn("__times", times).where("__times > 0").withColumn("__pass", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
-    return repeated.withColumn("__at", pass_position(F.col("mix"), F.col("__pass"))).orderBy("__at", id_col, "__pass").select(*docs.columns)
+    mix = F.col(planned.columns[-1])
+    number, at = private_names(planned, "pass", "at")
+    times = F.when(mix["size"] > 0, F.round(mix["taken"] / mix["size"])).otherwise(F.lit(0)).cast("int")
+    repeated = planned.where(times > 0).withColumn(number, F.explode(F.sequence(F.lit(0), times - 1)))
+    return repeated.withColumn(at, pass_position(mix, F.col(number))).orderBy(at, id_col, number).select(*[F.col(f"`{c}`") for c in docs.columns])

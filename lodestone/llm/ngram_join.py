@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -193,11 +193,11 @@ def _fragments(rows: DataFrame, size: int, classes: Broadcast) -> DataFrame:
     return materialize(K.map_batches(rows, cut, "node long, fragment int, grams array<long>"), "fragments")
 
 
-def _possible(percent: int):
-    """Whether sizes and the position of a shared n-gram (in sets a and b) allow the threshold."""
-    need = F.col("na") + F.col("nb")  # overlap * (100 + percent) >= percent * (na + nb)
-    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (most * (100 + percent) >= percent * need)
+def _possible(percent: int, n: str, at: str, n2: str, at2: str) -> Column:
+    """Whether sizes and the position of a shared n-gram (in each set) allow the threshold."""
+    na, nb = F.col(n), F.col(n2)
+    most = F.least(na - F.col(at), nb - F.col(at2))  # overlap * (100 + percent) >= percent * (na + nb)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (most * (100 + percent) >= percent * (na + nb))
 
 
 def _rows_of(base: DataFrame, holders: DataFrame) -> DataFrame:
@@ -238,32 +238,47 @@ def _linked(pairs: DataFrame, base: DataFrame, known: DataFrame, size: int, perc
 
 def _distinct_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b, na, nb), a < b, of the possible pairs in rows (node, n, at, node2, n2, at2), stored."""
-    up, ends = F.col("node") < F.col("node2"), (("node", "node2", "a", "b"), ("n", "n2", "na", "nb"), ("at", "at2", "pa", "pb"))
-    both = [F.when(up, p).otherwise(q).alias(name) for one, two, low, high in ends for p, q, name in ((F.col(one), F.col(two), low), (F.col(two), F.col(one), high))]
-    return materialize(rows.select(*both).where(_possible(percent)).select("a", "b", "na", "nb").distinct(), "pairs")
+    up = F.col("node") < F.col("node2")
+    ends = [F.when(up, F.col(p)).otherwise(F.col(q)).alias(name) for p, q, name in (("node", "node2", "a"), ("node2", "node", "b"), ("n", "n2", "na"), ("n2", "n", "nb"))]
+    return materialize(rows.where(_possible(percent, "n", "at", "n2", "at2")).select(*ends).distinct(), "pairs")
+
+
+def _prefix_groups(table: DataFrame, percent: int) -> DataFrame:
+    """(gram, node, n, at, node2, n2, at2), stored: rows of prefix n-grams that two sets have, each with the n-gram's hub.
+
+    Of two linked sets the smaller (either, of equal sizes) holds the shared n-gram so early that a twin of its size
+    could link with it; ``least`` is the size of the smallest such set. A row whose position does not even allow a
+    partner of that size ends here.
+    """
+    g = table.where("grams IS NOT NULL").select("node", "n", F.explode(F.arrays_zip("grams", "at")).alias("g"))
+    groups = g.select(F.col("g.grams").alias("gram"), "node", (F.shiftleft(F.col("g.at"), 32) + F.col("n")).alias("pos"))
+    n, at = F.col("pos").bitwiseAND((1 << 32) - 1), F.shiftright("pos", 32)
+    early = (100 + percent) * (n - at) >= 2 * percent * n
+    several = groups.groupBy("gram").agg(F.min(F.struct("pos", "node")).alias("hub"), F.max("node").alias("y"), F.min("node").alias("x"), F.min(F.when(early, n)).alias("least"))
+    # Stored, so that both sides of the join are plain shuffles, which can be split where they are skewed.
+    several = materialize(several.where("x != y AND least IS NOT NULL").select("gram", F.col("hub.pos").alias("pos2"), F.col("hub.node").alias("node2"), "least"), "hubs")
+    partner = F.greatest(F.col("least"), F.ceil(percent * n / 100))
+    rows = groups.join(several.hint("merge"), "gram").where((100 + percent) * (n - at) >= percent * (n + partner))
+    hub = [F.col("pos2").bitwiseAND((1 << 32) - 1).alias("n2"), F.shiftright("pos2", 32).alias("at2")]
+    return materialize(rows.select("gram", "node", n.alias("n"), at.alias("at"), "node2", *hub), "shared")
 
 
 def _across(shared: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of rows (gram, node, n, at) with one n-gram whose sets are in different components and might still link.
+    """Pairs of rows of one n-gram whose sets are in different components and might still link.
 
-    The smaller set of a linked pair (either, of equal sizes) holds a shared n-gram so early that the sets could be
-    twins of its size; the larger one so early that the smallest such set of the n-gram could be its partner.
+    Where all sets of an n-gram are in its hub's component nothing is left. Elsewhere at least one of a pair is a
+    stranger to the hub, and the smaller set's row is an early one.
     """
-    rows = shared.select("gram", "node", "n", "at").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    early = (100 + percent) * (F.col("n") - F.col("at")) >= 2 * percent * F.col("n")
-    rows = materialize(rows.withColumn("early", early), "rows")
-    least = rows.groupBy("gram").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min(F.when(F.col("early"), F.col("n"))).alias("least"))
-    least = materialize(least.where("c1 != c2 AND least IS NOT NULL").select("gram", "least"), "least")
-    partner = F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100))
-    mixed = materialize(rows.join(least, "gram").where((100 + percent) * (F.col("n") - F.col("at")) >= percent * (F.col("n") + partner)).drop("least"), "mixed")
-    sizes = mixed.groupBy("gram", "component").agg(F.count("*").alias("rows"))
-    largest = sizes.groupBy("gram").agg(F.max(F.struct("rows", "component")).alias("top"), F.count("*").alias("components")).where("components > 1")
-    mixed = materialize(mixed.join(largest.select("gram", F.col("top.component").alias("top")), "gram").withColumn("few", F.col("component") != F.col("top")).drop("top"), "mixed")
-    other = mixed.where("early").select("gram", *[F.col(c).alias(c + "2") for c in ("node", "n", "at", "component", "few")])
-    fits = (F.col("component") != F.col("component2")) & (F.col("n") >= F.col("n2"))
-    possible = (100 * F.col("n2") >= percent * F.col("n")) & (F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * (100 + percent) >= percent * (F.col("n") + F.col("n2")))
-    crossed = mixed.join(other.where("few2"), "gram").unionByName(mixed.where("few").join(other.where("NOT few2"), "gram"))
-    return crossed.where(fits & possible)
+    named = lambda node, c: parts.select(F.col("node").alias(node), F.col("component").alias(c))
+    rows = shared.join(named("node", "c"), "node", "left").join(named("node2", "c2"), "node2", "left")
+    rows = rows.select("gram", "node", "n", "at", F.coalesce("c", "node").alias("c"), F.coalesce("c2", "node2").alias("hub"))
+    rows = materialize(rows.withColumn("stranger", F.col("c") != F.col("hub")).drop("hub"), "rows")
+    unsettled = materialize(rows.where("stranger").select("gram").distinct(), "unsettled")
+    rows = materialize(rows.join(unsettled, "gram"), "rows")
+    early = rows.where((100 + percent) * (F.col("n") - F.col("at")) >= 2 * percent * F.col("n"))
+    early = early.select("gram", *[F.col(c).alias(c + "2") for c in ("node", "n", "at", "c", "stranger")])
+    crossed = rows.join(early.where("stranger2"), "gram").unionByName(rows.where("stranger").join(early.where("NOT stranger2"), "gram"))
+    return crossed.where((F.col("c") != F.col("c2")) & (F.col("n") >= F.col("n2")) & _possible(percent, "n", "at", "n2", "at2"))
 
 
 def similar_sets(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,13 +297,7 @@ def similar_sets(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str
 
     members = table.select("id", "node", "n")
     known = members.where("n > 0 AND id IS NOT NULL")
-    groups = table.where("grams IS NOT NULL").select("node", "n", F.explode(F.arrays_zip("grams", "at")).alias("g")).select("node", "n", F.col("g.grams").alias("gram"), F.col("g.at").alias("at"))
-    # N-grams that two sets have, each with its hub; stored, so that the join's both sides can be split where they are skewed.
-    hub = F.min(F.struct("at", "node", "n"))
-    several = groups.groupBy("gram").agg(F.min("node").alias("x"), F.max("node").alias("y"), hub.alias("hub")).where("x != y")
-    several = materialize(several.select("gram", F.col("hub.node").alias("node2"), F.col("hub.n").alias("n2"), F.col("hub.at").alias("at2")), "hubs")
-    shared = materialize(groups.join(several, "gram"), "shared")
-
+    shared = _prefix_groups(table, percent)
     first = _distinct_pairs(shared.where("node != node2"), percent)
     links = _linked(first, base, known, size, percent, classes)
     rest = _distinct_pairs(_across(shared, connected_components(links), percent), percent)

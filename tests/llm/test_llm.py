@@ -144,6 +144,41 @@ def test_mixed_order(spark):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, curriculum.mixed_order(docs).collect()))
 
 
+def test_mix_names(spark):
+    docs = spark.createDataFrame([(i, "a b c", "en", "ab"[i % 2]) for i in range(40)] + [(None, None, None, None), (7, "a b c", "en", "b")], SCHEMA)
+    want = sorted((r["doc_id"] or -1, r["text"] or "") for r in curriculum.mixed_order(docs).collect())
+    named = docs
+    for clash in ("target", "source_size", "offset", "tilt", "mix", "__mix", "__pass", "__at", "size", "key", "bucket", "inside", "doc", "id", "start", "taken", "words", "none", "name", "rank", "weight", "key_source"):
+        named = named.withColumn(clash, F.lit("own"))
+    out = curriculum.mixed_order(named)
+    assert out.columns == named.columns and sorted((r["doc_id"] or -1, r["text"] or "") for r in out.collect()) == want
+    assert {tuple(r[4:]) for r in out.collect()} == {("own",) * (len(named.columns) - 4)}
+    plan = curriculum.plan_mix(named)
+    assert plan.columns[:-1] == named.columns and {r["mix"] for r in plan.collect()} == {"own"}
+    assert curriculum.mixed_order(named.limit(0)).count() == 0
+
+
+def test_op3_query(spark):
+    """Every source takes its target, in reruns alike; positions follow the inverse of the source's cumulative weight."""
+    docs = {r["doc_id"]: (len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")), r["source"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = Q.op3_curriculum_mix(spark, SF).collect()
+    sizes, taken, words = Counter(), Counter(), Counter()
+    for n, source in docs.values():
+        sizes[source] += n
+    target = water_fill(sizes)
+    names = sorted(k for k in sizes if k is not None) + [k for k in sizes if k is None]
+    assert len(rows) == len(docs) and rows == Q.op3_curriculum_mix(spark, SF).collect()
+    for r in sorted(rows, key=lambda r: r["position"] is None):  # in training order, those that are not read last
+        n, source = docs[r["doc_id"]]
+        assert r["size"] == n and r["source_size"] == sizes[source] and abs(r["target"] - target[source]) < 1e-6 * (1 + target[source]) and 0 <= r["taken"] <= 3 * n
+        if r["position"] is not None:
+            tilt, t = curriculum.TILTS[names.index(source) % 3], r["position"]
+            assert abs((1 - tilt) * t + tilt * t * t - min(1, words[source] / max(1, r["target"]))) < 1e-9
+        words[source] += n
+        taken[source] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
+
+
 def test_automaton():
     rng = random.Random(1)
     for _ in range(200):
