@@ -1,17 +1,21 @@
 """Removal of passages of ``size`` words that also start in an earlier document.
 
-Every document is read twice. The first reading counts windows in a count-min sketch: each partition sketches
-its own windows, the partial sketches are merged block by block, and the merged counts overestimate the true
-ones. The second reading exactly groups only the windows whose estimate says that two documents have them; a
-window that repeats can never be estimated as unique, so none is lost.
+The first reading counts windows in a count-min sketch: each partition sketches its own windows, the partial sketches
+are merged block by block, and the merged counts overestimate the true ones. The second reading exactly groups only the
+windows whose estimate says that two documents have them; a window that repeats can never be estimated as unique, so
+none is lost. A third reading rebuilds the texts.
 
 A window enters the sketch through its anchor, the run of ``ANCHOR`` words of least hash inside it. Equal
 windows have equal anchors, so an anchor's count is no lower than its windows' counts, and neighbouring
 windows mostly share one, which divides the sketch's load by about 16.
 
-The sketch is sized from the text (``CELLS_PER_BYTE``) and broadcast as one bit a cell. Its size is bounded by
-``max_cells``; beyond that the anchors are dealt into slices of the hash space, each with a sketch of its own
-and a reading of its own. Memory is bounded at every size and the result is the same.
+The sketch is sized from the text (``CELLS_PER_BYTE``). Up to ``max_cells`` cells it is broadcast as one bit a cell.
+Beyond that its cells stay where they are: they are rows of a table (one hash row of 2^40 cells), counted by a grouped
+sum with partial sums before the shuffle, and the cells that count two or more are joined back to their documents. The
+estimates stay overestimates, the number of readings does not grow, and the result is the same.
+
+Windows that a task finds in several of its documents are decided on the spot: only those of the smallest id can still
+be first anywhere. So a window that a third of all documents share reaches the shuffle once a task, not once a document.
 """
 
 from __future__ import annotations
@@ -19,15 +23,16 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .scratch import materialize
 
 ANCHOR = 20
 ROWS = 3
@@ -48,26 +53,26 @@ def _window_anchors(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.nda
     return at, text, K.sliding_min(K.windows(h, gram, 7), size - gram + 1)[at]
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], size: int, bits: int, piece: int, pieces: int) -> Iterator[pa.RecordBatch]:
+def _distinct_anchors(column: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, anchor) of every anchor of every text, once a text."""
+    for lo, _, data, offsets in K.text_slices(column):
+        h, first = K.words(data, offsets, K.PLAIN)
+        _, text, anchor = _window_anchors(h, first, size)
+        if not len(anchor):
+            continue
+        new = np.ones(len(anchor), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+        anchor, text = anchor[new], text[new]
+        order = np.lexsort((anchor, text))
+        anchor, text = anchor[order], text[order]
+        once = np.ones(len(anchor), bool)
+        once[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+        yield lo + text[once], anchor[once]
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], size: int, bits: int) -> Iterator[pa.RecordBatch]:
     """This partition's sketch: for each block of each row, the cells that count 1 and those that count more."""
-    seen: list[np.ndarray] = []
-    for batch in batches:
-        for _, _, data, offsets in K.text_slices(batch.column(0)):
-            h, first = K.words(data, offsets, K.PLAIN)
-            _, text, anchor = _window_anchors(h, first, size)
-            if not len(anchor):
-                continue
-            new = np.ones(len(anchor), bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
-            anchor, text = anchor[new], text[new]
-            if pieces > 1:
-                own = anchor % np.uint64(pieces) == piece
-                anchor, text = anchor[own], text[own]
-            order = np.lexsort((anchor, text))
-            anchor, text = anchor[order], text[order]
-            once = np.ones(len(anchor), bool)
-            once[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
-            seen.append(anchor[once])
+    seen = [anchor for batch in batches for _, anchor in _distinct_anchors(batch.column(0), size)]
     if not seen:
         return
     anchors = np.concatenate(seen)
@@ -94,63 +99,131 @@ def _merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [key[0]], "bits": [zlib.compress(np.packbits(more).tobytes(), 1)]})
 
 
-def _repeated(docs: DataFrame, size: int, cells: int, max_cells: int) -> DataFrame:
-    """(h1, h2, id, row, at) of every window whose estimated count is 2 documents or more."""
-    bits = min(cells, max_cells).bit_length() - 1
-    pieces = max(1, cells // max_cells)
-    spark, out = docs.sparkSession, None
-    for piece in range(pieces):
-        partial = K.map_batches(docs.select("text"), lambda b, p=piece: _sketch(b, size, bits, p, pieces), "block long, cells binary")
-        merged = partial.groupBy("block").applyInPandas(_merge, "block long, bits binary").collect()
-        sketch = spark.sparkContext.broadcast({r["block"]: bytes(r["bits"]) for r in merged})
-
-        def second(batches: Iterator[pa.RecordBatch], piece: int = piece, sketch=sketch) -> Iterator[pa.RecordBatch]:
-            per_block = 1 << min(BLOCK_BITS, bits)
-            planes = []
-            for row in range(ROWS):
-                plane = np.zeros(max(1, (1 << bits) // 8), np.uint8)
-                step = max(1, per_block // 8)
-                for block, packed in sketch.value.items():
-                    if block >> 32 == row:
-                        at = (block & 0xFFFFFFFF) * step
-                        plane[at : at + step] = np.frombuffer(zlib.decompress(packed), np.uint8)[:step]
-                planes.append(plane)
-            for batch in batches:
-                for lo, _, data, offsets in K.text_slices(batch.column(2)):
-                    h, first = K.words(data, offsets, K.PLAIN)
-                    at, text, anchor = _window_anchors(h, first, size)
-                    if not len(at):
-                        continue
-                    new = np.ones(len(anchor), bool)
-                    new[1:] = anchor[1:] != anchor[:-1]
-                    run = np.cumsum(new) - 1
-                    tested = anchor[new]
-                    hit = tested % np.uint64(pieces) == piece if pieces > 1 else np.ones(len(tested), bool)
-                    for row, plane in enumerate(planes):
-                        cell = _cells(tested, row, bits)
-                        hit &= plane[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1 == 1
-                    keep = np.flatnonzero(hit[run])
-                    if not len(keep):
-                        continue
-                    at, text = at[keep], text[keep]
-                    ids = batch.column(0).take(pa.array(lo + text))
-                    rows = batch.column(1).take(pa.array(lo + text))
-                    h1, h2 = K.windows(h, size, 1)[at], K.windows(h, size, 2)[at]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids, rows, pa.array((at - first[text]).astype(np.int32))],
-                        ["h1", "h2", "id", "row", "at"],
-                    )
-
-        part = K.map_batches(docs, second, "h1 long, h2 int, id long, row long, at int")
-        out = part if out is None else out.unionByName(part)
-    return out
+#: Windows that a task holds at once before it decides what it can.
+HELD_WINDOWS = 1 << 21
+_FOUND = "h1 long, h2 int, id long, row long, at int, many int"
+
+
+def _decide(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Windows to be compared with other tasks' (h1 set), and runs of ``many`` windows from ``at`` on that go (h1 null):
+    those that start in a document of a smaller id among the held ones."""
+    h1, h2, ids, rows, at = map(np.concatenate, zip(*held))
+    order = np.lexsort((at, rows, ids, h2, h1))
+    h1, h2, ids, rows, at = h1[order], h2[order], ids[order], rows[order], at[order]
+    new = np.ones(len(h1), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+    open_, gone = np.flatnonzero(ids == least), np.flatnonzero(ids > least)
+    gone = gone[np.lexsort((at[gone], rows[gone], ids[gone]))]
+    i, r, a = ids[gone], rows[gone], at[gone]
+    start = np.ones(len(gone), bool)
+    start[1:] = (i[1:] != i[:-1]) | (r[1:] != r[:-1]) | (a[1:] > a[:-1] + 1)
+    run = np.flatnonzero(start)
+    last = np.r_[run[1:], len(gone)] - 1
+    known = np.r_[np.ones(len(open_), bool), np.zeros(len(run), bool)]
+    longs = lambda x, y: np.r_[x[open_], y[run]]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(longs(h1, h1[gone]), pa.int64(), mask=~known),
+            pa.array(longs(h2, h2[gone]), pa.int32(), mask=~known),
+            pa.array(longs(ids, i), pa.int64()),
+            pa.array(longs(rows, r), pa.int64()),
+            pa.array(longs(at, a), pa.int32()),
+            pa.array(np.r_[np.ones(len(open_), np.int32), (a[last] - a[run] + 1).astype(np.int32)] if len(gone) else np.ones(len(open_), np.int32), pa.int32()),
+        ],
+        ["h1", "h2", "id", "row", "at", "many"],
+    )
+
+
+def _windows_found(batches: Iterator[pa.RecordBatch], size: int, estimated: Callable) -> Iterator[pa.RecordBatch]:
+    """The windows of batches (id, row, text, ...) whose anchors ``estimated(batch, lo, text, anchor)`` marks, decided as far as possible."""
+    held, n = [], 0
+    for batch in batches:
+        ids, rows = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        for lo, _, data, offsets in K.text_slices(batch.column(2)):
+            h, first = K.words(data, offsets, K.PLAIN)
+            at, text, anchor = _window_anchors(h, first, size)
+            if not len(at):
+                continue
+            new = np.ones(len(anchor), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+            keep = np.flatnonzero(estimated(batch, lo, text[new], anchor[new])[np.cumsum(new) - 1])
+            if not len(keep):
+                continue
+            at, text = at[keep], text[keep]
+            h1, h2 = K.windows(h, size, 1)[at], K.windows(h, size, 2)[at]
+            held.append((h1.view(np.int64), (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[lo + text], rows[lo + text], (at - first[text]).astype(np.int32)))
+            n += len(at)
+            if n >= HELD_WINDOWS:
+                yield _decide(held)
+                held, n = [], 0
+    if held:
+        yield _decide(held)
+
+
+def _by_broadcast(docs: DataFrame, size: int, bits: int) -> DataFrame:
+    """Windows (see _decide) whose estimate in the broadcast sketch is 2 documents or more."""
+    partial = K.map_batches(docs.select("text"), lambda b: _sketch(b, size, bits), "block long, cells binary")
+    merged = partial.groupBy("block").applyInPandas(_merge, "block long, bits binary").collect()  # one bit a cell, whatever the text
+    sketch = docs.sparkSession.sparkContext.broadcast({r["block"]: bytes(r["bits"]) for r in merged})
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, (1 << min(BLOCK_BITS, bits)) // 8)
+        planes = [np.zeros(max(1, (1 << bits) // 8), np.uint8) for _ in range(ROWS)]
+        for block, packed in sketch.value.items():
+            at = (block & 0xFFFFFFFF) * step
+            planes[block >> 32][at : at + step] = np.frombuffer(zlib.decompress(packed), np.uint8)[:step]
+
+        def estimated(batch: pa.RecordBatch, lo: int, text: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+            hit = np.ones(len(anchor), bool)
+            for row, plane in enumerate(planes):
+                cell = _cells(anchor, row, bits)
+                hit &= plane[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1 == 1
+            return hit
+
+        yield from _windows_found(batches, size, estimated)
+
+    return K.map_batches(docs, second, _FOUND)
+
+
+WIDE_BITS = 40
+
+
+def _by_join(docs: DataFrame, size: int) -> DataFrame:
+    """The same with a sketch whose cells are rows: one hash row, counted where its cells are, joined back to documents."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, anchor in _distinct_anchors(batch.column(2), size):
+                of = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(_cells(anchor, 0, WIDE_BITS))], ["id", "row", "cell"])
+
+    each = materialize(K.map_batches(docs, cells, "id long, row long, cell long"), "anchors")
+    twice = materialize(each.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "cells")
+    marked = each.join(twice, "cell").groupBy("id", "row").agg(F.array_sort(F.collect_set("cell")).alias("cells"))  # of one document
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def estimated(batch: pa.RecordBatch, lo: int, text: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+            lists = batch.column(3)
+            own, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            hit, cell = np.zeros(len(anchor), bool), _cells(anchor, 0, WIDE_BITS)
+            edge = np.searchsorted(text, np.arange(int(text.max()) + 2))
+            for k in np.unique(text).tolist():
+                part = slice(edge[k], edge[k + 1])
+                known = values[own[lo + k] : own[lo + k + 1]]
+                hit[part] = np.isin(cell[part], known)
+            return hit
+
+        yield from _windows_found(batches, size, estimated)
+
+    return K.map_batches(docs.join(marked, ["id", "row"]).select("id", "row", "text", "cells"), second, _FOUND)
 
 
-def _removed(n: int, starts: np.ndarray, size: int) -> np.ndarray:
-    """Which of n words lie in a window that starts at one of ``starts``."""
+def _removed(n: int, starts: np.ndarray, many: np.ndarray, size: int) -> np.ndarray:
+    """Which of n words lie in one of the ``many`` windows from each of ``starts`` on."""
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + size, n), -1)
+    np.add.at(edge, np.minimum(starts + many - 1 + size, n), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -161,25 +234,31 @@ def remove_repeated_passages(docs: DataFrame, size: int = 50, id_col: str = "doc
     covers it whose word sequence also starts in a document with a smaller id; windows are judged on the input.
     Null and empty texts have no words. Rows with equal ids are one document for this comparison, so none removes
     the other's words. A row without an id keeps its text and removes nothing. Other columns are ignored.
-    Windows are compared by 96 bits of hash.
+    An empty table gives an empty result. Windows are compared by 96 bits of hash.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = 1 << max(10, math.ceil(math.log2(max(1.0, total * CELLS_PER_BYTE))))
-    found = _repeated(base.where(F.col("id").isNotNull()), size, cells, max_cells)
-    first = found.groupBy("h1", "h2").agg(F.min("id").alias("least"))
-    hits = found.join(first, ["h1", "h2"]).where("id > least").groupBy("id", "row").agg(F.collect_list("at").alias("starts"))
-    joined = base.join(hits, ["id", "row"], "left").select("id", "text", "starts")
+    known = base.where(F.col("id").isNotNull())
+    found = _by_broadcast(known, size, cells.bit_length() - 1) if cells <= max_cells else _by_join(known, size)
+    # Windows that are decided already are dealt by their document; one row a task is left of the others.
+    spread = F.when(F.col("h1").isNull(), F.xxhash64("id", "row", "at")).otherwise(F.col("h1"))
+    group = Window.partitionBy("spread", "h1", "h2")
+    compared = found.withColumn("spread", spread).withColumn("least", F.when(F.col("h1").isNotNull(), F.min("id").over(group)))
+    gone = compared.where("h1 IS NULL OR id > least")
+    hits = gone.groupBy("id", "row").agg(F.collect_list(F.struct("at", "many")).alias("runs"))  # of one document
+    hits = hits.select("id", "row", F.col("runs.at").alias("starts"), F.col("runs.many").alias("many"))
+    joined = base.join(hits, ["id", "row"], "left").select("id", "text", "starts", "many")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept, spans = [], [], [], []
-            for text, starts in zip(batch.column(1), batch.column(2)):
+            for text, starts, many in zip(*batch.columns[1:4]):
                 words = text.as_py().encode().split() if text.is_valid else []
                 n_words.append(len(words))
                 ranges = []
                 if starts.is_valid:
-                    gone = _removed(len(words), np.array(starts.values, np.int64), size)
+                    gone = _removed(len(words), np.array(starts.values, np.int64), np.array(many.values, np.int64), size)
                     edges = np.flatnonzero(np.diff(gone, prepend=False, append=False))
                     ranges = edges.reshape(-1, 2).tolist()
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
