@@ -2,22 +2,26 @@
 
 Four exact base patterns are always reported. Further candidates (numbers, long tokens, spelled-out addresses, names)
 are voted on by labelers that may abstain: a regular expression for each kind, gazetteers (first names, token and
-dialling prefixes), the words before the span, and shapes that speak against it. Expectation-maximisation over the
-counts of vote patterns estimates how reliable each labeler is, without labelled data; its posteriors train the final
-span classifier (naive Bayes over features of the span), which decides which candidates are added.
+dialling prefixes, mail providers and top-level domains), the words before the span, and shapes that speak against it.
+Candidates are found by their form alone; no labeler decides which spans are voted on. For each kind of its own,
+expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is, without labelled data,
+until it converges; its posteriors train the final span classifier (naive Bayes over features of the span), which
+decides which candidates are added.
 
 Only DataFrame functions are used. The texts are read once; vote patterns and feature values are few, whatever the
-corpus, and only their counts reach the driver.
+corpus (3 votes to the power of 4 labelers a kind), and only their counts reach the driver, where they are estimated.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import text_or_empty
+from .columns import let, text_or_empty
 from .scratch import materialize
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -30,38 +34,65 @@ _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
-#: Fixed gazetteers: common first names; prefixes of access tokens; dialling prefixes.
-FIRST_NAMES = ("James", "Mary", "John", "Patricia", "Robert", "Jennifer", "Michael", "Linda", "David", "Elizabeth", "William", "Barbara", "Richard", "Susan", "Joseph", "Jessica", "Thomas", "Sarah", "Charles", "Karen", "Maria", "Anna", "Peter", "Hans", "Pierre", "Jean", "Carlos", "Juan")
-TOKEN_PREFIXES = ("AKIA", "ghp_", "sk-", "xoxb-", "eyJ")
-DIALLING_PREFIXES = ("00", "01", "02", "03", "07", "1-", "(0")
+#: Fixed gazetteers: common first names; prefixes of access tokens; dialling prefixes; mail providers and domains.
+FIRST_NAMES = (
+    "James", "Mary", "John", "Patricia", "Robert", "Jennifer", "Michael", "Linda", "David", "Elizabeth", "William", "Barbara", "Richard", "Susan", "Joseph",
+    "Jessica", "Thomas", "Sarah", "Charles", "Karen", "Christopher", "Lisa", "Daniel", "Nancy", "Matthew", "Betty", "Anthony", "Margaret", "Mark", "Sandra",
+    "Donald", "Ashley", "Steven", "Kimberly", "Paul", "Emily", "Andrew", "Donna", "Joshua", "Michelle", "Kenneth", "Carol", "Kevin", "Amanda", "Brian",
+    "Dorothy", "George", "Melissa", "Edward", "Deborah", "Ronald", "Stephanie", "Timothy", "Rebecca", "Jason", "Laura", "Jeffrey", "Sharon", "Ryan",
+    "Cynthia", "Jacob", "Kathleen", "Gary", "Amy", "Nicholas", "Angela", "Eric", "Anna", "Stephen", "Ruth", "Jonathan", "Brenda", "Larry", "Pamela",
+    "Justin", "Nicole", "Scott", "Katherine", "Brandon", "Emma", "Benjamin", "Samantha", "Samuel", "Christine", "Frank", "Catherine", "Gregory", "Virginia",
+    "Raymond", "Rachel", "Alexander", "Janet", "Patrick", "Maria", "Peter", "Hans", "Klaus", "Wolfgang", "Heinz", "Ursula", "Monika", "Petra", "Sabine",
+    "Renate", "Stefan", "Andreas", "Jürgen", "Günther", "Pierre", "Jean", "Michel", "Philippe", "Nathalie", "Isabelle", "Sylvie", "Martine", "Carlos",
+    "Juan", "José", "Luis", "Manuel", "Carmen", "Ana", "Isabel", "Pilar", "Antonio", "Francisco",
+)
+TOKEN_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "sk-", "sk_live_", "pk_live_", "rk_live_", "xoxb-", "xoxp-", "eyJ", "AIza", "ya29.", "npm_", "pypi-", "hf_", "SG.", "dop_v1_")
+DIALLING_PREFIXES = ("00", "01", "02", "03", "04", "05", "06", "07", "08", "09", "1-", "1 ", "(0", "(2", "(3", "(4", "(5", "(6", "(7", "(8", "(9")
+DOMAIN_ENDS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "it", "eu", "us", "ch", "at", "nl", "gmail", "yahoo", "outlook", "hotmail", "example")
 _NUMBER = r"(?<![0-9A-Za-z+])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+(?![0-9A-Za-z])"
 _SECRET = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{20,}+"
 _ADDRESS = r"[A-Za-z0-9._%+-]++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]++)++"
-_NAME = rf"(?<![A-Za-z])(?:{'|'.join(FIRST_NAMES)})\x20[A-Z][a-z]{{2,}}+"
+_NAME = r"(?<![\p{L}0-9])\p{Lu}\p{Ll}++\x20\p{Lu}\p{Ll}{2,}+(?![\p{L}0-9])"
 _CONTEXT = {
     "number": r"(?i)(?:call|phone|tel|fax|mobile|account|card|ssn|passport|iban)[^\n]{0,12}$",
     "secret": r"(?i)(?:token|secret|password|passwd|api[_ -]?key|bearer)[^\n]{0,6}$",
     "address": r"(?i)(?:mail|contact|write|reach)[^\n]{0,12}$",
-    "name": r"(?i)(?:mr|mrs|ms|dr|name|from|by|dear)[.:]?\x20?$",
+    "name": r"(?i)(?:\b(?:mr|mrs|ms|dr|herr|frau|name|contact|author|signed|dear|sincerely|regards))[.:,]?\x20?$",
 }
 _STRONG = {
     "number": r"^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4})$",
     "secret": r"^(?:[0-9a-f]{32,}|[A-Z0-9]{20}|[A-Za-z0-9_-]{30,})$",
     "address": r"[(\[]dot[)\]]|\.[A-Za-z]{2,}$",
-    "name": r"^[A-Z][a-z]+\x20[A-Z][a-z]+$",
+    "name": r"^\p{Lu}\p{Ll}{1,11}\x20\p{Lu}\p{Ll}{2,13}$",
 }
 _AGAINST = {
     "number": r"^(?:([0-9])\1+|[0-9]+\.[0-9]+|[0-9]{1,3}(?:\.[0-9]{3})+|[12][0-9]{3}[\x20.-][01]?[0-9][\x20.-][0-3]?[0-9])$|^[0-9]{8,}$",
     "secret": r"^[0-9]+$|^[A-Za-z]+(?:-[A-Za-z]+)*-?[0-9]{1,4}$",
     "address": r"^.{80,}$",
-    "name": r"(?:Street|Road|University|Institute)$",
+    "name": r"^(?:The|This|That|These|In|On|At|For|From|And|But|If|When|Der|Die|Das|Ein|Eine|Und|Le|La|Les|Un|Une|El|Los|Las|Il|Lo)\x20|(?:Street|Road|Avenue|University|Institute|City|County|River|Straße|Platz)$",
+}
+_quoted = lambda xs: "|".join(re.escape(x) for x in xs)
+#: The gazetteers as patterns of a span.
+_LISTED = {
+    "number": f"^(?:{_quoted(DIALLING_PREFIXES)})",
+    "secret": f"^(?:{_quoted(TOKEN_PREFIXES)})",
+    "address": rf"(?i)(?:^|[^a-z])(?:{'|'.join(DOMAIN_ENDS)})$",
+    "name": rf"^(?:{'|'.join(FIRST_NAMES)})\x20",
 }
 LABELERS = ("regex", "gazetteer", "context", "shape")
 _FOUND = "array<struct<s:bigint,e:bigint,v:string>>"
 
 
+#: Matches whose places are summed up one by one; longer lists are summed block by block.
+_BLOCK = 128
+
+
 def spans(text: Column, pattern: str, there: Column) -> Column:
-    """Leftmost non-overlapping matches as (s, e, v) in code points; ``there`` is a cheap test that comes first."""
+    """Leftmost non-overlapping matches as (s, e, v) in code points; ``there`` is a cheap test that comes first.
+
+    Places are prefix sums of the matches' and the gaps' lengths: inside blocks, then over the blocks, so that the cost
+    of a text of many matches is not their number squared.
+    """
     gaps = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1), lambda v, g: F.struct(v.alias("v"), F.length(g).cast("long").alias("g")))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_FOUND).alias("out"))
 
@@ -70,7 +101,19 @@ def spans(text: Column, pattern: str, there: Column) -> Column:
         e = s + F.length(x["v"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v")))).alias("out"))
 
-    found = F.aggregate(F.filter(gaps, lambda x: x["v"].isNotNull()), start, add, lambda acc: acc["out"])
+    def in_blocks(xs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _BLOCK).cast("int"))
+        local = F.transform(numbers, lambda k: F.aggregate(F.slice(xs, k * _BLOCK + 1, F.lit(_BLOCK)), start, add))
+        return let(local, over_blocks)
+
+    def over_blocks(blocks: Column) -> Column:
+        offsets = F.aggregate(blocks, F.array(F.lit(0).cast("long")), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"])))
+        moved = lambda b, o: F.transform(b["out"], lambda x: F.struct((x["s"] + o).alias("s"), (x["e"] + o).alias("e"), x["v"].alias("v")))
+        pairs = F.filter(F.arrays_zip(blocks.alias("b"), offsets.alias("o")), lambda p: p["b"].isNotNull())
+        return F.flatten(F.transform(pairs, lambda p: moved(p["b"], p["o"])))
+
+    few = lambda xs: F.when(F.size(xs) <= _BLOCK, F.aggregate(xs, start, add, lambda acc: acc["out"])).otherwise(in_blocks(xs))
+    found = let(F.filter(gaps, lambda x: x["v"].isNotNull()), few)
     return F.when(there, found).otherwise(F.array().cast(_FOUND))
 
 
@@ -108,19 +151,18 @@ def _candidates(text: Column, base: Column) -> Column:
         "number": spans(text, _NUMBER, digit),
         "secret": spans(text, _SECRET, digit),
         "address": spans(text, _ADDRESS, text.contains("at)") | text.contains("at]")),
-        "name": spans(text, _NAME, text.rlike(_NAME)),
+        "name": spans(text, _NAME, F.lit(True)),
     }
 
     def describer(kind: str, k: int):
         def described(x: Column) -> Column:
             v = x["v"]
             before = F.substring(text, F.greatest(x["s"] - 29, F.lit(1)).cast("int"), F.least(x["s"], F.lit(30)).cast("int"))
-            prefixes = {"secret": TOKEN_PREFIXES, "number": DIALLING_PREFIXES}.get(kind)
-            listed = F.lit(kind == "name") if prefixes is None else F.exists(F.array(*map(F.lit, prefixes)), lambda p: v.startswith(p))
+            listed = v.rlike(_LISTED[kind])
             context = before.rlike(_CONTEXT[kind])
             votes = [F.when(v.rlike(_STRONG[kind]), 1).otherwise(-1 if kind == "number" else 0), F.when(listed, 1).otherwise(0), F.when(context, 1).otherwise(0), F.when(v.rlike(_AGAINST[kind]), -1).otherwise(0)]
             share = F.floor(4 * F.length(_digits(v)) / F.length(v))
-            features = [F.lit(kind), F.concat(F.lit(kind + "/length/"), F.least(F.floor(F.log2(F.length(v))), F.lit(8))), F.concat(F.lit(kind + "/digits/"), share), F.concat(F.lit(kind + "/context/"), context.cast("int")), F.concat(F.lit(kind + "/parts/"), F.least(F.size(F.split(v, r"[\x20().-]+")), F.lit(5)))]
+            features = [F.lit(kind), F.concat(F.lit(kind + "/length/"), F.least(F.floor(F.log2(F.length(v))), F.lit(8))), F.concat(F.lit(kind + "/digits/"), share), F.concat(F.lit(kind + "/context/"), context.cast("int")), F.concat(F.lit(kind + "/listed/"), listed.cast("int")), F.concat(F.lit(kind + "/shape/"), v.rlike(_STRONG[kind]).cast("int"), v.rlike(_AGAINST[kind]).cast("int")), F.concat(F.lit(kind + "/parts/"), F.least(F.size(F.split(v, r"[\x20().-]+")), F.lit(5)))]
             return F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), F.array(*votes).alias("votes"), F.array(*features).alias("features"))
 
         return described
@@ -129,42 +171,40 @@ def _candidates(text: Column, base: Column) -> Column:
     return F.filter(F.concat(*out), lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
 
 
-def estimate_reliability(patterns: DataFrame, rounds: int = 10) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """EM over (votes, n): the share of true spans, and for each labeler and vote its probability given no and yes."""
+Given = list[dict[int, tuple[float, float]]]
+
+
+def estimate_reliability(patterns: list[tuple[tuple[int, ...], int]], most_rounds: int = 500, tolerance: float = 1e-6) -> tuple[float, Given]:
+    """EM over (votes, n) of one kind until nothing moves by more than ``tolerance``: the share of true spans, and for
+    each labeler and vote its probability given no and given yes. Every count starts at one."""
     prior, given = 0.5, [{1: (0.1, 0.5), 0: (0.6, 0.4), -1: (0.3, 0.1)} for _ in LABELERS]
-    for _ in range(rounds):
-        p = posterior(F.col("votes"), prior, given)
-        sums = [F.sum(F.col("n") * p).alias("yes"), F.sum("n").alias("all")]
-        for j in range(len(LABELERS)):
-            for v in (1, 0, -1):
-                here = F.when(F.col("votes")[j] == v, F.col("n")).otherwise(0)
-                sums += [F.sum(here * p).alias(f"y{j}{v}"), F.sum(here * (1 - p)).alias(f"n{j}{v}")]
-        r = patterns.agg(*sums).first()
-        if not r["all"]:
+    total = sum(n for _, n in patterns)
+    for _ in range(most_rounds if total else 0):
+        weighed = [(votes, n, n / (1 + math.exp(-log_odds(votes, prior, given)))) for votes, n in patterns]
+        yes = sum(y for *_, y in weighed)
+        no, before = total - yes, (prior, given)
+        prior = min(0.99, max(0.01, (yes + 1) / (total + 2)))
+        given = [{v: ((sum(n - y for x, n, y in weighed if x[j] == v) + 1) / (no + 3), (sum(y for x, _, y in weighed if x[j] == v) + 1) / (yes + 3)) for v in (1, 0, -1)} for j in range(len(LABELERS))]
+        moved = max(abs(a - b) for new, old in zip(given, before[1]) for v in new for a, b in zip(new[v], old[v]))
+        if max(moved, abs(prior - before[0])) <= tolerance:
             break
-        yes, no = r["yes"], r["all"] - r["yes"]
-        prior = min(0.99, max(0.01, (yes + 1) / (r["all"] + 2)))
-        given = [{v: ((r[f"n{j}{v}"] + 1) / (no + 3), (r[f"y{j}{v}"] + 1) / (yes + 3)) for v in (1, 0, -1)} for j in range(len(LABELERS))]
     return prior, given
 
 
-def posterior(votes: Column, prior: float, given: list[dict[int, tuple[float, float]]]) -> Column:
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for j, by_vote in enumerate(given):
-        w = F.lit(0.0)
-        for v, (no, yes) in by_vote.items():
-            w = F.when(votes[j] == v, math.log(yes / no)).otherwise(w)
-        odds = odds + w
-    return 1 / (1 + F.exp(-odds))
+def log_odds(votes: tuple[int, ...], prior: float, given: Given) -> float:
+    return math.log(prior / (1 - prior)) + sum(math.log(by[v][1] / by[v][0]) for by, v in zip(given, votes))
 
 
-def _classifier(spans_df: DataFrame, prior: float, given: list) -> tuple[float, dict[str, float]]:
-    """Log odds of a true span, and what each feature value adds: naive Bayes on the posteriors."""
-    p = posterior(F.col("votes"), prior, given)
-    rows = spans_df.select(p.alias("p"), F.explode("features").alias("f")).groupBy("f").agg(F.sum("p").alias("yes"), F.count("*").alias("n"))
-    yes, n = spans_df.agg(F.coalesce(F.sum(p), F.lit(0.0)), F.count("*")).first()
-    start = math.log((yes + 1) / (n - yes + 1))
-    return start, {r["f"]: math.log(((r["yes"] + 1) / (yes + 2)) / ((r["n"] - r["yes"] + 1) / (n - yes + 2))) for r in rows.collect()}  # a fixed set of feature values
+def _classifier(counts: list, posterior: dict[tuple, float]) -> tuple[dict[str, float], dict[str, float]]:
+    """Log odds of a true span of each kind, and what each feature value adds: naive Bayes on the posteriors, from
+    counts (kind, votes, feature, n); every span has its kind as a feature."""
+    yes, n = Counter(), Counter()
+    for kind, votes, feature, many in counts:
+        yes[kind, feature] += many * posterior[kind, votes]
+        n[kind, feature] += many
+    start = {k: math.log((yes[k, f] + 1) / (n[k, f] - yes[k, f] + 1)) for k, f in n if k == f}
+    weigh = lambda k, f: math.log(((yes[k, f] + 1) / (yes[k, k] + 2)) / ((n[k, f] - yes[k, f] + 1) / (n[k, k] - yes[k, k] + 2)))
+    return start, {f: weigh(k, f) for k, f in n if k != f}
 
 
 def find_private_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = 0.5) -> DataFrame:
@@ -177,15 +217,22 @@ def find_private_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.withColumn("base", _base_spans(F.col("__text")))
     found = materialize(rows.withColumn("more", _candidates(F.col("__text"), F.col("base"))).drop("__text"), "spans")
     each = found.where("size(more) > 0").select(F.explode("more").alias("c")).select("c.votes", "c.features")
-    patterns = materialize(each.groupBy("votes").agg(F.count("*").alias("n")).coalesce(1), "votes")
-    prior, given = estimate_reliability(patterns)
-    start, weights = _classifier(each, prior, given)
+    # At most 4 kinds x 81 vote patterns x some 30 feature values.
+    counts = each.select("votes", F.element_at("features", 1).alias("kind"), F.explode("features").alias("f")).groupBy("kind", "votes", "f").agg(F.count("*").alias("n")).collect()
+    counts = sorted((r["kind"], tuple(r["votes"]), r["f"], r["n"]) for r in counts)
+    posterior = {}
+    for kind in ADDED_KINDS:
+        patterns = [(votes, n) for k, votes, f, n in counts if k == kind == f]
+        prior, given = estimate_reliability(patterns)
+        posterior |= {(kind, votes): 1 / (1 + math.exp(-log_odds(votes, prior, given))) for votes, _ in patterns}
+    start, weights = _classifier(counts, posterior)
 
     named = lambda kinds: F.array(*map(F.lit, kinds))
     shown = lambda xs, kinds, shift: F.transform(xs, lambda x: F.struct(F.element_at(named(kinds), x["k"] - shift + 1).alias("kind"), x["s"].alias("start"), x["e"].alias("end")))
     if weights:
         table = F.create_map(*[F.lit(x) for pair in sorted(weights.items()) for x in pair])
-        odds = lambda c: F.aggregate(c["features"], F.lit(start), lambda a, f: a + F.coalesce(F.try_element_at(table, f), F.lit(0.0)))
+        begin = F.create_map(*[F.lit(x) for pair in sorted(start.items()) for x in pair])
+        odds = lambda c: F.aggregate(c["features"], F.try_element_at(begin, c["features"][0]), lambda a, f: a + F.coalesce(F.try_element_at(table, f), F.lit(0.0)))
         added = F.filter("more", lambda c: odds(c) >= math.log(accept / (1 - accept)))
     else:
         added = F.filter("more", lambda c: F.lit(False))

@@ -101,6 +101,67 @@ def test_private_data(spark):
     assert {r["doc_id"]: r["base_sha256"] for r in rows} == {i: sha(",".join(f"{private_data.BASE_KINDS[k]}:{a}:{b}" for a, k, b in base_spans(t))) for i, t in docs_of(spark)}
 
 
+def test_private_data_of_many_matches(spark):
+    texts = [(1, "x " + " ".join(f"a{k}@b.co" for k in range(5000))), (2, "é " + " ".join(f"1.2.3.{k % 256}" for k in range(1000))), (3, " ".join(["a@b.c"] * private_data._BLOCK)), (4, " ".join(["a@b.c"] * (private_data._BLOCK + 1)))]
+    got = {r["doc_id"]: r["b"] for r in private_data.find_private_data(table(spark, texts)).select("doc_id", private_data.joined(F.col("base")).alias("b")).collect()}
+    assert got == {i: ",".join(f"{private_data.BASE_KINDS[k]}:{a}:{b}" for a, k, b in base_spans(t)) for i, t in texts}
+
+
+def test_added_private_data(spark):
+    """Precision and recall of the added spans on texts whose personal data are known; nothing is labelled for the operator."""
+    rng = random.Random(21)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghiklmnorstu") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 1)) + "7"
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    last = ("Miller", "Schmidt", "Garcia", "Dubois", "Fischer", "Okafor", "Tanaka", "Novak")
+    good = {
+        "number": lambda: (rng.choice(("call ", "phone: ", "ssn ", "")), rng.choice((f"{digits(3)}-{digits(2)}-{digits(4)}", f"0{digits(3)} {digits(3)} {digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}"))),
+        "secret": lambda: (rng.choice(("token: ", "api_key=", "password ", "")), rng.choice((hexes(40), "ghp_" + hexes(36), "AKIA" + "".join(rng.choice("ABCDEFGH0123") for _ in range(15)) + "9"))),
+        "address": lambda: (rng.choice(("mail ", "contact: ", "")), f"{rng.choice(('bob', 'eve.x', 'info'))} [at] {words(1)} [dot] {rng.choice(('com', 'org', 'de'))}"),
+        "name": lambda: (rng.choice(("Mr. ", "Dr. ", "name: ", "")), f"{rng.choice(private_data.FIRST_NAMES[:60])} {rng.choice(last)}"),
+    }
+    bad = {
+        "number": lambda: (rng.choice(("page ", "")), rng.choice((f"2024-0{digits(1)}-1{digits(1)}", digits(9), "1111111111", f"{digits(4)}.{digits(5)}"))),
+        "secret": lambda: ("the ", f"{'long-winded-' * 2}title{digits(2)}"),
+        "name": lambda: (rng.choice(("in ", "the ")), rng.choice(("The House", "Main Street", "State University", "Der Wagen", "New Haven Road"[4:]))),
+    }
+    rows, want = [], Counter()
+    for i in range(600):
+        text = words(4)
+        for _ in range(3):
+            kind = rng.choice(tuple(good))
+            source = good if kind == "address" or rng.random() < 0.5 else bad
+            before, span = source[kind]()
+            text += " " + before
+            if source is good:
+                want[i, kind, len(text), len(text) + len(span)] += 1
+            text += span + " " + words(3)
+        rows.append((i, text))
+    got = Counter((r["doc_id"], x["kind"], x["start"], x["end"]) for r in private_data.find_private_data(table(spark, rows)).collect() for x in r["added"])
+    for kind in private_data.ADDED_KINDS:
+        of_kind = lambda c: {x for x in c if x[1] == kind}  # noqa: B023, E731
+        right = of_kind(got) & of_kind(want)
+        assert len(right) >= 0.9 * len(of_kind(got)) and len(right) >= 0.8 * len(of_kind(want)), (kind, len(right), len(of_kind(got)), len(of_kind(want)))
+
+
+def test_reliability():
+    """EM finds the labelers that votes were drawn from, and its posterior tells true spans from others."""
+    rng = random.Random(22)
+    truth = [(0.05, 0.7), (0.02, 0.4), (0.1, 0.6)]  # chance of a vote for, given no and yes; the last labeler votes against
+    drawn, right = Counter(), Counter()
+    for _ in range(20_000):
+        yes = rng.random() < 0.3
+        votes = (*(int(rng.random() < p[yes]) for p in truth), -int(rng.random() < (0.5, 0.05)[yes]))
+        drawn[votes] += 1
+        right[votes] += yes
+    prior, given = private_data.estimate_reliability(sorted(drawn.items()))
+    assert abs(prior - 0.3) < 0.05 and all(abs(g[1][k] - p[k]) < 0.06 for g, p in zip(given, truth) for k in (0, 1))
+    for votes, n in drawn.items():
+        if n > 500:
+            assert abs(1 / (1 + np.exp(-private_data.log_odds(votes, prior, given))) - right[votes] / n) < 0.1
+    assert private_data.estimate_reliability([]) [0] == 0.5
+
+
 def water_fill(sizes):
     names = sorted(k for k in sizes if k is not None) + [k for k in sizes if k is None]
     weight = {k: (1, 2, 3)[n % 3] for n, k in enumerate(names)}
