@@ -6,17 +6,21 @@ the block needs at least ceil(t n) template tokens (length filter), as many of t
 orders (positional filter). What passes is counted exactly.
 
 Blocks are sentences, however they are wrapped: texts are cut at blank lines and after ``.``, ``!`` or ``?`` before
-white space. Only DataFrame functions are used; what reaches the driver is one row per template token.
+white space, license texts as well. Only blocks with a prefix token are ever compared. Of the templates that a block
+contains, one whose words another's include is passed over (the notice of the Lesser license holds all words of the
+General one's). Only DataFrame functions are used; what reaches the driver is one row per template token.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import text_or_empty
+from .license_texts import LICENSE_TEXTS
 from .scratch import materialize
 
 #: Fixed phrases of the base scan and their labels.
@@ -25,17 +29,6 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Fixed template sentences of public licenses and their labels.
-TEMPLATES = {
-    "released under the mit license": "mit",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
-    "licensed under the apache license version 2 0": "apache-2",
-    "licensed under cc by nc 4 0": "cc-by-nc",
-    "licensed under cc by sa 4 0": "cc-by-sa",
-    "this work is licensed under the gnu general public license version 3": "gpl-3",
-    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
-    "all rights reserved": "all-rights-reserved",
-}
 SHARE = 0.9
 _GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _ENDS = r"(?<=[.!?])[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n"
@@ -80,17 +73,26 @@ def _base(norm: Column, phrases: dict[str, str]) -> list[Column]:
     ]
 
 
-def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def template_blocks(texts: tuple[tuple[str, str], ...]) -> list[tuple[str, frozenset[str]]]:
+    """(label, distinct words) of every block of the license texts, each once."""
+    fold = str.maketrans(_UPPER, _LOWER)
+    blocks = [(label, frozenset(re.sub(_GAPS, " ", block).translate(fold).split())) for label, text in texts for block in re.split(_ENDS, text)]
+    return list(dict.fromkeys((label, words) for label, words in blocks if words))
+
+
+def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, texts: tuple[tuple[str, str], ...] = LICENSE_TEXTS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
-    Base: places where a phrase's words stand consecutively. Labels: the base ones and those of every template of
-    which a block holds at least ``share`` of the distinct words; blocks lists these blocks with label and share.
-    score is the highest share found, 1 if a phrase stands in the text, else 0. Null and empty texts have no words.
-    Every row is scanned by itself, so repeated rows repeat their result; null ids are kept; other columns are ignored.
+    Base: places where a phrase's words stand consecutively. Labels: the base ones and those of every template block of
+    which a block of the text holds at least ``share`` of the distinct words (less those that another such template of
+    the same block includes); blocks lists these with label, share and the block's template words. score is the highest
+    share found, 1 if a phrase stands in the text, else 0. Null and empty texts have no words. Every row is scanned by
+    itself, so repeated rows repeat their result; null ids are kept; other columns are ignored; an empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
-    tokens = {t: sorted(set(t.split())) for t in templates}
-    vocabulary = sorted({w for own in tokens.values() for w in own})
+    templates = template_blocks(texts)
+    vocabulary = sorted({w for _, own in templates for w in own})
     words = F.array(*map(F.lit, vocabulary))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("__text")).withColumn("__norm", normalized(F.col("__text")))
 
@@ -98,30 +100,35 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     frequency = {r["w"]: r["n"] for r in found.toLocalIterator()}
     rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
     index = []
-    for t, own in tokens.items():
-        own = sorted(own, key=rank.__getitem__)
+    for k, (label, own) in enumerate(templates):
+        ordered_own = sorted(own, key=rank.__getitem__)
         need = math.ceil(share * len(own) - 1e-9)
-        index += [(w, templates[t], own, k, need) for k, w in enumerate(own[: len(own) - need + 1])]
+        wider = [n for n, (_, other) in enumerate(templates) if own < other]
+        index += [(w, k, label, ordered_own, at, need, wider) for at, w in enumerate(ordered_own[: len(own) - need + 1])]
     prefix_words = sorted({w for w, *_ in index}, key=rank.__getitem__)
     prefix = F.array(*map(F.lit, prefix_words))
     ordered = F.array(*map(F.lit, sorted(vocabulary, key=rank.__getitem__)))
 
-    # One pass over the texts: base scan, and the blocks of texts that hold any prefix word (cut before normalising).
-    blocks = F.split("__text", _ENDS)
-    block_words = F.filter(F.transform(blocks, lambda b: F.array_intersect(ordered, F.split(normalized(b), " "))), lambda x: F.size(x) > 0)
-    held = F.when(F.arrays_overlap(F.split("__norm", " "), prefix), F.filter(block_words, lambda b: F.arrays_overlap(b, prefix)))
+    # One pass over the texts: base scan; where any prefix word stands, the blocks with one (cut before normalising),
+    # and of these the template words in the global order.
+    block_words = F.transform(F.split("__text", _ENDS), lambda b: F.split(normalized(b), " "))
+    near = F.filter(block_words, lambda b: F.arrays_overlap(b, prefix))
+    held = F.when(F.arrays_overlap(F.split("__norm", " "), prefix), F.transform(near, lambda b: F.array_intersect(ordered, b)))
     scanned = rows.select("doc_id", *_base(F.col("__norm"), phrases), held.alias("held"))
     scanned = materialize(scanned.withColumn("__row", F.monotonically_increasing_id()), "scanned")
 
-    templates_df = spark.createDataFrame(index, "word string, label string, tokens array<string>, at_t int, need int")
+    templates_df = spark.createDataFrame(index, "word string, template int, label string, tokens array<string>, at_t int, need int, wider array<int>")
     block = scanned.where("size(held) > 0").select("__row", F.explode(F.array_distinct("held")).alias("block"))
     exploded = block.select("__row", "block", F.posexplode("block").alias("at_b", "word")).where(F.array_contains(prefix, F.col("word")))
     met = exploded.join(F.broadcast(templates_df), "word")  # at most one row per template token
     left = F.least(F.size("tokens") - F.col("at_t"), F.size("block") - F.col("at_b"))
     met = met.where((F.size("block") >= F.col("need")) & (left >= F.col("need")))
     counted = met.withColumn("n", F.size(F.array_intersect("block", "tokens"))).where("n >= need")
-    hit = F.struct(F.col("label"), (F.col("n") / F.size("tokens")).alias("share"), F.array_join("block", " ").alias("words"))
-    matched = counted.groupBy("__row").agg(F.array_sort(F.collect_set(hit)).alias("blocks"))  # of one document
+    hit = F.struct("label", (F.col("n") / F.size("tokens")).alias("share"), F.array_join("block", " ").alias("words"), "template", "wider")
+    matched = counted.groupBy("__row").agg(F.collect_set(hit).alias("hits"))  # of one document
+    inside = lambda x, y: (x["words"] == y["words"]) & F.array_contains(x["wider"], y["template"])
+    widest = F.filter("hits", lambda x: ~F.exists("hits", lambda y: inside(x, y)))
+    matched = matched.select("__row", F.array_sort(F.transform(widest, lambda x: F.struct(x["label"].alias("label"), x["share"].alias("share"), x["words"].alias("words")))).alias("blocks"))
 
     out = scanned.join(matched, "__row", "left")
     own = F.coalesce(F.col("blocks.label"), F.array().cast("array<string>"))

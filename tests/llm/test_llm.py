@@ -393,6 +393,52 @@ def test_wrapped_licenses(spark):
     assert got == {1: (["mit"], 1.0), 2: (["mit"], 1.0), 3: (["bsd"], 1.0), 4: ([], 0.0), 5: ([], 0.0), 6: (["all-rights-reserved"], 1.0), 7: (["apache-2"], 1.0)}
 
 
+def test_license_containment(spark):
+    """Labels, shares and blocks against a comparison of every block of every text with every template."""
+    rng = random.Random(17)
+    templates = license_scan.template_blocks(license_scan.LICENSE_TEXTS)
+    originals = [re.split(r"(?<=[.!?])\s+|\n\n", t.strip()) for _, t in license_scan.LICENSE_TEXTS]
+    rows = []
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randint(0, 5)):
+            w = rng.choice(rng.choice(originals)).split()
+            for _ in range(rng.choice((0, 0, 1, 3, 8))):
+                w[rng.randrange(len(w))] = rng.choice(("", "other", "license", "the", "Lesser"))
+            if rng.random() < 0.2:
+                w.insert(rng.randrange(len(w) + 1), rng.choice((".\n", "\n\n", "# \n")))
+            parts.append(" ".join(w))
+        rows.append((i, rng.choice((". ", "\n\n", " ")).join(parts + passage(rng, rng.randint(0, 9)))))
+    rows += [(900, "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."), (901, " ".join(passage(rng, 30_000)) + " All rights reserved. " * 300)]
+    fold = {c: c + 32 for c in range(65, 91)}
+    want = {}
+    for i, t in rows:
+        found = set()
+        for block in re.split(r"(?<=[.!?])[ \t-\r]+|\n[ \t-\r]*\n", t):
+            own = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", block.translate(fold)))
+            met = [(label, words) for label, words in templates if len(own & words) >= 0.9 * len(words)]
+            found |= {(label, round(len(own & words) / len(words), 9)) for label, words in met if not any(words < other for _, other in met)}
+        want[i] = found
+    got = license_scan.scan_licenses(table(spark, rows)).collect()
+    assert {r["doc_id"]: {(x["label"], round(x["share"], 9)) for x in r["blocks"] or []} for r in got} == want
+    for r in got:
+        assert set(r["labels"]) == set(r["base_labels"]) | {label for label, _ in want[r["doc_id"]]}
+        assert abs(r["score"] - (1 if r["base_labels"] else max((s for _, s in want[r["doc_id"]]), default=0))) < 1e-8
+    assert want[900] == {("lgpl", 1.0)} and sum(map(bool, want.values())) > 60
+
+
+def test_op8_query(spark):
+    fold = {c: c + 32 for c in range(65, 91)}
+    got = {r["doc_id"]: r for r in Q.op8_license_scan(spark, SF).collect()}
+    assert len(got) == len(docs_of(spark))
+    for i, t in docs_of(spark):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(fold))
+        at = sorted((k, label) for p, label in license_scan.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted({x for _, x in at})))
+        assert set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) | {""} and 0 <= r["score"] <= 1
+
+
 def test_ngram_join(spark):
     rng = random.Random(3)
     base = passage(rng, 120, 9999)
