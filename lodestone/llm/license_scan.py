@@ -6,9 +6,10 @@ the block needs at least ceil(t n) template tokens (length filter), as many of t
 orders (positional filter). What passes is counted exactly.
 
 Blocks are sentences, however they are wrapped: texts are cut at blank lines and after ``.``, ``!`` or ``?`` before
-white space, license texts as well. Only blocks with a prefix token are ever compared. Of the templates that a block
-contains, one whose words another's include is passed over (the notice of the Lesser license holds all words of the
-General one's). Only DataFrame functions are used; what reaches the driver is one row per template token.
+white space, license texts as well. Only blocks with a prefix token are ever compared. Every template block that a text
+block contains to the threshold is found; its label counts unless a template of nearly the same words fits the block
+better (the notices of the General and the Lesser license differ in three words). Only DataFrame functions are used;
+what reaches the driver is one row per template token.
 """
 
 from __future__ import annotations
@@ -84,9 +85,9 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, texts: tup
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
     Base: places where a phrase's words stand consecutively. Labels: the base ones and those of every template block of
-    which a block of the text holds at least ``share`` of the distinct words (less those that another such template of
-    the same block includes); blocks lists these with label, share and the block's template words. score is the highest
-    share found, 1 if a phrase stands in the text, else 0. Null and empty texts have no words. Every row is scanned by
+    which a block of the text holds at least ``share`` of the distinct words; blocks lists all of these with label, share
+    and the block's template words. Where two templates hold one another's words to that share, only the label of the one
+    that fits a block better counts (by share, then by length). score is the highest share found, 1 if a phrase stands in the text, else 0. Null and empty texts have no words. Every row is scanned by
     itself, so repeated rows repeat their result; null ids are kept; other columns are ignored; an empty table gives an
     empty result.
     """
@@ -103,8 +104,8 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, texts: tup
     for k, (label, own) in enumerate(templates):
         ordered_own = sorted(own, key=rank.__getitem__)
         need = math.ceil(share * len(own) - 1e-9)
-        wider = [n for n, (_, other) in enumerate(templates) if own < other]
-        index += [(w, k, label, ordered_own, at, need, wider) for at, w in enumerate(ordered_own[: len(own) - need + 1])]
+        rivals = [n for n, (_, other) in enumerate(templates) if n != k and len(own & other) >= need]
+        index += [(w, k, label, ordered_own, at, need, rivals) for at, w in enumerate(ordered_own[: len(own) - need + 1])]
     prefix_words = sorted({w for w, *_ in index}, key=rank.__getitem__)
     prefix = F.array(*map(F.lit, prefix_words))
     ordered = F.array(*map(F.lit, sorted(vocabulary, key=rank.__getitem__)))
@@ -117,21 +118,23 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, texts: tup
     scanned = rows.select("doc_id", *_base(F.col("__norm"), phrases), held.alias("held"))
     scanned = materialize(scanned.withColumn("__row", F.monotonically_increasing_id()), "scanned")
 
-    templates_df = spark.createDataFrame(index, "word string, template int, label string, tokens array<string>, at_t int, need int, wider array<int>")
+    templates_df = spark.createDataFrame(index, "word string, template int, label string, tokens array<string>, at_t int, need int, rivals array<int>")
     block = scanned.where("size(held) > 0").select("__row", F.explode(F.array_distinct("held")).alias("block"))
     exploded = block.select("__row", "block", F.posexplode("block").alias("at_b", "word")).where(F.array_contains(prefix, F.col("word")))
     met = exploded.join(F.broadcast(templates_df), "word")  # at most one row per template token
     left = F.least(F.size("tokens") - F.col("at_t"), F.size("block") - F.col("at_b"))
     met = met.where((F.size("block") >= F.col("need")) & (left >= F.col("need")))
     counted = met.withColumn("n", F.size(F.array_intersect("block", "tokens"))).where("n >= need")
-    hit = F.struct("label", (F.col("n") / F.size("tokens")).alias("share"), F.array_join("block", " ").alias("words"), "template", "wider")
+    hit = F.struct("label", (F.col("n") / F.size("tokens")).alias("share"), F.array_join("block", " ").alias("words"), "template", F.size("tokens").alias("size"), "rivals")
     matched = counted.groupBy("__row").agg(F.collect_set(hit).alias("hits"))  # of one document
-    inside = lambda x, y: (x["words"] == y["words"]) & F.array_contains(x["wider"], y["template"])
-    widest = F.filter("hits", lambda x: ~F.exists("hits", lambda y: inside(x, y)))
-    matched = matched.select("__row", F.array_sort(F.transform(widest, lambda x: F.struct(x["label"].alias("label"), x["share"].alias("share"), x["words"].alias("words")))).alias("blocks"))
+    fits = lambda x: F.struct(x["share"], x["size"])
+    outdone = lambda x, y: (x["words"] == y["words"]) & F.array_contains(x["rivals"], y["template"]) & (fits(y) > fits(x))
+    best = F.filter("hits", lambda x: ~F.exists("hits", lambda y: outdone(x, y)))
+    shown = F.transform("hits", lambda x: F.struct(x["label"].alias("label"), x["share"].alias("share"), x["words"].alias("words")))
+    matched = matched.select("__row", F.array_sort(F.array_distinct(shown)).alias("blocks"), F.transform(best, lambda x: x["label"]).alias("best"))
 
     out = scanned.join(matched, "__row", "left")
-    own = F.coalesce(F.col("blocks.label"), F.array().cast("array<string>"))
+    own = F.coalesce(F.col("best"), F.array().cast("array<string>"))
     labels = F.array_sort(F.array_union("base_labels", own))
     score = F.when(F.size("base_labels") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.col("blocks.share")), F.lit(0.0)))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", labels.alias("labels"), score.alias("score"), "blocks")
