@@ -5,13 +5,16 @@ through it word by word; the state's match length says how long a stretch of wor
 item. A stretch of ``window`` words or more hits; an item with fewer words hits as a whole.
 
 Words outside the items' vocabulary reset the automaton, so only runs of known words that could hold a window are
-streamed. The items are a stated query set: beyond ``max_item_words`` they are dealt into blocks, one automaton and
-one pass over the stored words of each batch for every block, so that a broadcast automaton has a bounded size.
+streamed. The items are a stated query set, dealt into blocks of at most ``block_bytes`` of text. Their automata are
+built one after another and broadcast as flat arrays (some 60 bytes a word), and every block is one pass over the words
+of a batch, so that neither the driver nor a worker ever holds more than one block in the form it is built in.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 
+#: Bytes of item text in an automaton.
+BLOCK_BYTES = 1 << 20
 _KEEP = bytes(range(48, 58)) + bytes(range(97, 123)) + bytes(range(128, 256))
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b in _KEEP else 32 for b in range(256))
 
@@ -32,69 +37,51 @@ def item_words(text: str | None) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """All stretches of words of the items, and for stretches of ``window`` words (or whole shorter items) the items they are in."""
+    """All stretches of words of the items, and for stretches of ``window`` words (or whole shorter items) the items they are in.
+
+    Kept as flat arrays: the transitions of a state are a range of (word, target), sorted by word; the items of a window
+    are a range of item numbers at the shortest state that holds it; ``short_up`` leads along the suffix links to the
+    states where a short item ends.
+    """
 
     def __init__(self, items: list[tuple[object, list[bytes]]], window: int):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        own: list[set] = [set()]
-        whole: list[list[tuple[int, object]]] = [[]]
+        nxt: list[dict[int, int]] = [{}]
+        link, length = [-1], [0]
         ids = {k: n for n, k in enumerate(dict.fromkeys(k for k, _ in items))}
         self.item_ids = list(ids)
         self.least = min([min(len(w), window) for _, w in items if w], default=window)
+        ends: list[tuple[int, int]] = []  # the state and the item of every word that ends a window
+        self.short: dict[int, list[tuple[int, int]]] = {}
         for key, words in items:
             last = 0
-            for w in words:
-                last = self._extend(last, self.vocabulary.setdefault(w, len(self.vocabulary)), own, whole)
-                own[last].add(ids[key])
+            for n, w in enumerate(words, 1):
+                last = _extend(nxt, link, length, last, self.vocabulary.setdefault(w, len(self.vocabulary)))
+                if n >= window:
+                    ends.append((last, ids[key]))
             if words and len(words) < window:
-                whole[last].append((len(words), ids[key]))
-        order = sorted(range(1, len(self.next)), key=self.length.__getitem__)
-        for s in reversed(order):  # a state's items are its own and those of all states that it is a suffix of
-            if self.length[self.link[s]] >= 1:
-                own[self.link[s]] |= own[s]
-        # Items of the window-long suffix of each state, and short items that are suffixes of it, shortest first.
-        self.items: list[frozenset | None] = [None] * len(self.next)
-        self.short: list[list[tuple[int, object]]] = [[] for _ in self.next]
+                self.short.setdefault(last, []).append((len(words), ids[key]))
+
+        self.link, self.length = array("i", link), array("i", length)
+        order = np.argsort(np.array(length), kind="stable")[1:].tolist()
+        self.top = array("i", range(len(nxt)))  # the shortest suffix of a state that still holds its window
+        self.short_up = array("i", [-1]) * len(nxt)
         for s in order:
-            up = self.link[s]
-            self.items[s] = self.items[up] if self.length[up] >= window else frozenset(own[s]) if self.length[s] >= window else None
-            self.short[s] = self.short[up] + sorted(whole[s])
-
-    def _extend(self, last: int, c: int, own: list, whole: list) -> int:
-        nxt, link, length = self.next, self.link, self.length
-
-        def clone(p: int, q: int) -> int:
-            nxt.append(dict(nxt[q]))
-            link.append(link[q])
-            length.append(length[p] + 1)
-            own.append(set())
-            whole.append([])
-            k = len(nxt) - 1
-            link[q] = k
-            while p != -1 and nxt[p].get(c) == q:
-                nxt[p][c] = k
-                p = link[p]
-            return k
-
-        if c in nxt[last]:
-            q = nxt[last][c]
-            return q if length[q] == length[last] + 1 else clone(last, q)
-        nxt.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        own.append(set())
-        whole.append([])
-        cur, p = len(nxt) - 1, last
-        while p != -1 and c not in nxt[p]:
-            nxt[p][c] = cur
-            p = link[p]
-        if p != -1:
-            q = nxt[p][c]
-            link[cur] = q if length[q] == length[p] + 1 else clone(p, q)
-        return cur
+            up = link[s]
+            if length[up] >= window:
+                self.top[s] = self.top[up]
+            self.short_up[s] = s if s in self.short else self.short_up[up]
+        pairs = np.array(sorted({(self.top[s], k) for s, k in ends}), np.int32).reshape(-1, 2)
+        self.item_first = array("i", np.searchsorted(pairs[:, 0], np.arange(len(nxt) + 1)).astype(np.int32).tobytes())
+        self.item = array("i", np.ascontiguousarray(pairs[:, 1]).tobytes())
+        self.first = array("i", [0])
+        self.word, self.target = array("i"), array("i")
+        for edges in nxt:
+            for c, t in sorted(edges.items()):
+                self.word.append(c)
+                self.target.append(t)
+            self.first.append(len(self.word))
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Merged hit spans [start, end) of a document's words, and the indices of the items with occurring windows."""
@@ -102,25 +89,34 @@ class SuffixAutomaton:
         known = np.flatnonzero(np.diff(ids >= 0, prepend=False, append=False)).reshape(-1, 2)
         spans: list[list[int]] = []
         found: set = set()
-        nxt, link, length, window = self.next, self.link, self.length, self.window
+        first, word, target, link, length, window, short_up = self.first, self.word, self.target, self.link, self.length, self.window, self.short_up
         for lo, hi in known[known[:, 1] - known[:, 0] >= self.least].tolist():
             state = matched = 0
             for at, c in enumerate(ids[lo:hi].tolist(), lo + 1):
-                while state and c not in nxt[state]:
+                while True:
+                    a, b = first[state], first[state + 1]
+                    if b - a > 1:
+                        a = bisect_left(word, c, a, b)
+                    if a < b and word[a] == c:
+                        state = target[a]
+                        matched += 1
+                        break
+                    if not state:
+                        break
                     state = link[state]
                     matched = length[state]
-                if c in nxt[state]:
-                    state = nxt[state][c]
-                    matched += 1
                 hit = 0
                 if matched >= window:
-                    found |= self.items[state]
+                    top = self.top[state]
+                    found.update(self.item[self.item_first[top] : self.item_first[top + 1]])
                     hit = matched
-                if self.short[state]:
-                    for n, item in self.short[state]:
+                s = short_up[state]
+                while s > 0:
+                    for n, item in self.short[s]:
                         if n <= matched:
                             found.add(item)
                             hit = max(hit, n)
+                    s = short_up[link[s]]
                 if hit:
                     start = at - hit
                     while spans and spans[-1][1] >= start:
@@ -129,21 +125,57 @@ class SuffixAutomaton:
         return [(a, b) for a, b in spans], found
 
 
-def _blocks(items: list[tuple[object, list[bytes]]], most: int) -> Iterator[list[tuple[object, list[bytes]]]]:
+def _extend(nxt: list[dict[int, int]], link: list[int], length: list[int], last: int, c: int) -> int:
+    """The state of the words read so far and ``c``, ``last`` being the state before it."""
+
+    def clone(p: int, q: int) -> int:
+        nxt.append(dict(nxt[q]))
+        link.append(link[q])
+        length.append(length[p] + 1)
+        k = len(nxt) - 1
+        link[q] = k
+        while p != -1 and nxt[p].get(c) == q:
+            nxt[p][c] = k
+            p = link[p]
+        return k
+
+    if c in nxt[last]:
+        q = nxt[last][c]
+        return q if length[q] == length[last] + 1 else clone(last, q)
+    nxt.append({})
+    link.append(0)
+    length.append(length[last] + 1)
+    cur, p = len(nxt) - 1, last
+    while p != -1 and c not in nxt[p]:
+        nxt[p][c] = cur
+        p = link[p]
+    if p != -1:
+        q = nxt[p][c]
+        link[cur] = q if length[q] == length[p] + 1 else clone(p, q)
+    return cur
+
+
+Item = tuple[tuple[bool, str], str | None]
+
+
+def _blocks(items: Iterator[Item], most: int) -> Iterator[list[tuple[tuple[bool, str], list[bytes]]]]:
     block, held = [], 0
-    for key, words in items:
-        if block and held + len(words) > most:
-            yield block
-            block, held = [], 0
-        block.append((key, words))
-        held += len(words)
-    yield block
+    for key, text in items:
+        if words := item_words(text):
+            if block and held + len(text) > most:
+                yield block
+                block, held = [], 0
+            block.append((key, words))
+            held += len(text)
+    if block:
+        yield block
 
 
-def _broadcast_automata(spark: SparkSession, benchmark: DataFrame, window: int, max_item_words: int, item_id_col: str, item_text_col: str) -> list:
-    rows = benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("null")), F.col(item_text_col)).distinct()
-    items = [(k, w) for k, w in sorted((r[0], item_words(r[1])) for r in rows.toLocalIterator()) if w]
-    return [spark.sparkContext.broadcast(SuffixAutomaton(block, window)) for block in _blocks(items, max_item_words)]
+def _broadcast_automata(spark: SparkSession, benchmark: DataFrame, window: int, block_bytes: int, item_id_col: str, item_text_col: str) -> list:
+    """Items come to the driver in the order of their ids, one partition at a time; a null id is an item of its own."""
+    rows = benchmark.select(F.col(item_id_col).isNull().alias("none"), F.coalesce(F.col(item_id_col).cast("string"), F.lit("null")).alias("id"), F.col(item_text_col).alias("text"))
+    items = (((r[0], r[1]), r[2]) for r in rows.distinct().orderBy("none", "id", "text").toLocalIterator())
+    return [spark.sparkContext.broadcast(SuffixAutomaton(block, window)) for block in _blocks(items, block_bytes)]
 
 
 def _scan(text: bytes, shared: list) -> tuple[int, list[list[int]], list[str]]:
@@ -162,16 +194,16 @@ def _scan(text: bytes, shared: list) -> tuple[int, list[list[int]], list[str]]:
             merged[-1][1] = max(b, merged[-1][1])
         else:
             merged.append([a, b])
-    return len(words), merged, sorted(found)
+    return len(words), merged, sorted(name for _, name in found)
 
 
 def _contaminated(n_hit: int, n_words: int, share: float) -> bool:
     return n_hit > 0 and n_hit >= share * n_words - 1e-9
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05, max_item_words: int = 2_000_000, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated (see find_contamination), all columns unchanged; no shuffle."""
-    shared = _broadcast_automata(docs.sparkSession, benchmark, window, max_item_words, item_id_col, item_text_col)
+    shared = _broadcast_automata(docs.sparkSession, benchmark, window, block_bytes, item_id_col, item_text_col)
     at = docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,16 +217,17 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, s
     return K.map_batches(docs, clean, docs.schema)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05, max_item_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, item_ids (sorted as strings), hit_spans, contaminated.
 
     A word is hit inside any occurrence of ``window`` consecutive words of an item, or of a whole shorter item. A
     document is contaminated if a word is hit and at least ``share`` of its words are. Null texts have no words;
-    null items and items without words hit nothing; items of one id are one item; a null item id is the string
-    "null". Rows are judged one by one, so repeated rows repeat their result. Other columns are ignored. The items
-    (not the documents) are gathered on the driver, in blocks of at most ``max_item_words`` words.
+    null items and items without words hit nothing; items of one id are one item, in one block or several; a null item
+    id is an item of its own, shown as "null". Rows are judged one by one, so repeated rows repeat their result. Other
+    columns are ignored; an empty table gives an empty result. The items (not the documents) pass through the driver, in
+    blocks of at most ``block_bytes`` of text (a longer item makes a larger one).
     """
-    shared = _broadcast_automata(docs.sparkSession, benchmark, window, max_item_words, item_id_col, item_text_col)
+    shared = _broadcast_automata(docs.sparkSession, benchmark, window, block_bytes, item_id_col, item_text_col)
     names = ["doc_id", "n_words", "n_hit", "item_ids", "hit_spans", "contaminated"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +251,7 @@ def brute_force(docs: list[tuple], items: list[tuple], window: int = 13) -> list
         w = item_words(text)
         size = min(window, len(w))
         for k in range(len(w) - size + 1 if w else 0):
-            grams.setdefault(tuple(w[k : k + size]), set()).add("null" if key is None else str(key))
+            grams.setdefault(tuple(w[k : k + size]), set()).add((key is None, str(key)))
     out = []
     for doc_id, text in docs:
         w = item_words(text)
@@ -228,6 +261,6 @@ def brute_force(docs: list[tuple], items: list[tuple], window: int = 13) -> list
                 if (own := grams.get(tuple(w[k : k + size]))) is not None:
                     found |= own
                     hit.update(range(k, k + size))
-        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        digest = hashlib.sha256(",".join(sorted("null" if none else key for none, key in found)).encode()).hexdigest()
         out.append((doc_id, len(w), len(hit), len(found), digest, len(hit) > 0 and 20 * len(hit) >= len(w)))
     return out

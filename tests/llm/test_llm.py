@@ -252,14 +252,26 @@ def test_automaton():
             assert (sum(b - a for a, b in spans), sha(",".join(sorted(auto.item_ids[k] for k in found)))) == (want[2], want[4])
 
 
+def test_op5_query(spark):
+    bench = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    assert sorted(map(tuple, Q.op5_decontaminate(spark, SF).collect())) == sorted(decontaminate.brute_force(docs_of(spark), bench))
+
+
+def test_op9_query(spark):
+    assert sorted(map(tuple, Q.op9_ngram_join(spark, SF).collect())) == sorted(ngram_join.brute_force(docs_of(spark)))
+
+
 def test_decontaminate(spark, rows):
-    items = [(1, "A b-C d e f g h i j k l m n o"), (2, "short One"), (3, None), (4, ""), (2, "other"), (10, rows[0][1])]
+    items = [(1, "A b-C d e f g h i j k l m n o"), (2, "short One"), (3, None), (4, ""), (2, "other"), (10, rows[0][1]), (None, "short one"), (11, "one"), (12, "say short")]
     docs = [*rows[:20], (200, "x a b c d e f g h i j k l m y"), (201, "say short one"), (202, None), (203, "other " + "pad " * 400), (203, "other " + "pad " * 400), (None, "short one")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(0))
-    for most in (2_000_000, 20):
-        got = decontaminate.find_contamination(table(spark, docs), bench, max_item_words=most)
+    for most in (1 << 20, 60):
+        got = decontaminate.find_contamination(table(spark, docs), bench, block_bytes=most)
         key = lambda xs: sorted(xs, key=repr)
         assert key((r["doc_id"], r["n_words"], r["n_hit"], len(r["item_ids"]), sha(",".join(r["item_ids"])), r["contaminated"]) for r in got.collect()) == key(decontaminate.brute_force(docs, items))
+    named = bench.withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit("null"))).unionByName(bench.where("item_id IS NULL").withColumn("item_id", F.lit(None).cast("string")))
+    both = {r["doc_id"]: r["item_ids"] for r in decontaminate.find_contamination(table(spark, docs), named).collect()}
+    assert both[201] == ["11", "12", "2", "null", "null"]  # the item called null and the one without an id
     kept = decontaminate.drop_contaminated(table(spark, docs), bench)
     assert kept.columns == table(spark, docs).columns and kept.count() == sum(not x[5] for x in decontaminate.brute_force(docs, items))
     assert all(not r["contaminated"] for r in decontaminate.find_contamination(table(spark, docs), bench.limit(0)).collect())
