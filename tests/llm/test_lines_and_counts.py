@@ -43,17 +43,27 @@ def test_trie_walk():
     scores = defaultdict(float)
     for _ in range(80):
         scores["".join(rng.choice("▁abcé") for _ in range(rng.randint(1, 4)))] = -rng.randint(1, 12) / 2
-    trie = token_counts.UnigramTrie(dict(scores), -7.0)
-    text = " ".join("".join(rng.choice("abcéz中") for _ in range(rng.randint(1, 14))) for _ in range(400))
-    counts = trie.counts(set(text.encode().split()))
-    assert (400, sum(counts[w] for w in text.encode().split())) == token_counts.brute_force(text, dict(scores), -7.0)
+    for kept in (10**6, 300, 0):  # all nodes, some, none stay
+        trie = token_counts.UnigramTrie(dict(scores), -7.0, kept)
+        for _ in range(3):  # batches that find nodes of earlier ones
+            text = " ".join("".join(rng.choice("abcéz中") for _ in range(rng.randint(1, 14))) for _ in range(400))
+            counts = trie.terminal | trie.counts(set(text.encode().split()))
+            assert (400, sum(counts[w] for w in text.encode().split())) == token_counts.brute_force(text, dict(scores), -7.0)
+        assert len(trie.score) <= max(kept, 1) or kept == 10**6
+        assert all(trie.score[n] <= 0 for n in trie.child.values())
+
+
+def test_op6_query(spark):
+    scores, unknown = token_counts.zipf_scores(public_tokenizers.path(Q.PIECES))
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    assert sorted(map(tuple, Q.op6_token_counts(spark, SF).collect())) == sorted((i, *token_counts.brute_force(t, scores, unknown)) for i, t in rows)
 
 
 def test_token_counts(spark):
     path = public_tokenizers.path(Q.PIECES)
-    trie = token_counts.UnigramTrie.from_file(path)
+    scores, unknown = token_counts.zipf_scores(path)
     rows = [(1, None), (2, ""), (3, "a  b\n c"), (3, "a  b\n c"), (None, "déjà 中文 x"), (4, "word " * 3000), (5, "q" * 400)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_words", F.lit(1))
-    want = Counter((i, *token_counts.brute_force(t, trie.scores, trie.unknown)) for i, t in rows)
+    want = Counter((i, *token_counts.brute_force(t, scores, unknown)) for i, t in rows)
     assert Counter(map(tuple, token_counts.count_tokens(df, path).collect())) == want
     assert token_counts.count_tokens(df.limit(0), path).count() == 0
