@@ -18,25 +18,25 @@ from lodestone.llm.token_binary import read_token_shards, write_token_shards
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or their group's thresholds reject go."""
-    with stage_scope(spark):
+    with stage_scope(spark, sf_dir):
         return keep_good(docs)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays, that of the smallest id."""
-    with stage_scope(spark):
+    with stage_scope(spark, sf_dir):
         return keep_one_of_each(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages cover a twentieth or more go."""
-    with stage_scope(spark):
+    with stage_scope(spark, sf_dir):
         return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix reads them, in training order."""
-    with stage_scope(spark):
+    with stage_scope(spark, sf_dir):
         return mixed_order(docs)
 
 
@@ -44,7 +44,7 @@ def token_binary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token files, and from them for each document doc_id, start, n_tokens, ids_crc32."""
     import public_tokenizers
 
-    with stage_scope(spark):
+    with stage_scope(spark, sf_dir):
         return read_token_shards(write_token_shards(docs, fresh_path(spark, "tokens"), public_tokenizers.path(VOCABULARY), END_ID))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import materialize, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,6 +20,7 @@ def connected_components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     if not before[0]:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(most_rounds):
+        old = edges
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -28,6 +29,7 @@ def connected_components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         edges = large.join(small, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialize(edges.unionByName(small.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "links")
         after = _state(edges)
+        release(old)
         if after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = after

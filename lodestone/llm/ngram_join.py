@@ -32,7 +32,7 @@ from . import kernel as K
 from . import sketch as S
 from .columns import private_names
 from .components import connected_components
-from .scratch import materialize
+from .scratch import materialize, release
 
 FREQUENCY_BLOCK, MOST_FREQUENCY_BITS = 20, 26
 FRAGMENTS = 8
@@ -62,7 +62,7 @@ def _frequencies(docs: DataFrame, size: int, total_bytes: int) -> tuple[int, dic
     """(bits, compressed blocks, cuts). A one-row count sketch over all documents says for each cell how far its count
     is above the mean, in quarter powers of two. Cells grow with the text up to a bound; blocks are summed and graded
     apart. ``cuts`` cut the order of grades and hashes (see _order) into fragments of about equal mass."""
-    bits = min(MOST_FREQUENCY_BITS, max(FREQUENCY_BLOCK, math.ceil(math.log2(max(1, total_bytes) / 50))))
+    bits = min(MOST_FREQUENCY_BITS, max(FREQUENCY_BLOCK, round(math.log2(max(1, total_bytes) / 50))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [np.zeros(0, np.int64)]
@@ -230,17 +230,26 @@ def _linked(pairs: DataFrame, base: DataFrame, known: DataFrame, size: int, perc
     holders = materialize(known.groupBy("node").agg(F.min("id").alias("id")).join(needed, "node", "left_semi"), "holders")
     pieces = _fragments(_rows_of(base, holders), size, classes)
     side = lambda node, kept: pieces.select(F.col("node").alias(node), "fragment", F.col("grams").alias(kept))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), ["b", "fragment"])
+    # Second ends are mostly hubs, far fewer than first ends: only their fragments travel to meet the others'.
+    second = side("b", "y").join(pairs.select("b").distinct(), "b", "left_semi")
+    both = pairs.join(side("a", "x"), "a").join(second, ["b", "fragment"])
     counted = both.groupBy("a", "b", "na", "nb", "fragment").agg(F.max(F.size(F.array_intersect("x", "y"))).alias("o"))
     summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    return materialize(summed.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b"), "links")
+    links = materialize(summed.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b"), "links")
+    release(holders, pieces)
+    return links
 
 
 def _distinct_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb), a < b, of the possible pairs in rows (node, n, at, node2, n2, at2), stored."""
-    up = F.col("node") < F.col("node2")
-    ends = [F.when(up, F.col(p)).otherwise(F.col(q)).alias(name) for p, q, name in (("node", "node2", "a"), ("node2", "node", "b"), ("n", "n2", "na"), ("n2", "n", "nb"))]
-    return materialize(rows.where(_possible(percent, "n", "at", "n2", "at2")).select(*ends).distinct(), "pairs")
+    """(a, b, na, nb) of the possible pairs in rows (node, n, at, node2, n2, at2), stored; pairs of hubs come once."""
+    ends = [F.col(p).alias(name) for p, name in (("node", "a"), ("node2", "b"), ("n", "na"), ("n2", "nb"))]
+    pairs = rows.where(_possible(percent, "n", "at", "n2", "at2")).select(*ends).distinct()
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    hubs = pairs.select("b").distinct().select(F.col("b").alias("a"), F.lit(True).alias("hub"))
+    # Only a pair whose first end is some n-gram's hub too can stand in both directions.
+    marked = pairs.join(hubs, "a", "left")
+    both = marked.where("hub").select(low.alias("a"), high.alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+    return materialize(marked.where("hub IS NULL").drop("hub").unionByName(both), "pairs")
 
 
 def _prefix_groups(table: DataFrame, percent: int) -> DataFrame:
@@ -260,7 +269,9 @@ def _prefix_groups(table: DataFrame, percent: int) -> DataFrame:
     partner = F.greatest(F.col("least"), F.ceil(percent * n / 100))
     rows = groups.join(several.hint("merge"), "gram").where((100 + percent) * (n - at) >= percent * (n + partner))
     hub = [F.col("pos2").bitwiseAND((1 << 32) - 1).alias("n2"), F.shiftright("pos2", 32).alias("at2")]
-    return materialize(rows.select("gram", "node", n.alias("n"), at.alias("at"), "node2", *hub), "shared")
+    shared = materialize(rows.select("gram", "node", n.alias("n"), at.alias("at"), "node2", *hub), "shared")
+    release(several)
+    return shared
 
 
 def _across(shared: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -301,10 +312,10 @@ def similar_sets(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str
     first = _distinct_pairs(shared.where("node != node2"), percent)
     links = _linked(first, base, known, size, percent, classes)
     rest = _distinct_pairs(_across(shared, connected_components(links), percent), percent)
-    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         links = links.unionByName(_linked(rest, base, known, size, percent, classes))
     classes.destroy()
+    release(shared, first, rest)
 
     twice = known.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("id", "a")
     same_id = known.join(twice, "id").where("a != node").select("a", F.col("node").alias("b"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,41 +13,46 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Only a local session may do without the setting: it
+    gets a temporary folder. On a cluster that would be a folder of each machine's own, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-#: Scratch paths of the stage that runs, and of the one before it.
-_now: list[str] | None = None
-_before: list[str] = []
+#: Scratch paths of the stage that runs in this context, and of the last stage of each pipeline.
+_now: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
+_before: dict[tuple[str, str], list[str]] = {}
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
     atexit.register(discard, spark, path)
-    if _now is not None:
-        _now.append(path)
+    if (made := _now.get()) is not None:
+        made.append(path)
     return path
 
 
 @contextlib.contextmanager
-def stage_scope(spark: SparkSession) -> Iterator[None]:
-    """A stage of a pipeline whose result is stored before the next stage begins: its scratch tables go then."""
-    global _now
-    while _before:
-        discard(spark, _before.pop())
-    _now = []
+def stage_scope(spark: SparkSession, pipeline: str) -> Iterator[None]:
+    """A stage of a pipeline (named, within its session) whose result is stored before the pipeline's next stage begins:
+    the stage's scratch tables go then. Other pipelines' tables are not touched."""
+    key = (spark.sparkContext.applicationId, pipeline)
+    for path in _before.pop(key, []):
+        discard(spark, path)
+    made: list[str] = []
+    token = _now.set(made)
     try:
         yield
     finally:
-        _before.extend(_now)
-        _now = None
+        _now.reset(token)
+        _before.setdefault(key, []).extend(made)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -54,7 +60,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._scratch_path = path
+    return stored
+
+
+def release(*stored: DataFrame) -> None:
+    """Delete materialized tables that nothing will read any more."""
+    for df in stored:
+        discard(df.sparkSession, df._scratch_path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
