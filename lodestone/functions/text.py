@@ -7,21 +7,24 @@ from pyspark.sql import functions as F
 
 # The stop words of lexical scoring.
 STOP_WORDS = (
-    "a an the and or but if then else when while to of in on for with as at by from into about over under after "
-    "before between through during without is are was were be been being do does did done doing have has had i you he "
-    "she it we they me him her us them my your his their our this that these those there here not no yes so than too "
-    "very can could should would may might must will just what how"
-).split()
+    "a", "an", "the", "and", "or", "but", "if", "then", "else", "when", "while", "to", "of", "in", "on", "for", "with", "as", "at", "by", "from",
+    "into", "about", "over", "under", "after", "before", "between", "through", "during", "without", "is", "are", "was", "were", "be", "been", "being",
+    "do", "does", "did", "done", "doing", "have", "has", "had", "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them", "my",
+    "your", "his", "their", "our", "this", "that", "these", "those", "there", "here", "not", "no", "yes", "so", "than", "too", "very", "can", "could",
+    "should", "would", "may", "might", "must", "will", "just", "what", "how",
+)
 # The stop words of query keywords.
 KEYWORD_STOP_WORDS = (
-    "show find paper papers document documents about with from into that this those these author title doi between after before"
-).split()
+    "show", "find", "paper", "papers", "document", "documents", "about", "with", "from", "into", "that", "this", "those", "these", "author", "title",
+    "doi", "between", "after", "before",
+)
 # Patterns of links, references and headings.
 DOI = r"\b10\.\d{4,9}/[-._;()/:A-Za-z0-9]+\b"
 YEAR = r"\b(?:19|20)\d{2}\b"
 KEYWORD = r"[A-Za-z][A-Za-z0-9_\-]{2,}"
 AUTHOR = r"(?i)(?:author|by)\s*[:=]?\s*([A-Za-z][\w .,'-]{1,120}?)(?=\s+(?:from|between|after|before|doi|title)\b|\s+in\s+\d{4}\b|$)"
 TITLE = r"(?i)(?:title\s*[:=]\s*|\"|')([^\"']{3,180})(?:\"|')"
+CITED_DOI = r"(?i)\b(?:doi:|https?://doi\.org/)(10\.\d{4,}/\S+)"
 WIKILINK = r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"
 MARKDOWN_LINK = r"\[([^\]]*)\]\(([^)]+)\)"
 MARKDOWN_HEADING = r"^(#{1,6})\s+(.+)$"
@@ -222,3 +225,66 @@ def query_path(c: Column) -> Column:
 def fts_terms(c: Column) -> Column:
     """Terms of a full-text query: special characters out, white space splits, lower case."""
     return F.filter(F.split(F.lower(F.regexp_replace(c, r'["*^(){}]', " ")), r"\s+"), lambda x: x != "")
+
+
+def values_of(c: Column) -> Column:
+    """A list kept as JSON text, or a single value, as an array of its values that are not blank; null and blank: none."""
+    text = strip(F.coalesce(c, F.lit("")))
+    parsed = F.from_json(text, "array<string>")
+    listed = text.startswith("[") & parsed.isNotNull()
+    kept = lambda xs: F.filter(xs, lambda x: x.isNotNull() & (F.trim(x) != ""))
+    return F.when(text == "", F.array().cast("array<string>")).when(listed, kept(parsed)).otherwise(F.array(text))
+
+
+def folded(c: Column) -> Column:
+    """Lower case, single blanks, stripped: how inventory values are compared."""
+    return F.array_join(words_of(F.coalesce(c, F.lit(""))), " ")
+
+
+def candidate_relevance(distance: Column) -> Column:
+    """1 - distance inside [-1, 1]; 0 without a distance."""
+    return F.coalesce(F.greatest(F.least(1 - distance, F.lit(1.0)), F.lit(-1.0)), F.lit(0.0))
+
+
+def output_tokens(text: Column, max_tokens: Column) -> Column:
+    """Tokens of the text if there is one, else the limit, else 0."""
+    return F.when(F.length(text) > 0, estimate_tokens(text)).otherwise(F.coalesce(max_tokens, F.lit(0))).cast("long")
+
+
+def user_content(question: Column, context: Column) -> Column:
+    return F.concat(F.lit("Question:\n"), question, F.lit("\n\nSources:\n"), context, F.lit("\n\nWrite the answer with inline citations."))
+
+
+def sub_questions(response: Column, most: int) -> Column:
+    """Questions of a model's answer: a JSON list, or one inside the text, or its lines of more than 10 characters."""
+    text = strip(F.coalesce(response, F.lit("")))
+    inner = F.regexp_extract(text, r"(?s)\[.*\]", 0)
+    parsed = F.coalesce(F.when(text.startswith("["), F.from_json(text, "array<string>")), F.when(inner != "", F.from_json(inner, "array<string>")))
+    listed = F.filter(F.transform(parsed, strip), lambda x: x != "")
+    lines = F.transform(F.filter(F.split(text, "\n"), lambda x: strip(x) != ""), lambda x: F.regexp_replace(strip(x), r"^[0-9.\-) ]+", ""))
+    return F.slice(F.coalesce(listed, F.filter(lines, lambda x: F.length(x) > 10)), 1, most)
+
+
+def explore_fields(query: Column) -> Column:
+    """Struct of path, ext, pattern (a glob), root and full_path that an explore query asks for; null: no condition."""
+    words = F.filter(F.split(strip(F.coalesce(query, F.lit(""))), r"\s+"), lambda x: x != "")
+    flags = F.array(F.lit("--full-path"), F.lit("full_path"))
+    raw = F.array_join(F.filter(words, lambda x: ~F.array_contains(flags, x)), " ")
+    named, glob = F.lower(raw).rlike("^(?:ext|type):"), raw.rlike(r"[*?\[]")
+    dotted = raw.startswith(".") & ~raw.rlike(r"[/\\]")
+    ext = F.when(named, strip(F.regexp_replace(raw, "^[^:]*:", ""))).when(~glob & dotted, raw)
+    ext = F.when(F.length(ext) > 0, F.lower(F.when(ext.startswith("."), ext).otherwise(F.concat(F.lit("."), ext))))
+    path = F.when((raw != "") & ~named & ~glob & ~dotted, raw)
+    return F.struct(
+        query_path(path).alias("path"),
+        ext.alias("ext"),
+        F.when(~named & glob, F.lower(raw)).alias("pattern"),
+        F.when(raw == "", F.lit("All files")).otherwise(raw).alias("root"),
+        F.arrays_overlap(words, flags).alias("full_path"),
+    )
+
+
+def glob_pattern(c: Column) -> Column:
+    """A glob (``*``, ``?``, character sets) as a regular expression for whole names."""
+    quoted = F.regexp_replace(c, r"([.\\+^$(){}|])", r"\\$1")
+    return F.concat(F.lit("^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))

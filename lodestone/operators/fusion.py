@@ -36,9 +36,11 @@ def lexical_rerank(df: DataFrame, query_col: str = "query", text_col: str = "tex
     return _rerank(scored, F.desc("lexical_score"), F.col("rank"))
 
 
-def drop_repeats(df: DataFrame, text_col: str = "text", most: int = 2000) -> DataFrame:
-    """The first of equal texts (lower case, single blanks, of that the first ``most`` characters); empty texts go."""
-    key = F.substring(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+", " ")), 1, most)
+def drop_repeats(df: DataFrame, text_col: str = "text", most: int | None = None) -> DataFrame:
+    """The first of equal texts (lower case, single blanks; of that the first ``most`` characters, if given); empty texts go."""
+    key = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+", " "))
+    if most is not None:
+        key = F.substring(key, 1, most)
     keyed = df.withColumn("__key", key).where("__key != ''")
     first = F.row_number().over(Window.partitionBy("query_id", "__key").orderBy("rank"))
     return _rerank(keyed.withColumn("__n", first).where("__n = 1").drop("__n", "__key"), F.col("rank"))
@@ -169,3 +171,12 @@ def cross_rerank(df: DataFrame, score, cache: DataFrame | None = None, model: st
 
 def top(df: DataFrame, k: int) -> DataFrame:
     return df.where(F.col("rank") <= k)
+
+
+def merge_remote(local: DataFrame, remote: DataFrame, strategy: str = "weighted") -> DataFrame:
+    """Local candidates, then remote ones: by weighted score (ties as they came), or as they came."""
+    score = F.col("score") * F.coalesce("weight", F.lit(1.0))
+    order = [F.desc(score), F.col("rank")] if strategy == "weighted" else [F.col("rank")]
+    placed = _rerank(remote, *order)
+    both = local.withColumn("__p", F.lit(0)).unionByName(placed.withColumn("__p", F.lit(1)), allowMissingColumns=True)
+    return _rerank(both, F.col("__p"), F.col("rank")).drop("__p")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import DOI, MARKDOWN_LINK, WIKILINK, stable_id
+from ..functions.text import CITED_DOI, MARKDOWN_LINK, WIKILINK, stable_id, strip
 
 
 def file_node_id(path: Column) -> Column:
@@ -13,12 +13,13 @@ def file_node_id(path: Column) -> Column:
 
 
 def extract_links(df: DataFrame, path_col: str = "source_path", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of wikilinks, relative Markdown links (references) and DOIs (cites); each target once a file."""
-    trimmed = lambda xs: F.transform(xs, F.trim)
+    """(nodes, edges) of wikilinks, relative Markdown links (references) and DOIs after ``doi:`` or ``doi.org/`` (cites);
+    each target once a file."""
+    trimmed = lambda xs: F.transform(xs, lambda x: strip(x))
     text = F.coalesce(F.col(text_col), F.lit(""))
     wiki = trimmed(F.regexp_extract_all(text, F.lit(WIKILINK), 1))
     links = F.filter(trimmed(F.regexp_extract_all(text, F.lit(MARKDOWN_LINK), 2)), lambda h: ~h.rlike(r"^(?:https?://|mailto:|#)"))
-    dois = F.regexp_extract_all(text, F.lit(f"({DOI})"), 1)
+    dois = trimmed(F.regexp_extract_all(text, F.lit(CITED_DOI), 1))
     tagged = lambda xs, kind, edge: F.transform(xs, lambda x: F.struct(x.alias("target"), F.lit(kind).alias("kind"), F.lit(edge).alias("edge_type")))
     each = df.select(F.col(path_col).alias("source_path"), F.posexplode(F.concat(tagged(wiki, "link_target", "references"), tagged(links, "link_target", "references"), tagged(dois, "doi", "cites"))).alias("order", "l"))
     each = each.select("source_path", "order", "l.*").where("target != ''")
@@ -80,3 +81,25 @@ def outline(nodes: DataFrame, max_depth: int | None = None, node_types: list[str
     if node_types is not None:
         keep = keep & F.col("node_type").isin(*node_types)
     return nodes.where(keep)
+
+
+def insert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """Appended as they are; a missing weight is 1."""
+    both = edges.unionByName(new, allowMissingColumns=True)
+    return both.withColumn("weight", F.coalesce("weight", F.lit(1.0))) if "weight" in both.columns else both
+
+
+def ordered_nodes(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (by path) with their position in reading order."""
+    keys = ("start_line", "start_char", "end_line", "end_char", "depth", "node_type", "name", "node_id")
+    return nodes.withColumn("position", F.row_number().over(Window.partitionBy("path").orderBy(*keys)))
+
+
+def common_folder(paths: DataFrame, path_col: str = "source_path") -> DataFrame:
+    """(folder): the longest folder path that all paths share; that of the least and the greatest path."""
+    ends = paths.agg(F.min(path_col).alias("a"), F.max(path_col).alias("b"))
+    a, b = F.split("a", "/"), F.split("b", "/")
+    same = F.transform(a, lambda x, i: x == F.get(b, i))
+    first = F.coalesce(F.array_position(F.transform(same, lambda x: F.coalesce(x, F.lit(False))), F.lit(False)), F.lit(0))
+    shared = F.when(first == 0, a).otherwise(F.slice(a, F.lit(1), F.greatest(first - 1, F.lit(0)).cast("int")))
+    return ends.select(F.when(F.col("a").isNotNull(), F.array_join(shared, "/")).alias("folder"))

@@ -98,3 +98,95 @@ def live(cache: DataFrame, as_of: Column) -> DataFrame:
 
 def unseen(items: DataFrame, seen: DataFrame, key: str = "item_id") -> DataFrame:
     return items.join(seen.select(key).distinct(), key, "left_anti").dropDuplicates([key])
+
+
+def metadata_missing(chunks: DataFrame, roots: DataFrame) -> DataFrame:
+    """(source_path): files with a current chunk whose content type or root tags are missing or not those of its root."""
+    found = first_root(chunks.select("source_path").distinct(), roots).select("source_path", F.col("tags").alias("__tags"), F.col("content_type").alias("__type"))
+    j = chunks.where(F.coalesce("is_current", F.lit(True))).join(found, "source_path").where("__tags IS NOT NULL OR __type IS NOT NULL")
+    differs = ~F.col("root_tags").eqNullSafe(F.col("__tags")) | ~F.col("content_type").eqNullSafe(F.col("__type"))
+    return j.where(differs).select("source_path").distinct()
+
+
+def record_version(history: DataFrame, config: dict[str, object], at: Column) -> DataFrame:
+    """``history`` and one more row: the fingerprint of ``config`` under the next id."""
+    last = history.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    values = {f: F.lit(None if config.get(f) is None else str(config[f])) for f in FINGERPRINT}
+    row = last.select((F.col("last") + 1).alias("id"), *[values[f].alias(f) for f in FINGERPRINT], at.alias("created_at"))
+    return history.unionByName(row.select(*[F.col(c).cast(t).alias(c) for c, t in history.select(*row.columns).dtypes]), allowMissingColumns=True)
+
+
+def record_job(jobs: DataFrame, name: str, at: Column, status: str = "completed", corpus_size: int | None = None) -> DataFrame:
+    """``jobs`` with the job's row replaced or added."""
+    values = {"job_name": F.lit(name), "status": F.lit(status), "corpus_size": F.lit(corpus_size), "finished_at": at}
+    row = jobs.sparkSession.range(1).select(*[values[c].cast(t).alias(c) for c, t in jobs.dtypes if c in values])
+    return jobs.where(F.col("job_name") != name).unionByName(row, allowMissingColumns=True)
+
+
+def save_cached(cache: DataFrame, new: DataFrame, at: Column, ttl_seconds: int | None = None, key: str = "cache_key") -> DataFrame:
+    """``cache`` after the new entries were written: stamped, expiring after ``ttl_seconds`` (None: never)."""
+    expires = F.lit(None).cast("timestamp") if ttl_seconds is None else at + F.make_dt_interval(secs=F.lit(ttl_seconds))
+    fresh = new.withColumn("saved_at", at).withColumn("expires_at", expires)
+    return cache.join(fresh.select(key), key, "left_anti").unionByName(fresh.select(*cache.columns))
+
+
+def delete_model(models: DataFrame, model_id: object) -> DataFrame:
+    return models.where(F.col("model_id") != model_id)
+
+
+def list_models(models: DataFrame) -> DataFrame:
+    """Newest first, with the position in the list."""
+    return models.withColumn("position", F.row_number().over(Window.orderBy(F.desc("created_at"), "model_id")))  # a registry of a few models
+
+
+#: Stage aliases of the enrichment, in the order they run.
+STAGES = {"tier1": ("simhash", "defaults", "node_type", "tags", "positions"), "tier2": ("summaries",), "clusters": ("clusters",), "graph": ("graph",)}
+
+
+def stage_names(asked: list[str]) -> list[str]:
+    """Stages of names and aliases, each once, in running order; unknown names are errors."""
+    known = [x for xs in STAGES.values() for x in xs]
+    wanted = {x for a in asked for x in (known if a == "all" else STAGES.get(a, (a,)))}
+    if unknown := wanted - set(known):
+        raise ValueError(f"unknown stages: {sorted(unknown)}")
+    return [x for x in known if x in wanted]
+
+
+def enrich(chunks: DataFrame, roots: DataFrame | None = None, texts: DataFrame | None = None, only: list[str] | None = None, skip: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """(chunks after the backfills that were asked for and can run, their names); one lazy plan over one scan."""
+    todo = [x for x in stage_names(only or ["all"]) if x not in stage_names(skip or [])]
+    steps = {
+        "simhash": lambda df: backfill_simhash(df) if "simhash" in df.columns else None,
+        "defaults": backfill_defaults,
+        "tags": lambda df: backfill_tags(df, roots) if roots is not None and "root_tags" in df.columns else None,
+        "positions": lambda df: backfill_positions(df, texts) if texts is not None and "start_char" in df.columns else None,
+    }
+    done = []
+    for name in todo:
+        out = steps[name](chunks) if name in steps else None
+        if out is not None:
+            chunks, done = out, [*done, name]
+    return chunks, done
+
+
+def gap_report(chunks: DataFrame) -> DataFrame:
+    """(gap, files): what is still missing after enrichment."""
+    kinds = [files_without(chunks, kind).select(F.lit(f"no {kind}").alias("gap"), "source_path") for kind in ("file_summary", "section_summary")]
+    c = chunks.where(F.coalesce("is_current", F.lit(True)))
+    missing = [c.where(F.col(x).isNull()).select(F.lit(f"no {x}").alias("gap"), "source_path") for x in ("simhash", "cluster_id") if x in c.columns]
+    every = kinds[0].unionByName(kinds[1])
+    for m in missing:
+        every = every.unionByName(m)
+    return every.groupBy("gap").agg(F.countDistinct("source_path").alias("files"))
+
+
+def health(tables: dict[str, DataFrame | None], checks: list[tuple[str, str, Column]]) -> list[tuple[str, bool]]:
+    """(check, ok) in order up to the first failure: the table is there, and no row of it fulfils the condition."""
+    out = []
+    for name, table, broken in checks:
+        found = tables.get(table)
+        ok = found is not None and found.where(broken).isEmpty()
+        out.append((name, ok))
+        if not ok:
+            break
+    return out

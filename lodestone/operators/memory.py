@@ -58,3 +58,24 @@ def budget_prefix(df: DataFrame, by: str, order: list[Column], tokens: str, budg
 def list_candidates(memories: DataFrame, candidates: DataFrame, status: str | None = None, limit: int = 1000) -> DataFrame:
     c = candidates if status is None else candidates.where(F.col("status") == status)
     return c.join(memories, "memory_id").orderBy(F.desc("created_at"), "candidate_id").limit(limit)
+
+
+def put_candidates(memories: DataFrame, candidates: DataFrame, new: DataFrame, now: Column, caps: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """(memories, candidates) after new memories (with candidate_id, provenance, rationale) came in: their expiry is
+    capped by type (days; pinned: never), and each has a pending candidate."""
+    cap = F.lit(None).cast("int")
+    for kind, days in caps.items():
+        cap = F.when(F.col("type") == kind, F.lit(days)).otherwise(cap)
+    limit = now + F.make_dt_interval(cap)
+    given = F.col("expires_at").cast("timestamp")
+    expiry = F.when(F.col("type") == "pinned", F.lit(None)).when(cap.isNull(), given).otherwise(F.least(F.coalesce(given, limit), limit))
+    stored = new.withColumn("expires_at", expiry)
+    pending = new.select("candidate_id", "memory_id", F.trim("provenance").alias("provenance"), F.trim("rationale").alias("rationale"), F.lit("pending").alias("status"), now.alias("created_at"))
+    return memories.unionByName(stored.select(*memories.columns)), candidates.unionByName(pending.select(*candidates.columns))
+
+
+def expire(memories: DataFrame, candidates: DataFrame, as_of: Column) -> DataFrame:
+    """Candidates of memories that have expired are marked so; rejected ones stay rejected."""
+    gone = memories.where(F.col("expires_at") <= as_of).select("memory_id", F.lit(True).alias("__gone"))
+    j = candidates.join(gone, "memory_id", "left")
+    return j.withColumn("status", F.when(F.col("__gone") & (F.col("status") != "rejected"), "expired").otherwise(F.col("status"))).select(*candidates.columns)

@@ -98,3 +98,13 @@ def remove_tags(df: DataFrame, tags: Column, column: str = "user_tags") -> DataF
 def compact(df: DataFrame, path: str, files: int | None = None) -> None:
     """Rewrite a table into evenly sized files and collect nothing."""
     (df.repartition(files) if files else df.repartition()).write.mode("overwrite").parquet(path)
+
+
+def delete_all(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the empty table, one row: how many current rows there were)."""
+    return df.limit(0), df.agg(F.count_if(F.coalesce("is_current", F.lit(True))).alias("deleted"))
+
+
+def copy_table(target: DataFrame, source: DataFrame, key: str | list[str], columns: tuple[str, ...] | None = None) -> DataFrame:
+    """``target`` after the rows of ``source`` (of these columns) were copied into it by key."""
+    return upsert(target, source.select(*columns) if columns else source, key)

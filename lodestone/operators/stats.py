@@ -75,3 +75,21 @@ def is_stale(count_now: Column, count_then: Column, saved_at: Column, as_of: Col
 def count_differences(expected: DataFrame, actual: DataFrame, key: str = "table_name") -> DataFrame:
     j = expected.join(actual.withColumnRenamed("rows", "actual"), key, "full_outer")
     return j.select(key, F.coalesce("rows", F.lit(0)).alias("expected"), F.coalesce("actual", F.lit(0)).alias("actual")).withColumn("ok", F.col("expected") == F.col("actual"))
+
+
+def error_summary(failed: DataFrame, page_errors: DataFrame, most: int = 5) -> DataFrame:
+    """(failed_documents, page_errors, sample): counts, and the first paths that failed (column position)."""
+    first = failed.orderBy("position").limit(most).agg(F.array_sort(F.collect_list(F.struct("position", F.coalesce("source_path", F.lit("unknown")).alias("p")))).alias("x"))
+    return failed.agg(F.count("*").alias("failed_documents")).crossJoin(page_errors.agg(F.count("*").alias("page_errors"))).crossJoin(first.select(F.transform("x", lambda v: v["p"]).alias("sample")))  # one row each
+
+
+def total_usage(df: DataFrame, cost: str = "cost") -> DataFrame:
+    return df.agg(F.count("*").alias("calls"), F.round(F.coalesce(F.sum(cost), F.lit(0.0)), 6).alias("cost"))
+
+
+def rerank_estimate(candidates: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """(query_id, input_tokens, output_tokens) of a reranking of each question's first k candidates."""
+    text = candidates.where(F.col("rank") <= k).groupBy("query_id").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"), F.count("*").alias("n"))
+    chars = F.length("question") + F.greatest(F.lit(1), F.coalesce("n", F.lit(1))) + F.coalesce("chars", F.lit(0))  # with the line ends between
+    tokens = F.when(chars == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(chars / 4))).cast("long")
+    return questions.join(text, "query_id", "left").select("query_id", tokens.alias("input_tokens"), F.lit(max(50, 30 * k)).cast("long").alias("output_tokens"))

@@ -2,40 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from ..operators import chunking, evaluation, filters, fusion, graph, maintenance, memory, mutations, rendering, retrieval, stats
 from ..sources import files
-from . import pipeline
-from .views import view, with_views
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-class Tables:
-    """Driver tables and views by attribute."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, name)
-
-
-def query(sql: str | None = None):  # noqa: ANN201
-    def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql is not None:
-            ORACLE[f.__name__] = with_views(sql.strip())
-        return f
-
-    return add
-
+from . import function_queries, pipeline, state_queries  # noqa: F401  (they register queries too)
+from .registry import ORACLE, QUERIES, Tables, query  # noqa: F401
 
 _NORMAL = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 _COSINE = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
@@ -223,15 +197,15 @@ def lexical_score(t: Tables) -> DataFrame:
     return j.select("doc_id", F.round(text.lexical_score(F.col("q"), F.col("p")), 6).alias("score"))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(lower(substring(text, 1, 80)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+@query("""SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
   CAST(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS BIGINT) AS tokens FROM {documents}""")
 def slugs_and_tokens(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.slugify(F.substring("text", 1, 80)).alias("slug"), text.estimate_tokens(F.col("text")).alias("tokens"))
+    return t.documents.select("doc_id", text.slugify(F.col("text")).alias("slug"), text.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 @query("""SELECT doc_id, regexp_replace(substring(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 50), '-+$', '') AS slug FROM {documents}""")
 def whole_slugs(t: Tables) -> DataFrame:
-    """Slugs of whole texts, at most 50 characters; slugs_and_tokens takes the first 80 characters of a text as its name."""
+    """Slugs of whole texts, cut at 50 characters; slugs_and_tokens keeps them whole."""
     return t.documents.select("doc_id", text.slugify(F.col("text"), 50).alias("slug"))
 
 
@@ -325,7 +299,7 @@ def metadata_inventory(t: Tables) -> DataFrame:
 
 # --- ranked lists ----------------------------------------------------------------------------------------------------
 
-_FIRST_TEXT = r"trim(regexp_replace(lower(substring(text, 1, 2000)), '\s+', ' ', 'g'))"
+_FIRST_TEXT = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 
 
 @query(f"""SELECT query_id, cid, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS rank FROM (

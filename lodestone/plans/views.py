@@ -40,7 +40,7 @@ VIEWS: dict[str, str] = {
     "edges": """
         SELECT DISTINCT 'p' || CAST(l_partkey AS STRING) AS src_id, 's' || CAST(l_suppkey AS STRING) AS dst_id,
                CASE WHEN l_suppkey % 2 = 0 THEN 'references' ELSE 'cites' END AS edge_type
-        FROM {lineitem} WHERE l_linenumber = 1""",
+        FROM {lineitem}""",
     "usage": "SELECT event_id, ts, user_id, event_type AS provider, value AS cost FROM {events}",
     "manifest": """
         SELECT '/m/' || CAST(o_custkey AS STRING) AS source_path, max(o_orderkey) AS mtime_ns, count(*) AS size,

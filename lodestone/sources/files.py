@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 EXTENSIONS = (".txt", ".md", ".rst", ".pdf", ".docx", ".html", ".htm")
 
 
@@ -39,7 +41,7 @@ def front_matter(df: DataFrame, text_col: str = "text") -> DataFrame:
     entries = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^:]+):", 1)), F.regexp_replace(F.trim(F.regexp_extract(x, r"^[^:]+:(.*)$", 1)), r"^[\"']|[\"']$", "")))
     there = t.rlike(pattern)
     meta = F.when(there, F.map_from_entries(F.array_distinct(entries))).otherwise(F.create_map().cast("map<string,string>"))
-    return df.withColumn("meta", meta).withColumn("body", F.when(there, F.trim(F.regexp_extract(t, pattern, 2))).otherwise(t))
+    return df.withColumn("meta", meta).withColumn("body", F.when(there, strip(F.regexp_extract(t, pattern, 2))).otherwise(t))
 
 
 class _Blocks(HTMLParser):
