@@ -156,7 +156,8 @@ def _tally(hashes: Column, bit: int) -> Column:
 
 
 def simhash_table(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, simhash): one row a word, 64 generated sums in one aggregate, summed before any shuffle."""
-    each = df.select(id_col, F.explode_outer(words_of(F.coalesce(F.col(text_col), F.lit("")))).alias("w")).select(id_col, _word_bits(F.col("w")).alias("h"))
-    sums = each.groupBy(id_col).agg(*[F.sum(F.shiftrightunsigned("h", bit).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"s{bit}") for bit in range(64)])
+    """(id, simhash): one row a distinct word of a document with its count, 64 generated sums in one aggregate."""
+    words = df.select(id_col, F.explode_outer(words_of(F.coalesce(F.col(text_col), F.lit("")))).alias("w")).groupBy(id_col, "w").agg(F.count("*").alias("n"))
+    each = words.select(id_col, "n", _word_bits(F.col("w")).alias("h"))
+    sums = each.groupBy(id_col).agg(*[F.sum((F.shiftrightunsigned("h", bit).bitwiseAND(F.lit(1)) * 2 - 1) * F.col("n")).alias(f"s{bit}") for bit in range(64)])
     return sums.select(id_col, _sign_bits([F.coalesce(F.col(f"s{bit}"), F.lit(0)) for bit in range(64)]).alias("simhash"))

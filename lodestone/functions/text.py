@@ -18,6 +18,7 @@ KEYWORD_STOP_WORDS = (
     "show", "find", "paper", "papers", "document", "documents", "about", "with", "from", "into", "that", "this", "those", "these", "author", "title",
     "doi", "between", "after", "before",
 )
+_WORD = rf"(?<![a-zA-Z0-9'])(?!(?:{'|'.join(STOP_WORDS)})(?![a-zA-Z0-9']))[a-zA-Z0-9']{{2,}}"
 # Patterns of links, references and headings.
 DOI = r"\b10\.\d{4,9}/[-._;()/:A-Za-z0-9]+\b"
 YEAR = r"\b(?:19|20)\d{2}\b"
@@ -76,9 +77,8 @@ def tokenize(c: Column) -> Column:
     joined = F.lower(F.coalesce(c, F.lit("")))
     for _ in range(2):  # once more for the separators that the first pass stepped over (1.2.3)
         joined = F.regexp_replace(joined, r"(\d)[.\-](\d)", "$1$2")
-    words = F.regexp_extract_all(joined, F.lit(r"[a-zA-Z0-9']+"), 0)
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(words, lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
+    # One search: words that are no stop word and longer than a character.
+    return F.regexp_extract_all(joined, F.lit(_WORD), 0)
 
 
 def lexical_score(question: Column, passage: Column) -> Column:

@@ -193,7 +193,8 @@ _LEXICAL = f"""
 def lexical_score(t: Tables) -> DataFrame:
     n = t.benchmark.agg(F.count("*").alias("n"))
     d = t.documents.crossJoin(n).withColumn("item_id", F.col("doc_id") % F.col("n"))  # one row of counts
-    j = d.join(t.benchmark.select("item_id", F.col("text").alias("question")), "item_id").select("doc_id", text.tokenize(F.col("question")).alias("q"), text.tokenize(F.col("text")).alias("p"))
+    asked = t.benchmark.select("item_id", text.tokenize(F.col("text")).alias("q"))  # each question is taken apart once
+    j = d.select("doc_id", "item_id", text.tokenize(F.col("text")).alias("p")).join(asked, "item_id")
     return j.select("doc_id", F.round(text.lexical_score(F.col("q"), F.col("p")), 6).alias("score"))
 
 
