@@ -36,6 +36,8 @@ from .scratch import materialize, release
 
 FREQUENCY_BLOCK, MOST_FREQUENCY_BITS = 20, 26
 FRAGMENTS = 8
+#: Pairs that may be broadcast: 16 MB.
+BROADCAST_PAIRS = 500_000
 PREFILTER_ROWS, MOST_PREFILTER_BITS = 3, 28
 
 
@@ -230,9 +232,11 @@ def _linked(pairs: DataFrame, base: DataFrame, known: DataFrame, size: int, perc
     holders = materialize(known.groupBy("node").agg(F.min("id").alias("id")).join(needed, "node", "left_semi"), "holders")
     pieces = _fragments(_rows_of(base, holders), size, classes)
     side = lambda node, kept: pieces.select(F.col("node").alias(node), "fragment", F.col("grams").alias(kept))
-    # Second ends are mostly hubs, far fewer than first ends: only their fragments travel to meet the others'.
-    second = side("b", "y").join(pairs.select("b").distinct(), "b", "left_semi")
-    both = pairs.join(side("a", "x"), "a").join(second, ["b", "fragment"])
+    # Second ends are mostly hubs, far fewer than first ends: only their fragments travel to meet the others'. Pairs
+    # (four numbers each) are broadcast while they are few, so that first ends travel once.
+    few = (lambda df: F.broadcast(df)) if pairs.count() <= BROADCAST_PAIRS else (lambda df: df)
+    second = side("b", "y").join(few(pairs.select("b").distinct()), "b", "left_semi")
+    both = side("a", "x").join(few(pairs), "a").join(second, ["b", "fragment"])
     counted = both.groupBy("a", "b", "na", "nb", "fragment").agg(F.max(F.size(F.array_intersect("x", "y"))).alias("o"))
     summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     links = materialize(summed.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b"), "links")
@@ -241,15 +245,9 @@ def _linked(pairs: DataFrame, base: DataFrame, known: DataFrame, size: int, perc
 
 
 def _distinct_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb) of the possible pairs in rows (node, n, at, node2, n2, at2), stored; pairs of hubs come once."""
+    """(a, b, na, nb) of the possible pairs in rows (node, n, at, node2, n2, at2), stored; b is the hub."""
     ends = [F.col(p).alias(name) for p, name in (("node", "a"), ("node2", "b"), ("n", "na"), ("n2", "nb"))]
-    pairs = rows.where(_possible(percent, "n", "at", "n2", "at2")).select(*ends).distinct()
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    hubs = pairs.select("b").distinct().select(F.col("b").alias("a"), F.lit(True).alias("hub"))
-    # Only a pair whose first end is some n-gram's hub too can stand in both directions.
-    marked = pairs.join(hubs, "a", "left")
-    both = marked.where("hub").select(low.alias("a"), high.alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
-    return materialize(marked.where("hub IS NULL").drop("hub").unionByName(both), "pairs")
+    return materialize(rows.where(_possible(percent, "n", "at", "n2", "at2")).select(*ends).distinct(), "pairs")
 
 
 def _prefix_groups(table: DataFrame, percent: int) -> DataFrame:
@@ -311,11 +309,12 @@ def similar_sets(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str
     shared = _prefix_groups(table, percent)
     first = _distinct_pairs(shared.where("node != node2"), percent)
     links = _linked(first, base, known, size, percent, classes)
-    rest = _distinct_pairs(_across(shared, connected_components(links), percent), percent)
+    parts = materialize(connected_components(links), "parts")  # its size is known to the joins then
+    rest = _distinct_pairs(_across(shared, parts, percent), percent)
     if not rest.isEmpty():
         links = links.unionByName(_linked(rest, base, known, size, percent, classes))
     classes.destroy()
-    release(shared, first, rest)
+    release(shared, first, rest, parts)
 
     twice = known.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("id", "a")
     same_id = known.join(twice, "id").where("a != node").select("a", F.col("node").alias("b"))
