@@ -29,21 +29,25 @@ def _rerank(df: DataFrame, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
 
 
-def lexical_rerank(df: DataFrame, query_col: str = "query", text_col: str = "text") -> DataFrame:
-    """Sorted by lexical score, ties by the rank before."""
-    words = df.withColumn("__q", tokenize(F.col(query_col))).withColumn("__p", tokenize(F.col(text_col)))
-    scored = words.withColumn("lexical_score", F.round(lexical_score(F.col("__q"), F.col("__p")), 9)).drop("__q", "__p")
+def lexical_rerank(df: DataFrame, query_col: str = "query", text_col: str = "text", prepared: bool = False) -> DataFrame:
+    """Sorted by lexical score, ties by the rank before. ``prepared``: columns query_tokens and text_tokens are there already."""
+    words = df if prepared else df.withColumn("query_tokens", tokenize(F.col(query_col))).withColumn("text_tokens", tokenize(F.col(text_col)))
+    scored = words.withColumn("lexical_score", F.round(lexical_score(F.col("query_tokens"), F.col("text_tokens")), 9)).drop("query_tokens", "text_tokens")
     return _rerank(scored, F.desc("lexical_score"), F.col("rank"))
 
 
-def drop_repeats(df: DataFrame, text_col: str = "text", most: int | None = None) -> DataFrame:
-    """The first of equal texts (lower case, single blanks; of that the first ``most`` characters, if given); empty texts go."""
-    key = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+", " "))
-    if most is not None:
-        key = F.substring(key, 1, most)
-    keyed = df.withColumn("__key", key).where("__key != ''")
-    first = F.row_number().over(Window.partitionBy("query_id", "__key").orderBy("rank"))
-    return _rerank(keyed.withColumn("__n", first).where("__n = 1").drop("__n", "__key"), F.col("rank"))
+def text_key(text: Column, most: int | None = None) -> Column:
+    """Digest of a text in lower case with single blanks (of that the first ``most`` characters); null for an empty one."""
+    key = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
+    key = key if most is None else F.substring(key, 1, most)
+    return F.when(key != "", F.md5(key))
+
+
+def drop_repeats(df: DataFrame, text_col: str = "text", most: int | None = None, prepared: bool = False) -> DataFrame:
+    """The first of equal texts (see text_key); empty texts go. ``prepared``: the column text_key is there already."""
+    keyed = (df if prepared else df.withColumn("text_key", text_key(F.col(text_col), most))).where("text_key IS NOT NULL")
+    first = F.row_number().over(Window.partitionBy("query_id", "text_key").orderBy("rank"))
+    return _rerank(keyed.withColumn("__n", first).where("__n = 1").drop("__n", "text_key"), F.col("rank"))
 
 
 def cap(df: DataFrame, group: Column, most: int | None) -> DataFrame:
@@ -63,8 +67,14 @@ def cap_per_section(df: DataFrame, most: int | None = None, depth: int = 2) -> D
     return cap(df, F.coalesce(heading_prefix(F.col("heading_path"), depth), F.lit("")), most)
 
 
-def local_rerank(df: DataFrame, query_col: str = "query", text_col: str = "text", per_file: int = 2, pool: int = 36) -> DataFrame:
-    return cap_per_file(lexical_rerank(drop_repeats(df, text_col), query_col, text_col).where(F.col("rank") <= pool), per_file)
+def local_rerank(df: DataFrame, query_col: str = "query", text_col: str = "text", per_file: int = 2, pool: int = 36, prepared: bool = False) -> DataFrame:
+    """Without repeats, by lexical score, at most ``per_file`` of a file. ``prepared``: see prepare_texts."""
+    return cap_per_file(lexical_rerank(drop_repeats(df, text_col, prepared=prepared), query_col, text_col, prepared).where(F.col("rank") <= pool), per_file)
+
+
+def prepare_texts(chunks: DataFrame, text_col: str = "text") -> DataFrame:
+    """Chunks with text_key and text_tokens, so that a text that many queries found is taken apart once."""
+    return chunks.withColumn("text_key", text_key(F.col(text_col))).withColumn("text_tokens", tokenize(F.col(text_col)))
 
 
 def temporal_boost(df: DataFrame, as_of_ns: int, days: int = 30, factor: float = 1.5) -> DataFrame:

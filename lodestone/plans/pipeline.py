@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import tokenize
 from ..operators import filters, fusion, graph, rendering, retrieval
 
 PROFILES = ("dense_only", "hybrid_rrf", "multi_vector", "dense_cross_rerank", "llm_rerank", "hyde_hybrid")
@@ -66,6 +67,14 @@ class Pipeline:
         rows = self.chunks.withColumnRenamed("chunk_id", "cid")
         return ranked.join(rows, "cid").join(queries.select("query_id", "query", F.col("embedding").alias("query_vector")), "query_id")
 
+    def _reranked(self, dense: DataFrame, queries: DataFrame) -> DataFrame:
+        """(query_id, cid, rank) after the local rerank. Texts are taken apart once each, however many queries found
+        them, and only their keys and tokens meet the candidates."""
+        found = self.chunks.withColumnRenamed("chunk_id", "cid").join(dense.select("cid").distinct(), "cid", "left_semi")
+        rows = fusion.prepare_texts(found.select("cid", "source_path", "text")).drop("text")
+        asked = queries.select("query_id", tokenize(F.col("query")).alias("query_tokens"))
+        return fusion.local_rerank(dense.join(rows, "cid").join(asked, "query_id"), per_file=self.config.per_file, prepared=True).select("query_id", "cid", "rank")
+
     def candidates(self, queries: DataFrame) -> DataFrame:
         """The profile's ranked list, before the post stages."""
         c, corpus = self.config, self._corpus(queries)
@@ -77,15 +86,16 @@ class Pipeline:
             found = retrieval.multi_vector_recall(corpus, queries, c.k_dense)
             return self._with_rows(found.select("query_id", "cid", "rank", "distance"), queries)
         dense = retrieval.knn(corpus, dense_queries, c.k_dense, id_col="chunk_id").select("query_id", "cid", "rank", "distance")
-        local = fusion.local_rerank(self._with_rows(dense, queries), per_file=c.per_file)
-        if c.profile in ("dense_only",):
+        ranked = self._reranked(dense, queries)
+        if c.profile in ("dense_only", "dense_cross_rerank", "llm_rerank"):
+            local = self._with_rows(ranked.join(dense.select("query_id", "cid", "distance"), ["query_id", "cid"]), queries)
+            if c.profile == "dense_cross_rerank" and self.models.cross_score:
+                return fusion.cross_rerank(local, self.models.cross_score)[0]
+            if c.profile == "llm_rerank" and self.models.rank:
+                return fusion.ranking_response(self.models.rank(local), local, c.k)
             return local
-        if c.profile == "dense_cross_rerank":
-            return fusion.cross_rerank(local, self.models.cross_score)[0] if self.models.cross_score else local
-        if c.profile == "llm_rerank":
-            return fusion.ranking_response(self.models.rank(local), local, c.k) if self.models.rank else local
         sparse = retrieval.bm25(corpus, queries, c.k_sparse, id_col="chunk_id", operator=c.bm25_operator)
-        fused = fusion.rrf(local, sparse, c.dense_weight, c.sparse_weight)
+        fused = fusion.rrf(ranked, sparse, c.dense_weight, c.sparse_weight)
         out = fused.join(dense.select("query_id", "cid", "distance"), ["query_id", "cid"], "left")
         return self._with_rows(out, queries)
 

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import read_table
+
+#: Tables with much work a row.
+_HEAVY = ("documents", "pages", "embeddings")
+
 #: {name} stands for a driver table or an earlier view.
 VIEWS: dict[str, str] = {
     # One row a document as a chunk: 5 chunks to a file, versions by position, some nulls.
@@ -59,7 +64,8 @@ VIEWS: dict[str, str] = {
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, or a view as a DataFrame."""
     if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        path = f"{sf_dir}/{name}.parquet"
+        return read_table(spark, path) if name in _HEAVY else spark.read.parquet(path)
     text = VIEWS[name]
     parts = {n: view(spark, sf_dir, n) for n in _used(text)}
     return spark.sql(text, **parts)

@@ -12,9 +12,20 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
+#: Bytes below which a table's rows may be dealt anew after the scan.
+SMALL_TABLE = 1 << 28
 EXTENSIONS = (".txt", ".md", ".rst", ".pdf", ".docx", ".html", ".htm")
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. One that is small but has fewer files than there are cores is dealt anew, so that work on its
+    rows (texts, vectors) is not left to the few tasks that its files make; larger ones are read as they lie."""
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL_TABLE and len(df.inputFiles()) < cores else df
+
+
 def scan_files(spark: SparkSession, roots: list[str], extensions: tuple[str, ...] = EXTENSIONS, exclude_dirs: tuple[str, ...] = (), content: bool = True) -> DataFrame:
     """binaryFile scan below the roots (content column read only if asked for): path, ext, size, mtime_ns, content, file_hash."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
