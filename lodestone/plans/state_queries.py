@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
-from ..operators import evaluation, filters, fusion, graph, maintenance, memory, mutations, retrieval, stats
+from ..operators import evaluation, filters, fusion, graph, maintenance, memory, mutations, retrieval, stats, structure
 from ..sources import files
 from ..streaming import ingest as streaming
 from . import pipeline
@@ -409,3 +409,23 @@ def vector_joins(t: Tables) -> DataFrame:
 def simhash_columns(t: Tables) -> DataFrame:
     """The column form of the fingerprint, which simhash_docs computes for whole tables."""
     return t.documents.select("doc_id", similarity.simhash(F.col("text")).alias("simhash"))
+
+
+@query()
+def text_structure(t: Tables) -> DataFrame:
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("source_path"), "text")
+    return structure.text_graph(docs).select("path", "node_id", "parent_id", "node_type", "depth", "start_char", "end_char")
+
+
+@query()
+def html_structure(t: Tables) -> DataFrame:
+    pages = t.pages.select(F.col("page_id").cast("string").alias("source_path"), "html")
+    return structure.html_graph(pages).select("path", "node_id", "parent_id", "node_type", "depth", "start_line", "end_line")
+
+
+@query("""WITH b AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n\\s*\\n')) AS b FROM {documents}) WHERE regexp_replace(b, '\\s+', '', 'g') <> '' GROUP BY doc_id)
+SELECT CAST(doc_id AS STRING) AS path, 1 + coalesce(n, 0) AS nodes FROM {documents} LEFT JOIN b USING (doc_id)""")
+def structure_sizes(t: Tables) -> DataFrame:
+    """Nodes of each document's tree: the document and its blank-line blocks."""
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("source_path"), "text")
+    return structure.text_graph(docs).groupBy("path").agg(F.count("*").alias("nodes"))
