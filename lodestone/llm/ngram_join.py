@@ -225,6 +225,22 @@ def _rows_of(base: DataFrame, holders: DataFrame) -> DataFrame:
     return K.map_batches(base.select("id", "text"), maybe, "id long, text string").join(holders, "id").select("node", "text")
 
 
+def _left(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb), stored, whose prefixes leave the threshold possible.
+
+    Of the set whose prefix ends first in the global order, what is common lies in both prefixes or behind its own, so
+    the overlap of the prefixes and the longer rest bound the sum: pairs that share a chance n-gram end here, before
+    any text is read. A node that several partitions have comes with the same prefix from each.
+    """
+    few = (lambda df: F.broadcast(df)) if pairs.count() <= BROADCAST_PAIRS else (lambda df: df)
+    side = lambda node, kept: table.where("grams IS NOT NULL").select(F.col("node").alias(node), F.col("grams").alias(kept))
+    second = side("b", "y").join(few(pairs.select("b").distinct()), "b", "left_semi").dropDuplicates(["b"])
+    met = side("a", "x").join(few(pairs), "a").join(second, "b")
+    behind = F.ceil(percent * F.greatest("na", "nb") / 100) - 1
+    most = F.size(F.array_intersect("x", "y")) + behind
+    return materialize(met.where(most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb").distinct(), "left")
+
+
 def _linked(pairs: DataFrame, base: DataFrame, known: DataFrame, size: int, percent: int, classes: Broadcast) -> DataFrame:
     """The pairs (a, b, na, nb), stored, that reach the threshold, as (a, b), stored: one overlap a pair and fragment,
     summed per pair. A row that comes twice has its fragments twice: the same overlap, counted once by the largest."""
@@ -307,10 +323,10 @@ def similar_sets(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str
     members = table.select("id", "node", "n")
     known = members.where("n > 0 AND id IS NOT NULL")
     shared = _prefix_groups(table, percent)
-    first = _distinct_pairs(shared.where("node != node2"), percent)
+    first = _left(_distinct_pairs(shared.where("node != node2"), percent), table, percent)
     links = _linked(first, base, known, size, percent, classes)
     parts = materialize(connected_components(links), "parts")  # its size is known to the joins then
-    rest = _distinct_pairs(_across(shared, parts, percent), percent)
+    rest = _left(_distinct_pairs(_across(shared, parts, percent), percent), table, percent)
     if not rest.isEmpty():
         links = links.unionByName(_linked(rest, base, known, size, percent, classes))
     classes.destroy()
