@@ -69,7 +69,8 @@ def test_repeats_by_folded_text(spark):
     wide = "a" + " " * 2000
     texts = [wide + "one", wide + "two", "\n" * 2000 + "late", "A\n\tone", "b" * 2000 + "x", "b" * 2000 + "y", " \n", None]
     df = spark.createDataFrame([(1, str(n), n, t) for n, t in enumerate(texts, 1)], "query_id int, cid string, rank int, text string")
-    assert [r["cid"] for r in fusion.drop_repeats(df).orderBy("rank").collect()] == ["1", "2", "3", "5"]
+    assert [r["cid"] for r in fusion.drop_repeats(df).orderBy("rank").collect()] == ["1", "2", "3", "5", "6"]
+    assert [r["cid"] for r in fusion.drop_repeats(df, most=2000).orderBy("rank").collect()] == ["1", "2", "3", "5"]
 
 
 def test_near_repeats_take_128_slots(spark):
@@ -202,7 +203,7 @@ def test_graph(spark):
     start = spark.createDataFrame([(1, "c"), (1, "zz")], "query_id int, node_id string")
     assert sorted((r["node_id"], r["hops"]) for r in graph.traverse(nodes, edges, start, 1).collect()) == [("b", 1), ("c", 0), ("d", 1)]
     assert sorted(r["node_id"] for r in graph.traverse(nodes, edges, start, 5, ["r"]).collect()) == ["a", "b", "c"]
-    docs = spark.createDataFrame([("/f.md", "[[Note|n]] [x](rel.md) [y](http://z) 10.1234/abc [[rel.md]]")], "source_path string, text string")
+    docs = spark.createDataFrame([("/f.md", "[[Note|n]] [x](rel.md) [y](http://z) 10.1234/bare doi:10.1234/abc [[rel.md]]")], "source_path string, text string")
     n, e = graph.extract_links(docs)
     assert sorted(r["label"] for r in n.collect()) == ["10.1234/abc", "Note", "rel.md"] and e.count() == 3
 
