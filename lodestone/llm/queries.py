@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .columns import count_words, text_or_empty
 from .curriculum import first_position, plan_mix
 from .decontaminate import find_contamination
-from . import line_dedup
+from .filter_audit import audit_filters
+from . import filter_audit, line_dedup, vector_codes
 from .license_scan import scan_licenses
 from .ngram_join import similar_sets
 from .private_data import BASE_KINDS, find_private_data, joined
@@ -19,9 +20,13 @@ from .scratch import fresh_path, materialize
 from .substring_dedup import remove_repeated_passages
 from .token_binary import read_token_shards, write_token_shards
 from .token_counts import count_tokens
+from .vector_codes import compress_vectors
+from .word_bpe import decode_ids, encode_texts
 
 #: The vocabulary and the end-of-document id of the production token files.
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
+#: The vocabulary of BPE with word ends.
+WORDS = "word_bpe_49k.json"
 #: The vocabulary of the unigram token counts.
 PIECES = "piece_bpe_32k.model"
 
@@ -87,6 +92,22 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_shards(shards)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(WORDS)
+    encoded = encode_texts(_table(spark, sf_dir, "documents"), path).withColumn("ids_sha256", F.sha2("ids", 256))
+    return decode_ids(encoded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -99,8 +120,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_ngram_join": op9_ngram_join,
         "op10_token_binary": op10_token_binary,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_word_bpe": op12_word_bpe,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op4_line_dedup": line_dedup.ORACLE_SQL, "op11_filter_audit": filter_audit.ORACLE_SQL, "op13_vector_codes": vector_codes.oracle_sql()}
