@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import retrieval
 from ..operators.text_index import TextIndex
+from ..operators.vector_index import VectorIndex, recall
 from ..shared import fresh_path
 from .registry import Tables, query
 
@@ -54,3 +56,34 @@ def text_index_all_terms(t: Tables) -> DataFrame:
 @query("SELECT doc_id AS cid, CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS INT) AS length FROM {documents} WHERE doc_id % 11 <> 0")
 def text_index_documents(t: Tables) -> DataFrame:
     return _changed_index(t).documents()
+
+
+_COSINE = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))"
+
+
+def _vector_index(t: Tables) -> VectorIndex:
+    """Nine tenths of the vectors when it is built, the rest added afterwards."""
+    rows = t.embeddings.select(F.col("vec_id").alias("cid"), "embedding")
+    return VectorIndex.build(rows.where("cid % 10 != 3"), fresh_path(t.spark, "vector-index")).add(rows.where("cid % 10 = 3"))
+
+
+@query()
+def vector_index_topk(t: Tables) -> DataFrame:
+    """Approximate; its recall is a query of its own."""
+    return _vector_index(t).search(t.vector_queries, 10).select("query_id", "cid", "rank", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def vector_index_recall(t: Tables) -> DataFrame:
+    found = _vector_index(t).search(t.vector_queries, 10)
+    return recall(found, retrieval.knn(t.embeddings, t.vector_queries, 10, id_col="vec_id"))
+
+
+@query(f"""
+SELECT query_id, cid, CAST(rank AS INT) AS rank, round(distance, 6) AS distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, cid) AS rank FROM (
+    SELECT q.query_id, e.vec_id AS cid, round(1 - {_COSINE}, 9) AS distance FROM {{vector_queries}} q, {{embeddings}} e))
+WHERE rank <= 10""")
+def vector_index_exact(t: Tables) -> DataFrame:
+    """Lists that the triangle inequality rules out are not read; the result is the exact one."""
+    return _vector_index(t).search(t.vector_queries, 10, exact=True).select("query_id", "cid", "rank", F.round("distance", 6).alias("distance"))
