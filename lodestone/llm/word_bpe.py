@@ -29,6 +29,8 @@ from .columns import text_or_empty
 
 #: Pieces that a worker keeps, and the longest of them.
 CACHE_PIECES, CACHE_LENGTH = 400_000, 64
+#: Pieces that need no normalising but lower case and are cut in one way: Latin letters, then a mark of punctuation.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([,.;:?!]?)")
 _FINAL = 256
 _NEVER = np.iinfo(np.int64).max
 #: Symbols up to which a word's least pair is looked for in a list.
@@ -149,9 +151,8 @@ class Vocabulary:
             at, node = at[inside], node[inside]
         return token, length
 
-    def merge(self, symbols: list[int]) -> list[int]:
-        """Exact merging: always the pair of the least rank, of equal ones the leftmost."""
-        tokens = self.base[symbols].tolist()
+    def merge(self, tokens: list[int]) -> list[int]:
+        """Exact merging of a word's symbols, as tokens: always the pair of the least rank, of equal ones the leftmost."""
         return self._merge_short(tokens) if len(tokens) <= _SHORT else self._merge_long(tokens)
 
     def _merge_short(self, tokens: list[int]) -> list[int]:
@@ -215,14 +216,15 @@ class Vocabulary:
         first = np.searchsorted(word, np.arange(len(words) + 1))
         if not len(bad):
             return ids, first, 0
-        pieces = []
-        count = np.diff(first)
+        single, known, edge, count = self.base[symbols].tolist(), ids.tolist(), first.tolist(), np.diff(first).tolist()
+        out: list[int] = []
         done = 0
-        for w in bad.tolist():
-            exact = self.merge(symbols[ends[w] - len(words[w]) : ends[w]].tolist())
-            pieces += [ids[done : first[w]], np.array(exact, np.int64)]
-            done, count[w] = first[w + 1], len(exact)
-        return np.concatenate([*pieces, ids[done:]]), np.r_[0, np.cumsum(count)], len(bad)
+        for w, end in zip(bad.tolist(), ends[bad].tolist()):
+            exact = self.merge(single[end - len(words[w]) : end])
+            out += known[done : edge[w]]
+            out += exact
+            done, count[w] = edge[w + 1], len(exact)
+        return np.array(out + known[done:], np.int64), np.r_[0, np.cumsum(count)], len(bad)
 
 
 class Encoder:
@@ -244,8 +246,8 @@ class Encoder:
         return self._cut(piece)
 
     def _cut(self, piece: str) -> list[bytes]:
-        if piece.isascii() and piece.isalpha():
-            return [piece.lower().encode()]
+        if (plain := _PLAIN.fullmatch(piece)) is not None:
+            return [x.lower().encode() for x in plain.groups() if x]
         return [w.translate(self.vocabulary.to_bytes).encode("latin-1") for w, _ in self.cut(self.normalize(piece)) if w]
 
     def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
@@ -263,14 +265,17 @@ class Encoder:
         cut = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         first = cut.offsets.to_numpy() - cut.offsets[0].as_py()
         found = pc.fill_null(cut.flatten(), "").dictionary_encode()
-        pieces = found.dictionary.to_pylist()
-        new = self._encode_pieces([p for p in pieces if p not in self.kept])
-        table = [new[p] if p in new else self.kept[p] for p in pieces]
+        pieces = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        table = list(map(self.kept.get, pieces))
+        missing = [k for k, b in enumerate(table) if b is None]
+        new = self._encode_pieces([pieces[k] for k in missing])
+        for k in missing:
+            table[k] = new[pieces[k]]
         if len(self.kept) + len(new) > CACHE_PIECES:
             self.kept.clear()
         self.kept |= {p: b for p, b in new.items() if len(p) <= CACHE_LENGTH}
-        code = found.indices.to_pylist()
-        return [b"".join([table[k] for k in code[lo:hi]]) for lo, hi in zip(first.tolist(), first[1:].tolist())]
+        code, of_code = found.indices.to_numpy(zero_copy_only=False).tolist(), table.__getitem__
+        return [b"".join(map(of_code, code[lo:hi])) for lo, hi in zip(first.tolist(), first[1:].tolist())]
 
     def decode(self, packed: bytes) -> str:
         strings = self.vocabulary.strings
