@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_list_block, stable_id
+from ..shared import store
 from .chunking import paragraphs
+from .code_structure import CODE_EXTENSIONS, code_graph, extension
 from .graph import extract_links, file_node_id
 
 _BLOCK = "path string, scope int, position int, node_type string, name string, level int, start_line int, end_line int, start_char int, end_char int"
@@ -158,11 +160,11 @@ def _any(xs: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, xs)
 
 
-def assemble(blocks: DataFrame, files: DataFrame, path_col: str = "source_path", content_col: str = "text") -> DataFrame:
+def assemble(blocks: DataFrame, files: DataFrame, path_col: str = "source_path", content_col: str = "text", joined: bool = False) -> DataFrame:
     """(path, position, node_id, parent_id, node_type, name, level, depth, spans): the tree of every file's blocks.
 
     ``files`` (path, content) gives each file's root, the document itself, and the content hash that the ids are made
-    of. Headings reach over what stands below them; the parent of a row is the nearest open heading of its section, or
+    of. The root spans the content, or, with ``joined``, its blocks. Headings reach over what stands below them; the parent of a row is the nearest open heading of its section, or
     the section, or the document.
     """
     scope = ["path", "scope"]
@@ -193,6 +195,9 @@ def assemble(blocks: DataFrame, files: DataFrame, path_col: str = "source_path",
     every = rows.select(*keep, "above").unionByName(sections.select(*keep, F.array().cast("array<int>").alias("above")))
 
     hashed = files.select(F.col(path_col).alias("path"), F.sha2(F.coalesce(F.col(content_col), F.lit("")), 256).alias("content_hash"), F.length(F.coalesce(F.col(content_col), F.lit(""))).alias("chars"), (F.regexp_count(F.coalesce(F.col(content_col), F.lit("")), F.lit("\n")) + 1).alias("lines"))
+    if joined:
+        extent = body.groupBy("path").agg(F.max("end_char").alias("chars"), F.max("end_line").alias("lines"))
+        hashed = hashed.select("path", "content_hash").join(extent, "path", "left").select("path", "content_hash", F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("lines", F.lit(1)).alias("lines"))
     identity = lambda *c: F.sha1(F.concat_ws("|", *c, F.lit("0"), F.lit("")))
     named = every.join(hashed, "path").withColumn("node_id", identity("content_hash", "node_type", "name", *[F.col(c).cast("string") for c in ("start_line", "end_line", "start_char", "end_char")]))
     title = F.element_at(F.split("path", "/"), -1)
@@ -217,8 +222,21 @@ def text_graph(df: DataFrame, path_col: str = "source_path", text_col: str = "te
 
 
 def html_graph(df: DataFrame, path_col: str = "source_path", html_col: str = "html") -> DataFrame:
-    """The document's own span is that of the page's source."""
-    return assemble(html_blocks(df, path_col, html_col), df, path_col, html_col)
+    """The document's span is that of its blocks joined by blank lines, as all spans of a page; its hash is the source's."""
+    return assemble(html_blocks(df, path_col, html_col), df, path_col, html_col, joined=True)
+
+
+# Which files are pages and which are text.
+HTML_EXTENSIONS = (".html", ".htm")
+TEXT_EXTENSIONS = (".md", ".txt", ".rst")
+
+
+def file_graph(df: DataFrame, path_col: str = "source_path", text_col: str = "text") -> DataFrame:
+    """The trees of files by their extensions: code, pages, and text for all others."""
+    kind = extension(F.col(path_col))
+    code, page = kind.isin(*CODE_EXTENSIONS), kind.isin(*HTML_EXTENSIONS)
+    trees = [text_graph(df.where(~(code | page)), path_col, text_col), html_graph(df.where(page), path_col, text_col), code_graph(df.where(code), path_col, text_col)]
+    return reduce(lambda a, b: a.unionByName(b.select(*a.columns)), trees)
 
 
 def property_graph(tree: DataFrame, files: DataFrame, path_col: str = "source_path", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -231,6 +249,27 @@ def property_graph(tree: DataFrame, files: DataFrame, path_col: str = "source_pa
     return file.unionByName(inside).unionByName(link_nodes), holds.unionByName(link_edges)
 
 
+#: Files that cannot be read as text; a fixed list.
+BINARY_EXTENSIONS = (
+    ".pdf", ".docx", ".doc", ".xlsx", ".xls", ".pptx", ".ppt", ".odt", ".ods", ".odp", ".epub", ".rtf", ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".svg", ".webp",
+    ".zip", ".gz", ".tar", ".7z", ".rar", ".mp3", ".mp4", ".wav", ".avi", ".mov", ".exe", ".dll", ".so", ".dylib", ".bin",
+)
+
+
+def backfill_graph(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, files: DataFrame, path_col: str = "source_path", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) with those of the files that have current chunks and no node yet; files that are not given or cannot be
+    read as text are passed over. A node or edge that is there already stays as it is."""
+    wanted = chunks.where(F.col("is_current") & (F.col("node_type") == "chunk")).select(path_col).distinct()
+    wanted = wanted.join(nodes.select(F.col("source_path").alias(path_col)).distinct(), path_col, "left_anti").where(~extension(F.col(path_col)).isin(*BINARY_EXTENSIONS))
+    # Stored: the trees are read several times, and their plan is long.
+    todo = store(files.select(path_col, text_col).join(wanted, path_col, "left_semi"), "unread-files")
+    new_nodes, new_edges = property_graph(store(file_graph(todo, path_col, text_col), "trees"), todo, path_col, text_col)
+    new_nodes = new_nodes.dropDuplicates(["node_id"]).join(nodes.select("node_id"), "node_id", "left_anti")
+    key = ["src_id", "dst_id", "edge_type"]
+    new_edges = new_edges.dropDuplicates(key).join(edges.select(*key), key, "left_anti")
+    return nodes.unionByName(new_nodes, allowMissingColumns=True), edges.unionByName(new_edges, allowMissingColumns=True)
+
+
 def section_texts(tree: DataFrame, files: DataFrame, name: str, path_col: str = "source_path", text_col: str = "text") -> DataFrame:
     """(path, node_id, name, text, hashes): the text under the headings and sections whose name holds the words, and the
     short hashes of its lines."""
