@@ -3,7 +3,9 @@
 Four exact base patterns are always reported. Further candidates (numbers, long tokens, spelled-out addresses, names)
 are voted on by labelers that may abstain: a regular expression for each kind, gazetteers (first names, token and
 dialling prefixes, mail providers and top-level domains), the words before the span, and shapes that speak against it.
-Candidates are found by their form alone; no labeler decides which spans are voted on. For each kind of its own,
+Candidates are found by their form alone; no labeler decides which spans are voted on, and no labeler votes for all of
+them. Spans that no labeler votes for are the anchor of the estimate, known to be none, and never added; nor is anything of
+a kind whose candidates all got the same votes. For each kind of its own,
 expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is, without labelled data,
 until it converges; its posteriors train the final span classifier (naive Bayes over features of the span), which
 decides which candidates are added.
@@ -63,13 +65,20 @@ _STRONG = {
     "number": r"^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4})$",
     "secret": r"^(?:[0-9a-f]{32,}|[A-Z0-9]{20}|[A-Za-z0-9_-]{30,})$",
     "address": r"[(\[]dot[)\]]|\.[A-Za-z]{2,}$",
-    "name": r"^\p{Lu}\p{Ll}{1,11}\x20\p{Lu}\p{Ll}{2,13}$",
+    "name": r"\x20\p{Lu}\p{Ll}+(?:son|sen|mann|ez|ski|sky|ova|vić|ford|berg|stein|bach|feld|hardt|elli|etti|ault|mura|moto)$|\x20(?:Mc|Mac|O')\p{L}+$",
+}
+#: Where the regular expression votes against.
+_NEVER = {
+    "number": r".",
+    "secret": r"^[a-z]+(?:[_-][a-z]+)+[0-9]{0,4}$",
+    "address": r"^.{120,}$",
+    "name": r"(?i)^(\p{L}+)\x20\1$|^(?:\p{L}+\x20)?(?:und|and|oder|or|mit|with|von|der|die|das|que|les|des|los|las|est|dans|pour|para|como|sich|nicht|the)(?:\x20\p{L}+)?$",
 }
 _AGAINST = {
     "number": r"^(?:([0-9])\1+|[0-9]+\.[0-9]+|[0-9]{1,3}(?:\.[0-9]{3})+|[12][0-9]{3}[\x20.-][01]?[0-9][\x20.-][0-3]?[0-9])$|^[0-9]{8,}$",
     "secret": r"^[0-9]+$|^[A-Za-z]+(?:-[A-Za-z]+)*-?[0-9]{1,4}$",
     "address": r"^.{80,}$",
-    "name": r"^(?:The|This|That|These|In|On|At|For|From|And|But|If|When|Der|Die|Das|Ein|Eine|Und|Le|La|Les|Un|Une|El|Los|Las|Il|Lo)\x20|(?:Street|Road|Avenue|University|Institute|City|County|River|Straße|Platz)$",
+    "name": r"^(?:The|This|That|These|In|On|At|For|From|And|But|If|When|New|General|Der|Die|Das|Ein|Eine|Und|Le|La|Les|Un|Une|El|Los|Las|Il|Lo)\x20|(?:Street|Road|Avenue|University|Institute|City|County|River|Straße|Platz)$",
 }
 _quoted = lambda xs: "|".join(re.escape(x) for x in xs)
 #: The gazetteers as patterns of a span.
@@ -160,7 +169,8 @@ def _candidates(text: Column, base: Column) -> Column:
             before = F.substring(text, F.greatest(x["s"] - 29, F.lit(1)).cast("int"), F.least(x["s"], F.lit(30)).cast("int"))
             listed = v.rlike(_LISTED[kind])
             context = before.rlike(_CONTEXT[kind])
-            votes = [F.when(v.rlike(_STRONG[kind]), 1).otherwise(-1 if kind == "number" else 0), F.when(listed, 1).otherwise(0), F.when(context, 1).otherwise(0), F.when(v.rlike(_AGAINST[kind]), -1).otherwise(0)]
+            regex = F.when(v.rlike(_STRONG[kind]), 1).when(v.rlike(_NEVER[kind]), -1).otherwise(0)
+            votes = [regex, F.when(listed, 1).otherwise(0), F.when(context, 1).otherwise(0), F.when(v.rlike(_AGAINST[kind]), -1).otherwise(0)]
             share = F.floor(4 * F.length(_digits(v)) / F.length(v))
             features = [F.lit(kind), F.concat(F.lit(kind + "/length/"), F.least(F.floor(F.log2(F.length(v))), F.lit(8))), F.concat(F.lit(kind + "/digits/"), share), F.concat(F.lit(kind + "/context/"), context.cast("int")), F.concat(F.lit(kind + "/listed/"), listed.cast("int")), F.concat(F.lit(kind + "/shape/"), v.rlike(_STRONG[kind]).cast("int"), v.rlike(_AGAINST[kind]).cast("int")), F.concat(F.lit(kind + "/parts/"), F.least(F.size(F.split(v, r"[\x20().-]+")), F.lit(5)))]
             return F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), F.array(*votes).alias("votes"), F.array(*features).alias("features"))
@@ -174,13 +184,14 @@ def _candidates(text: Column, base: Column) -> Column:
 Given = list[dict[int, tuple[float, float]]]
 
 
-def estimate_reliability(patterns: list[tuple[tuple[int, ...], int]], most_rounds: int = 500, tolerance: float = 1e-6) -> tuple[float, Given]:
+def estimate_reliability(patterns: list[tuple[tuple[int, ...], int]], most_rounds: int = 500, tolerance: float = 1e-6, anchored: bool = False) -> tuple[float, Given]:
     """EM over (votes, n) of one kind until nothing moves by more than ``tolerance``: the share of true spans, and for
-    each labeler and vote its probability given no and given yes. Every count starts at one."""
+    each labeler and vote its probability given no and given yes. Every count starts at one. ``anchored``: spans that no
+    labeler votes for are known to be none."""
     prior, given = 0.5, [{1: (0.1, 0.5), 0: (0.6, 0.4), -1: (0.3, 0.1)} for _ in LABELERS]
     total = sum(n for _, n in patterns)
     for _ in range(most_rounds if total else 0):
-        weighed = [(votes, n, n / (1 + math.exp(-log_odds(votes, prior, given)))) for votes, n in patterns]
+        weighed = [(votes, n, 0.0 if anchored and 1 not in votes else n / (1 + math.exp(-log_odds(votes, prior, given)))) for votes, n in patterns]
         yes = sum(y for *_, y in weighed)
         no, before = total - yes, (prior, given)
         prior = min(0.99, max(0.01, (yes + 1) / (total + 2)))
@@ -223,8 +234,9 @@ def find_private_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     posterior = {}
     for kind in ADDED_KINDS:
         patterns = [(votes, n) for k, votes, f, n in counts if k == kind == f]
-        prior, given = estimate_reliability(patterns)
-        posterior |= {(kind, votes): 1 / (1 + math.exp(-log_odds(votes, prior, given))) for votes, _ in patterns}
+        prior, given = estimate_reliability(patterns, anchored=True)
+        sure = lambda votes: 1 in votes and len(patterns) > 1  # labelers of whom none ever differs say nothing  # noqa: B023, E731
+        posterior |= {(kind, votes): 1 / (1 + math.exp(-log_odds(votes, prior, given))) if sure(votes) else 0.0 for votes, _ in patterns}
     start, weights = _classifier(counts, posterior)
 
     named = lambda kinds: F.array(*map(F.lit, kinds))
@@ -233,7 +245,9 @@ def find_private_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         table = F.create_map(*[F.lit(x) for pair in sorted(weights.items()) for x in pair])
         begin = F.create_map(*[F.lit(x) for pair in sorted(start.items()) for x in pair])
         odds = lambda c: F.aggregate(c["features"], F.try_element_at(begin, c["features"][0]), lambda a, f: a + F.coalesce(F.try_element_at(table, f), F.lit(0.0)))
-        added = F.filter("more", lambda c: odds(c) >= math.log(accept / (1 - accept)))
+        voted = lambda c: F.array_contains(c["votes"], 1)
+        split = [k for k in ADDED_KINDS if len({votes for kind, votes, _, _ in counts if kind == k}) > 1]
+        added = F.filter("more", lambda c: voted(c) & c["features"][0].isin(*split) & (odds(c) >= math.log(accept / (1 - accept)))) if split else F.filter("more", lambda c: F.lit(False))
     else:
         added = F.filter("more", lambda c: F.lit(False))
     return found.select("doc_id", shown(F.col("base"), BASE_KINDS, 0).alias("base"), shown(added, ADDED_KINDS, len(BASE_KINDS)).alias("added"))
