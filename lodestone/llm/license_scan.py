@@ -6,7 +6,9 @@ the block needs at least ceil(t n) template tokens (length filter), as many of t
 orders (positional filter). What passes is counted exactly.
 
 Blocks are sentences, however they are wrapped: texts are cut at blank lines and after ``.``, ``!`` or ``?`` before
-white space, license texts as well. Only blocks with a prefix token are ever compared. Every template block that a text
+white space (but not after a single letter or digit, as in "v. 2"), license texts as well. License sentences of fewer than
+``LEAST_WORDS`` different words are one template with the sentence next to them; one that stands alone counts only where its
+words stand in their order. Only blocks with a prefix token are ever compared. Every template block that a text
 block contains to the threshold is found; its label counts unless a template of nearly the same words fits the block
 better (the notices of the General and the Lesser license differ in three words). Only DataFrame functions are used;
 what reaches the driver is one row per template token.
@@ -31,8 +33,10 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 SHARE = 0.9
+#: Different words below which a license sentence says too little by itself.
+LEAST_WORDS = 5
 _GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_ENDS = r"(?<=[.!?])[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n"
+_ENDS = r"(?<=[.!?])(?<![^A-Za-z0-9][A-Za-z0-9]\.)[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -74,11 +78,20 @@ def _base(norm: Column, phrases: dict[str, str]) -> list[Column]:
     ]
 
 
-def template_blocks(texts: tuple[tuple[str, str], ...]) -> list[tuple[str, frozenset[str]]]:
-    """(label, distinct words) of every block of the license texts, each once."""
-    fold = str.maketrans(_UPPER, _LOWER)
-    blocks = [(label, frozenset(re.sub(_GAPS, " ", block).translate(fold).split())) for label, text in texts for block in re.split(_ENDS, text)]
-    return list(dict.fromkeys((label, words) for label, words in blocks if words))
+def template_blocks(texts: tuple[tuple[str, str], ...]) -> list[tuple[str, frozenset[str], str]]:
+    """(label, distinct words, the words in order) of every block of the license texts, each set of words once a label."""
+    fold, found = str.maketrans(_UPPER, _LOWER), {}
+    for label, text in texts:
+        blocks: list[list[str]] = []
+        for sentence in re.split(_ENDS, text):
+            words = re.sub(_GAPS, " ", sentence).translate(fold).split()
+            if blocks and words and min(len(set(words)), len(set(blocks[-1]))) < LEAST_WORDS:
+                blocks[-1] += words
+            elif words:
+                blocks.append(words)
+        for words in blocks:
+            found.setdefault((label, frozenset(words)), " ".join(words))
+    return [(label, words, phrase) for (label, words), phrase in found.items()]
 
 
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, texts: tuple[tuple[str, str], ...] = LICENSE_TEXTS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,13 +100,14 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, texts: tup
     Base: places where a phrase's words stand consecutively. Labels: the base ones and those of every template block of
     which a block of the text holds at least ``share`` of the distinct words; blocks lists all of these with label, share
     and the block's template words. Where two templates hold one another's words to that share, only the label of the one
-    that fits a block better counts (by share, then by length). score is the highest share found, 1 if a phrase stands in the text, else 0. Null and empty texts have no words. Every row is scanned by
-    itself, so repeated rows repeat their result; null ids are kept; other columns are ignored; an empty table gives an
-    empty result.
+    that fits a block better counts (by share, then by length). score is the highest share found, 1 if a phrase stands in
+    the text, else 0. Null and empty texts have no words. Every row is scanned by itself, so repeated rows repeat their
+    result; null ids are kept; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     templates = template_blocks(texts)
-    vocabulary = sorted({w for _, own in templates for w in own})
+    vocabulary = sorted({w for _, own, _ in templates for w in own})
+    short = {k: phrase for k, (_, own, phrase) in enumerate(templates) if len(own) < LEAST_WORDS}
     words = F.array(*map(F.lit, vocabulary))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("__text")).withColumn("__norm", normalized(F.col("__text")))
 
@@ -101,10 +115,10 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, texts: tup
     frequency = {r["w"]: r["n"] for r in found.toLocalIterator()}
     rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
     index = []
-    for k, (label, own) in enumerate(templates):
+    for k, (label, own, _) in enumerate(templates):
         ordered_own = sorted(own, key=rank.__getitem__)
         need = math.ceil(share * len(own) - 1e-9)
-        rivals = [n for n, (_, other) in enumerate(templates) if n != k and len(own & other) >= need]
+        rivals = [n for n, (_, other, _) in enumerate(templates) if n != k and len(own & other) >= need]
         index += [(w, k, label, ordered_own, at, need, rivals) for at, w in enumerate(ordered_own[: len(own) - need + 1])]
     prefix_words = sorted({w for w, *_ in index}, key=rank.__getitem__)
     prefix = F.array(*map(F.lit, prefix_words))
@@ -115,16 +129,20 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, texts: tup
     block_words = F.transform(F.split("__text", _ENDS), lambda b: F.split(normalized(b), " "))
     near = F.filter(block_words, lambda b: F.arrays_overlap(b, prefix))
     held = F.when(F.arrays_overlap(F.split("__norm", " "), prefix), F.transform(near, lambda b: F.array_intersect(ordered, b)))
-    scanned = rows.select("doc_id", *_base(F.col("__norm"), phrases), held.alias("held"))
+    padded = F.concat(F.lit(" "), "__norm", F.lit(" "))
+    said = F.array_compact(F.array(F.lit(None).cast("int"), *[F.when(padded.contains(f" {phrase} "), F.lit(k)) for k, phrase in short.items()]))
+    scanned = rows.select("doc_id", *_base(F.col("__norm"), phrases), held.alias("held"), said.alias("said"))
     scanned = materialize(scanned.withColumn("__row", F.monotonically_increasing_id()), "scanned")
 
     templates_df = spark.createDataFrame(index, "word string, template int, label string, tokens array<string>, at_t int, need int, rivals array<int>")
-    block = scanned.where("size(held) > 0").select("__row", F.explode(F.array_distinct("held")).alias("block"))
-    exploded = block.select("__row", "block", F.posexplode("block").alias("at_b", "word")).where(F.array_contains(prefix, F.col("word")))
+    block = scanned.where("size(held) > 0").select("__row", "said", F.explode(F.array_distinct("held")).alias("block"))
+    exploded = block.select("__row", "said", "block", F.posexplode("block").alias("at_b", "word")).where(F.array_contains(prefix, F.col("word")))
     met = exploded.join(F.broadcast(templates_df), "word")  # at most one row per template token
     left = F.least(F.size("tokens") - F.col("at_t"), F.size("block") - F.col("at_b"))
     met = met.where((F.size("block") >= F.col("need")) & (left >= F.col("need")))
     counted = met.withColumn("n", F.size(F.array_intersect("block", "tokens"))).where("n >= need")
+    if short:
+        counted = counted.where(~F.col("template").isin(*short) | F.array_contains("said", F.col("template")))
     hit = F.struct("label", (F.col("n") / F.size("tokens")).alias("share"), F.array_join("block", " ").alias("words"), "template", F.size("tokens").alias("size"), "rivals")
     matched = counted.groupBy("__row").agg(F.collect_set(hit).alias("hits"))  # of one document
     fits = lambda x: F.struct(x["share"], x["size"])
