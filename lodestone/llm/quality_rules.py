@@ -2,8 +2,10 @@
 
 Each metric's distribution is kept as a quantile sketch of logarithmic buckets (relative error ``ERROR``): counts per
 bucket, which merge by addition. Sketches are taken per language and source over all documents and merged upwards
-(per language, over everything). A threshold is a tail quantile of its group's sketch, moved outwards by ``reach`` times
-its distance from the median. Every group's threshold is a weighted mean of its own and its language's, and that of the
+(per language, over everything). Documents with none of what a metric counts are a number of their own beside the buckets,
+so that a metric that is zero nearly everywhere has a threshold of its group too: where the zeros reach past the quantile,
+the near end of the least bucket that is not zero. A threshold is a tail quantile of its group's sketch, moved outwards by ``reach`` times
+its distance from the median (of the values that are not zero, for upper bounds). Every group's threshold is a weighted mean of its own and its language's, and that of the
 language of its own and the whole corpus's; the parent counts as ``prior`` documents, so a group of few documents leans on
 its parent and one of many does not, without a step between. Documents are joined with their group's thresholds and judged.
 
@@ -30,8 +32,6 @@ TAILS = {
 }
 REACH = 0.5
 PRIOR = 100
-#: Values up to this one share the sketch's first bucket.
-LOWEST = 1e-3
 
 
 def _repeat_words(words: Column) -> Column:
@@ -86,12 +86,12 @@ def _base_failed(m: Column, least_words: int) -> Column:
 
 
 def quantile_sketches(measured: DataFrame, keys: list[str], metrics: str, least_words: int) -> DataFrame:
-    """(keys, metric, bucket, n) over the documents that pass the base rules."""
+    """(keys, metric, bucket, n) over the documents that pass the base rules; the bucket of zeros is null."""
     m = F.col(metrics)
     step = math.log((1 + ERROR) / (1 - ERROR))
     values = F.array(*[F.struct(F.lit(k).alias("metric"), _measure(m, k).alias("x")) for k in TAILS])
     rows = measured.where(~_base_failed(m, least_words)).select(*keys, F.explode(values).alias("v"))
-    bucket = F.when(F.col("v.x") <= LOWEST, F.lit(0)).otherwise(F.ceil(F.log(F.col("v.x") / LOWEST) / step)).cast("int")
+    bucket = F.when(F.col("v.x") > 0, F.ceil(F.log(F.col("v.x")) / step)).cast("int")
     return rows.groupBy(*keys, F.col("v.metric").alias("metric"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -103,16 +103,22 @@ def _thresholds_of(sketch: DataFrame, keys: list[str], reach: float) -> DataFram
     cannot tell from the quantile are inside."""
     growth = (1 + ERROR) / (1 - ERROR)
     group = Window.partitionBy(*keys, "metric")
-    ranked = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("all", F.sum("n").over(group))
-    top = LOWEST * F.pow(F.lit(growth), F.col("bucket"))
-    bottom = F.when(F.col("bucket") == 0, F.lit(0.0)).otherwise(top / growth)
-    at = lambda k, q, value: F.min(F.when((F.col("metric") == k) & (F.col("upto") >= q * F.col("all")), value))
+    zeros = F.sum(F.when(F.col("bucket").isNull(), F.col("n")).otherwise(F.lit(0))).over(group)
+    ranked = sketch.withColumn("all", F.sum("n").over(group)).withColumn("zeros", zeros).where("bucket IS NOT NULL")
+    ranked = ranked.withColumn("upto", F.sum("n").over(group.orderBy("bucket")))
+    top, bottom = F.pow(F.lit(growth), F.col("bucket")), F.pow(F.lit(growth), F.col("bucket") - 1)
+    least = lambda k, reached, value: F.min(F.when((F.col("metric") == k) & reached, value))
+    at = lambda k, q, value: least(k, F.col("zeros") + F.col("upto") >= q * F.col("all"), value)
     columns = []
     for k, (low, high) in TAILS.items():
         if low is not None:
-            columns.append((at(k, low, bottom) - reach * (at(k, 0.5, bottom) - at(k, low, bottom))).alias(f"{k}_lower"))
+            lowest = F.when(F.max(F.when(F.col("metric") == k, F.col("zeros") >= low * F.col("all"))), F.lit(0.0)).otherwise(at(k, low, bottom))
+            columns.append((lowest - reach * (at(k, 0.5, bottom) - lowest)).alias(f"{k}_lower"))
         if high is not None:
-            columns.append((at(k, high, top) + reach * (at(k, high, top) - at(k, 0.5, top))).alias(f"{k}_upper"))
+            middle = least(k, F.col("upto") >= 0.5 * (F.col("all") - F.col("zeros")), top)
+            past = F.max(F.when(F.col("metric") == k, F.col("zeros") >= high * F.col("all")))
+            highest = F.when(past, least(k, F.lit(True), bottom)).otherwise(at(k, high, top))
+            columns.append((highest + reach * F.greatest(F.lit(0.0), highest - middle)).alias(f"{k}_upper"))
     return ranked.groupBy(*keys).agg(F.max("all").alias("n"), *columns)
 
 
@@ -125,7 +131,8 @@ def adaptive_thresholds(measured: DataFrame, lang_col: str, source_col: str, met
     overall = _thresholds_of(merged([]).withColumn("all_of", F.lit(1)), ["all_of"], reach)
     by_lang = _thresholds_of(merged(["lang"]), ["lang"], reach).withColumn("all_of", F.lit(1))
     fine = _thresholds_of(sketch, ["lang", "source"], reach)
-    lean = lambda parent: [((F.col("n") * F.col(b) + prior * parent[b]) / (F.col("n") + prior)).alias(b) for b in _BOUNDS]
+    # A group without any value above zero has no bound of its own, and one whose parents have none has none at all.
+    lean = lambda parent: [F.coalesce((F.col("n") * F.col(b) + prior * parent[b]) / (F.col("n") + prior), F.col(b), parent[b]).alias(b) for b in _BOUNDS]
     packed = lambda df, *keys: df.select(*keys, F.struct(*_BOUNDS).alias("parent"))
     by_lang = by_lang.join(packed(overall, "all_of"), "all_of").select("lang", *lean(F.col("parent")))
     parents = packed(by_lang, F.col("lang").alias("of"))
