@@ -236,6 +236,13 @@ def values_of(c: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).when(listed, kept(parsed)).otherwise(F.array(text))
 
 
+def heading_path_of(c: Column, listed: bool = False) -> Column:
+    """A chunk's heading path as an array: of a list (``listed``) the names that are not blank; of JSON text as values_of."""
+    if not listed:
+        return values_of(c)
+    return F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != ""))
+
+
 def folded(c: Column) -> Column:
     """Lower case, single blanks, stripped: how inventory values are compared."""
     return F.array_join(words_of(F.coalesce(c, F.lit(""))), " ")
