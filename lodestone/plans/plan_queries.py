@@ -67,7 +67,7 @@ def _tasks(t: Tables) -> tuple[DataFrame, DataFrame]:
     return tasks, deps
 
 
-_DEPS = "deps AS (SELECT p_partkey AS task_id, p_partkey // 2 AS depends_on FROM {part} WHERE p_partkey > 1 UNION SELECT p_partkey, p_partkey // 3 FROM {part} WHERE p_partkey % 3 = 0 UNION SELECT p_partkey, p_partkey - 1 FROM {part} WHERE p_partkey % 100 = 1 AND p_partkey > 1)"
+_DEPS = "deps AS (SELECT p_partkey AS task_id, p_partkey // 2 AS depends_on FROM {part} WHERE p_partkey > 1 UNION SELECT p_partkey, p_partkey // 3 FROM {part} WHERE p_partkey % 3 = 0 AND p_partkey > 2 UNION SELECT p_partkey, p_partkey - 1 FROM {part} WHERE p_partkey % 100 = 1 AND p_partkey > 1)"
 
 
 @query(f"""WITH RECURSIVE {_DEPS},
