@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity, text
 from ..operators import chunking, evaluation, filters, fusion, graph, maintenance, memory, mutations, rendering, retrieval, stats
 from ..sources import files
-from . import function_queries, index_queries, pipeline, plan_queries, state_queries, structure_queries  # noqa: F401  (they register queries too)
+from . import function_queries, index_queries, pipeline, plan_queries, source_queries, state_queries, structure_queries  # noqa: F401  (they register queries too)
 from .registry import ORACLE, QUERIES, Tables, query  # noqa: F401
 
 _NORMAL = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
