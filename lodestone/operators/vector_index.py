@@ -3,7 +3,7 @@
     lists/list=L        cid, code, v: the vectors nearest to centroid L, with the code of what the centroid leaves
     centroids           list, centroid, radius (the greatest angle of a vector of the list), n
     codebooks           part, entry, value
-    settings            probes: lists that a search reads for each query unless it is told otherwise
+    settings            probes: lists that a search reads for each query unless it is told otherwise; the lists' schema
 
 Centroids and codebooks are fitted on a sample of bounded size (``SAMPLE`` rows, the first in the order of the ids'
 hashes); every row is put into a list. How many lists a query has to read is measured on the same sample when the index
@@ -88,6 +88,7 @@ class VectorIndex:
     radius: np.ndarray
     codebooks: np.ndarray
     probes: int
+    schema: str
 
     # ---- building
 
@@ -111,10 +112,11 @@ class VectorIndex:
         books = np.stack([_cluster(np.ascontiguousarray(left[:, p * width : (p + 1) * width]), entries) for p in range(n_parts)]) if len(points) else np.zeros((1, 0, 1))
         probes = _probes(points, centroids, target)
         cls._assign(rows, centroids, books).hint("rebalance", "list").write.partitionBy("list").parquet(f"{path}/lists")
-        stored = spark.read.schema(f"cid {dict(rows.dtypes)['cid']}, code binary, v {dict(rows.dtypes)['v']}, angle double, list int").parquet(f"{path}/lists")
+        schema = f"cid {dict(rows.dtypes)['cid']}, code binary, v {dict(rows.dtypes)['v']}, angle double, list int"
+        stored = spark.read.schema(schema).parquet(f"{path}/lists")
         stored.groupBy("list").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).join(spark.createDataFrame([(k, c) for k, c in enumerate(centroids.tolist())], "list int, centroid array<double>"), "list").coalesce(1).write.parquet(f"{path}/centroids")
         spark.createDataFrame([(p, e, v) for p, b in enumerate(books.tolist()) for e, v in enumerate(b)], "part int, entry int, value array<double>").coalesce(1).write.parquet(f"{path}/codebooks")
-        spark.createDataFrame([(probes,)], "probes int").coalesce(1).write.parquet(f"{path}/settings")
+        spark.createDataFrame([(probes, schema)], "probes int, schema string").coalesce(1).write.parquet(f"{path}/settings")
         return cls.open(spark, path)
 
     @classmethod
@@ -124,8 +126,8 @@ class VectorIndex:
         for r in spark.read.parquet(f"{path}/codebooks").collect():
             books.setdefault(r["part"], {})[r["entry"]] = r["value"]
         codebooks = np.array([[b[e] for e in sorted(b)] for _, b in sorted(books.items())], float)
-        probes = spark.read.parquet(f"{path}/settings").first()[0]
-        return cls(spark, path, np.array([x[0] for x in lists], np.int64), np.array([x[1] for x in lists], float), np.array([x[2] for x in lists], float), codebooks, probes)
+        settings = spark.read.parquet(f"{path}/settings").first()
+        return cls(spark, path, np.array([x[0] for x in lists], np.int64), np.array([x[1] for x in lists], float), np.array([x[2] for x in lists], float), codebooks, settings["probes"], settings["schema"])
 
     @staticmethod
     def _assign(rows: DataFrame, centroids: np.ndarray, books: np.ndarray) -> DataFrame:
@@ -163,7 +165,7 @@ class VectorIndex:
 
     def rows(self, lists: list[int] | None = None) -> DataFrame:
         """The stored rows, of all lists or of some: their partitions alone are read then."""
-        df = self.spark.read.option("basePath", f"{self.path}/lists").parquet(f"{self.path}/lists")
+        df = self.spark.read.schema(self.schema).parquet(f"{self.path}/lists")
         return df if lists is None else df.where(F.col("list").isin(lists))
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None, rerank: int | None = None, exact: bool = False, query_id: str = "query_id", vector_col: str = "embedding", digits: int = 9) -> DataFrame:

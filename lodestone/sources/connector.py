@@ -79,7 +79,9 @@ class RemoteReader(DataSourceReader):
             return []  # another provider's rows are asked for
         return [Page(k) for k in range(self.pages)]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: Page | None) -> Iterator[tuple]:
+        if partition is None:  # there are no pages to read
+            return
         found = client_of(self.options).search(self.options["query"], offset=partition.number * self.size, limit=self.size, year=self.asked.get("year"))
         for place, raw in enumerate(found):
             if place >= self.size:
