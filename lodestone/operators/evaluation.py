@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import children, exists
+
 
 def relevant(qrels: DataFrame) -> DataFrame:
     return qrels.where("score > 0").select("query_id", "doc_id").distinct()
@@ -45,3 +49,23 @@ def latency(df: DataFrame, column: str) -> DataFrame:
 def compare(current: DataFrame, baseline: DataFrame, key: str = "metric") -> DataFrame:
     j = current.withColumnRenamed("value", "current").join(baseline.withColumnRenamed("value", "baseline"), key)
     return j.withColumn("delta", F.round(F.col("current") - F.col("baseline"), 6))
+
+
+def _baseline(folder: str, name: str) -> str:
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", name):
+        raise ValueError("names of baselines are letters, digits, dashes and underscores")
+    return f"{folder}/{name}"
+
+
+def save_baseline(run: DataFrame, name: str, folder: str) -> None:
+    """Keep an evaluation run under a name; one of the same name is replaced."""
+    run.write.mode("overwrite").json(_baseline(folder, name))
+
+
+def load_baseline(spark: SparkSession, name: str, folder: str) -> DataFrame | None:
+    path = _baseline(folder, name)
+    return spark.read.json(path) if exists(spark, f"{path}/_SUCCESS") else None
+
+
+def list_baselines(spark: SparkSession, folder: str) -> list[str]:
+    return [n for n in children(spark, folder) if exists(spark, f"{folder}/{n}/_SUCCESS")]

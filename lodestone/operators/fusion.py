@@ -179,6 +179,12 @@ def cross_rerank(df: DataFrame, score, cache: DataFrame | None = None, model: st
     return _rerank(scored.drop("cached", "cache_key"), F.desc("score"), F.col("rank")), fresh
 
 
+def store_scores(cache: DataFrame, fresh: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """The cache with new scores (cache_key, score) put in; a key that is there already gets the new score."""
+    new = fresh if as_of is None else fresh.withColumn("created_at", as_of)
+    return cache.join(new.select("cache_key"), "cache_key", "left_anti").unionByName(new, allowMissingColumns=True)
+
+
 def top(df: DataFrame, k: int) -> DataFrame:
     return df.where(F.col("rank") <= k)
 

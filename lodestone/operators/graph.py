@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CITED_DOI, MARKDOWN_LINK, WIKILINK, stable_id, strip
+from ..shared import store
 
 
 def file_node_id(path: Column) -> Column:
@@ -39,11 +40,13 @@ def page_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 def traverse(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_hops: int = 2, edge_types: list[str] | None = None, key: str = "query_id") -> DataFrame:
     """(key, node_id, hops): breadth first in both directions, each node once with its least number of hops.
 
-    Start ids that are no nodes are ignored. Every hop is one join of the frontier with the edges; visited nodes are
-    taken out before the next hop, so that a hub is expanded once.
+    Start ids that are no nodes are ignored. Edges are stored in both directions once, and every hop is one join of the
+    frontier with them, which is broadcast while it is small; visited nodes are taken out before the next hop, so that a
+    hub is expanded once.
     """
     e = edges if edge_types is None else edges.where(F.col("edge_type").isin(*edge_types))
     both = e.select(F.col("src_id").alias("u"), F.col("dst_id").alias("v")).unionByName(e.select(F.col("dst_id").alias("u"), F.col("src_id").alias("v"))).distinct()
+    both = store(both, "edges") if max_hops > 1 else both
     seen = starts.select(key, F.col("node_id")).distinct().join(nodes.select("node_id").distinct(), "node_id", "left_semi").select(key, "node_id", F.lit(0).alias("hops"))
     frontier = seen
     for hop in range(1, max_hops + 1):

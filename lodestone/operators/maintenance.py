@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,20 +154,27 @@ def stage_names(asked: list[str]) -> list[str]:
     return [x for x in known if x in wanted]
 
 
-def enrich(chunks: DataFrame, roots: DataFrame | None = None, texts: DataFrame | None = None, only: list[str] | None = None, skip: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """(chunks after the backfills that were asked for and can run, their names); one lazy plan over one scan."""
+def enrich(chunks: DataFrame, roots: DataFrame | None = None, texts: DataFrame | None = None, only: list[str] | None = None, skip: list[str] | None = None, models: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> tuple[DataFrame, list[str]]:
+    """(chunks after the backfills that were asked for and can run, their names); one lazy plan over one scan.
+
+    ``models`` gives steps that need a model or other tables (summaries, clusters, graph), from chunks to chunks. A stage that is
+    asked for by its own name and cannot run is an error; one that only an alias or "all" brought in is passed over.
+    """
     todo = [x for x in stage_names(only or ["all"]) if x not in stage_names(skip or [])]
     steps = {
         "simhash": lambda df: backfill_simhash(df) if "simhash" in df.columns else None,
         "defaults": backfill_defaults,
+        "node_type": lambda df: df if "defaults" in todo else backfill_defaults(df),  # the defaults set node types
         "tags": lambda df: backfill_tags(df, roots) if roots is not None and "root_tags" in df.columns else None,
         "positions": lambda df: backfill_positions(df, texts) if texts is not None and "start_char" in df.columns else None,
-    }
+    } | (models or {})
     done = []
     for name in todo:
         out = steps[name](chunks) if name in steps else None
         if out is not None:
             chunks, done = out, [*done, name]
+        elif name in (only or []):
+            raise ValueError(f"stage {name} cannot run: what it needs was not given")
     return chunks, done
 
 

@@ -93,3 +93,11 @@ def rerank_estimate(candidates: DataFrame, questions: DataFrame, k: int) -> Data
     chars = F.length("question") + F.greatest(F.lit(1), F.coalesce("n", F.lit(1))) + F.coalesce("chars", F.lit(0))  # with the line ends between
     tokens = F.when(chars == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(chars / 4))).cast("long")
     return questions.join(text, "query_id", "left").select("query_id", tokens.alias("input_tokens"), F.lit(max(50, 30 * k)).cast("long").alias("output_tokens"))
+
+
+def export_usage(usage: DataFrame, path: str) -> None:
+    """Write the calls as CSV files with a header: timestamp (ISO 8601), provider, model, kind, input_tokens, output_tokens,
+    cost (empty if unknown), in the order of time inside each file."""
+    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp")
+    columns = [stamp, "provider", "model", "kind", "input_tokens", "output_tokens", "cost"]
+    usage.sortWithinPartitions("timestamp").select(*columns).write.mode("overwrite").option("header", True).csv(path)

@@ -604,3 +604,4 @@ def hybrid_pipeline(t: Tables) -> DataFrame:
     return run.retrieve(queries).select("query_id", "cid", "rank")
 
 
+from . import evidence_queries  # noqa: E402, F401  (its SQL uses parts of this module)

@@ -389,7 +389,7 @@ def front_matter(t: Tables) -> DataFrame:
     return files.front_matter(t.documents.select("doc_id", raw.alias("text"))).select("doc_id", F.try_element_at("meta", F.lit("title")).alias("title"), "body")
 
 
-@query("SELECT doc_id, CAST(doc_id % 2 = 0 AS BOOLEAN) AS latin, length(text) + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS n FROM {documents}")
+@query("SELECT doc_id, (doc_id % 2 = 0 OR text LIKE '%é') AS latin, length(text) + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS n FROM {documents}")
 def decoded_texts(t: Tables) -> DataFrame:
     """UTF-8 texts as they are; bytes that are none, as Latin-1."""
     latin = F.concat(F.encode(F.regexp_replace("text", r"[^\x00-\x7f]", "e"), "UTF-8"), F.unhex(F.lit("E9")))
