@@ -6,8 +6,12 @@ item. A stretch of ``window`` words or more hits; an item with fewer words hits
 
 Words outside the items' vocabulary reset the automaton, so only runs of known words that could hold a window are
 streamed. The items are a stated query set, dealt into blocks of at most ``block_bytes`` of text. Their automata are
-built one after another and broadcast as flat arrays (some 60 bytes a word), and every block is one pass over the words
-of a batch, so that neither the driver nor a worker ever holds more than one block in the form it is built in.
+built one after another and broadcast as flat arrays (some 60 bytes a word). A worker holds one block at a time: it
+loads a block, streams what it has of a batch through it and lets it go before the next.
+
+Most documents hold no window of any item. A gate in front of the automata says which may: the hashes of all items'
+windows, as a bit table and a sorted array (some 12 bytes a word, all blocks together). Documents' windows are hashed the
+same way, in arrays, so none is missed; what the gate lets through the automata decide.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,30 +176,92 @@ def _blocks(items: Iterator[Item], most: int) -> Iterator[list[tuple[tuple[bool,
         yield block
 
 
-def _broadcast_automata(spark: SparkSession, benchmark: DataFrame, window: int, block_bytes: int, item_id_col: str, item_text_col: str) -> list:
+class WindowGate:
+    """Hashes of all windows of items (of whole shorter items), by number of words."""
+
+    def __init__(self, window: int):
+        self.window = window
+        self.hashes: dict[int, list[np.ndarray]] = {}
+        self.tables: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+
+    def add(self, words: list[bytes]) -> None:
+        data = np.frombuffer(b" ".join(words), np.uint8)
+        h, _ = K.words(data, np.array([0, len(data)]), K.ALNUM)
+        size = min(self.window, len(h))
+        self.hashes.setdefault(size, []).append(K.windows(h, size, size))
+
+    def close(self) -> WindowGate:
+        """Bit tables of at least 32 bits a window: one in 32 of other windows is looked up in the sorted array."""
+        for size, parts in self.hashes.items():
+            every = np.unique(np.concatenate(parts))
+            power = max(10, int(32 * len(every)).bit_length())
+            at = every >> np.uint64(64 - power)
+            bits = np.zeros(1 << (power - 3), np.uint8)
+            np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+            self.tables[size] = (64 - power, bits, every)
+        self.hashes = {}
+        return self
+
+    def look(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """For each text its number of words, and whether any of its windows is an item's by hash."""
+        counts, hit = np.zeros(len(column), np.int64), np.zeros(len(column), bool)
+        for lo, hi, data, offsets in K.text_slices(column):
+            h, first = K.words(data, offsets, K.ALNUM)
+            counts[lo:hi] = np.diff(first)
+            for size, (shift, bits, every) in self.tables.items():
+                w = K.windows(h, size, size)
+                at = w >> np.uint64(shift)
+                some = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+                place = np.minimum(np.searchsorted(every, w[some]), len(every) - 1)
+                some = some[every[place] == w[some]]
+                text = np.searchsorted(first, some, "right") - 1
+                hit[lo + text[some + size <= first[text + 1]]] = True
+        return counts, hit
+
+
+def _broadcast_automata(spark: SparkSession, benchmark: DataFrame, window: int, block_bytes: int, item_id_col: str, item_text_col: str) -> tuple[list, Broadcast]:
     """Items come to the driver in the order of their ids, one partition at a time; a null id is an item of its own."""
     rows = benchmark.select(F.col(item_id_col).isNull().alias("none"), F.coalesce(F.col(item_id_col).cast("string"), F.lit("null")).alias("id"), F.col(item_text_col).alias("text"))
     items = (((r[0], r[1]), r[2]) for r in rows.distinct().orderBy("none", "id", "text").toLocalIterator())
-    return [spark.sparkContext.broadcast(SuffixAutomaton(block, window)) for block in _blocks(items, block_bytes)]
-
-
-def _scan(text: bytes, shared: list) -> tuple[int, list[list[int]], list[str]]:
-    """Number of words, merged hit spans and the items' ids, sorted as strings."""
-    words = text.translate(_FOLD).split()
-    spans: list[tuple[int, int]] = []
-    found: set = set()
-    for block in shared:
+    gate, shared = WindowGate(window), []
+    for block in _blocks(items, block_bytes):
+        for _, words in block:
+            gate.add(words)
+        shared.append(spark.sparkContext.broadcast(SuffixAutomaton(block, window)))
+    return shared, spark.sparkContext.broadcast(gate.close())
+
+
+def _let_go(block: Broadcast) -> None:
+    """A task's copy of a broadcast value goes; it is read from the worker's disk again when it is next asked for."""
+    if block._path is not None:
+        block.__dict__.pop("_value", None)
+
+
+def _scan_batch(column: pa.Array, shared: list, gate: WindowGate) -> list[tuple[int, list[list[int]], list[str]]]:
+    """For each text its number of words, merged hit spans and the items' ids, sorted as strings."""
+    counts, hit = gate.look(column)
+    suspects = np.flatnonzero(hit).tolist()
+    spans: dict[int, list] = {k: [] for k in suspects}
+    found: dict[int, set] = {k: set() for k in suspects}
+    for block in shared if suspects else ():
         automaton = block.value
-        s, f = automaton.scan(words)
-        spans += s
-        found.update(automaton.item_ids[k] for k in f)
-    merged: list[list[int]] = []
-    for a, b in sorted(spans):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
-        else:
-            merged.append([a, b])
-    return len(words), merged, sorted(name for _, name in found)
+        for k in suspects:
+            s, f = automaton.scan(column[k].as_buffer().to_pybytes().translate(_FOLD).split())
+            spans[k] += s
+            found[k].update(automaton.item_ids[x] for x in f)
+        if len(shared) > 1:
+            del automaton
+            _let_go(block)
+    out: list[tuple[int, list[list[int]], list[str]]] = [(n, [], []) for n in counts.tolist()]
+    for k in suspects:
+        merged: list[list[int]] = []
+        for a, b in sorted(spans[k]):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        out[k] = (out[k][0], merged, sorted(name for _, name in found[k]))
+    return out
 
 
 def _contaminated(n_hit: int, n_words: int, share: float) -> bool:
@@ -203,15 +270,13 @@ def _contaminated(n_hit: int, n_words: int, share: float) -> bool:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated (see find_contamination), all columns unchanged; no shuffle."""
-    shared = _broadcast_automata(docs.sparkSession, benchmark, window, block_bytes, item_id_col, item_text_col)
+    shared, gate = _broadcast_automata(docs.sparkSession, benchmark, window, block_bytes, item_id_col, item_text_col)
     at = docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for text in batch.column(at):
-                n_words, spans, _ = _scan(text.as_buffer().to_pybytes() if text.is_valid else b"", shared)
-                keep.append(not _contaminated(sum(b - a for a, b in spans), n_words, share))
+            found = _scan_batch(batch.column(at), shared, gate.value)
+            keep = [not _contaminated(sum(b - a for a, b in spans), n_words, share) for n_words, spans, _ in found]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return K.map_batches(docs, clean, docs.schema)
@@ -227,14 +292,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     columns are ignored; an empty table gives an empty result. The items (not the documents) pass through the driver, in
     blocks of at most ``block_bytes`` of text (a longer item makes a larger one).
     """
-    shared = _broadcast_automata(docs.sparkSession, benchmark, window, block_bytes, item_id_col, item_text_col)
+    shared, gate = _broadcast_automata(docs.sparkSession, benchmark, window, block_bytes, item_id_col, item_text_col)
     names = ["doc_id", "n_words", "n_hit", "item_ids", "hit_spans", "contaminated"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for text in batch.column(1):
-                n_words, merged, found = _scan(text.as_buffer().to_pybytes() if text.is_valid else b"", shared)
+            for n_words, merged, found in _scan_batch(batch.column(1), shared, gate.value):
                 n_hit = sum(b - a for a, b in merged)
                 for col, value in zip(out, (n_words, n_hit, found, merged, _contaminated(n_hit, n_words, share))):
                     col.append(value)

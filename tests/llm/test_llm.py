@@ -281,6 +281,59 @@ def test_automaton():
             assert (sum(b - a for a, b in spans), sha(",".join(sorted(auto.item_ids[k] for k in found)))) == (want[2], want[4])
 
 
+class Loaded:
+    """A broadcast block as a worker has it: read from disk when it is asked for."""
+
+    held = most = reads = 0
+
+    def __init__(self, made):
+        self._path, self.made = "block", made
+
+    @property
+    def value(self):
+        if "_value" not in self.__dict__:
+            self.__dict__["_value"] = self.made
+            Loaded.reads += 1
+        Loaded.held = sum("_value" in b.__dict__ for b in Loaded.every)
+        Loaded.most = max(Loaded.most, Loaded.held)
+        return self.made
+
+
+@pytest.mark.parametrize("n_blocks", [1, 3, 12])
+def test_blocks_are_held_one_at_a_time(n_blocks):
+    """Whatever the number of blocks, a worker holds one; texts that the gate stops load none."""
+    rng = random.Random(n_blocks)
+    items = [(k, " ".join(passage(rng, rng.choice((3, 13, 40)), 500))) for k in range(24)]
+    words = [((False, str(k)), decontaminate.item_words(t)) for k, t in items]
+    gate = decontaminate.WindowGate(13)
+    for _, w in words:
+        gate.add(w)
+    gate.close()
+    Loaded.every = [Loaded(decontaminate.SuffixAutomaton(words[k::n_blocks], 13)) for k in range(n_blocks)]
+    Loaded.most = Loaded.reads = 0
+    clean = pa.array([" ".join(passage(rng, 300, 10**6)) for _ in range(20)])
+    assert [x[1:] for x in decontaminate._scan_batch(clean, Loaded.every, gate)] == [([], [])] * 20 and Loaded.reads == 0
+    docs = [(k, " ".join(passage(rng, 50, 10**6)) + " " + items[k % 24][1] + (" Ünï x" if k % 2 else "")) for k in range(40)] + [(40, None), (41, ""), (42, items[0][1][:-1])]
+    got = decontaminate._scan_batch(pa.array([t for _, t in docs]), Loaded.every, gate)
+    want = decontaminate.brute_force(docs, items)
+    assert [(n, sum(b - a for a, b in spans), sha(",".join(names))) for n, spans, names in got] == [(w[1], w[2], w[4]) for w in want]
+    assert Loaded.most == 1 and Loaded.reads == n_blocks
+
+
+def test_gate_misses_no_window():
+    rng = random.Random(8)
+    for _ in range(200):
+        window = rng.choice([2, 3, 5])
+        items = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randint(1, 8)))) for i in range(rng.randint(0, 4))]
+        docs = [(i, rng.choice(["", " ", "a-"]).join(rng.choice("aBcdef") for _ in range(rng.randint(0, 20)))) for i in range(8)]
+        gate = decontaminate.WindowGate(window)
+        for _, t in items:
+            gate.add(decontaminate.item_words(t))
+        counts, hit = gate.close().look(pa.array([t for _, t in docs]))
+        want = decontaminate.brute_force(docs, items, window)
+        assert counts.tolist() == [w[1] for w in want] and hit.tolist() == [w[2] > 0 for w in want]
+
+
 def test_op5_query(spark):
     bench = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     assert sorted(map(tuple, Q.op5_decontaminate(spark, SF).collect())) == sorted(decontaminate.brute_force(docs_of(spark), bench))
