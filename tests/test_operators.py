@@ -256,3 +256,60 @@ def test_stream(spark, tmp_path):
     after, entries = ingest_batch(listing, manifest, chunks, F.current_timestamp())
     assert sorted((r["text"], r["is_current"]) for r in after.collect()) == [("new text", True), ("old", False)]
     assert {r["source_path"]: r["version"] for r in entries.collect()} == {"/a": 3, "/b": 1}
+
+
+def test_exact_quantiles(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    for n in (1, 2, 7, 3000):
+        xs = [rng.choice((0.0, 1.5, rng.gauss(0, 10))) for _ in range(n)]
+        df = spark.createDataFrame([(x,) for x in [*xs, None]], "x double").repartition(3)
+        got = evaluation.exact_quantiles(df, "x", [0.0, 0.37, 0.5, 0.99, 1.0], accuracy=100)
+        assert all(abs(v - np.quantile(xs, q)) < 1e-9 for q, v in got.items()), (n, got)
+    assert evaluation.exact_quantiles(df.limit(0), "x", [0.5]) == {0.5: None}
+
+
+def test_baselines_and_usage_export(spark):
+    from lodestone.shared import fresh_path
+
+    folder = fresh_path(spark, "baselines")
+    run = spark.createDataFrame([("recall_at_10", 0.5), ("mrr", 0.25)], "metric string, value double")
+    assert evaluation.list_baselines(spark, folder) == [] and evaluation.load_baseline(spark, "a", folder) is None
+    evaluation.save_baseline(run, "a-1", folder)
+    evaluation.save_baseline(run.where("metric = 'mrr'"), "a-1", folder)
+    evaluation.save_baseline(run, "b", folder)
+    assert evaluation.list_baselines(spark, folder) == ["a-1", "b"]
+    assert [tuple(r) for r in evaluation.load_baseline(spark, "a-1", folder).select("metric", "value").collect()] == [("mrr", 0.25)]
+    with pytest.raises(ValueError):
+        evaluation.save_baseline(run, "../x", folder)
+    usage = spark.sql("SELECT TIMESTAMP '2024-01-02 03:04:05.5' AS timestamp, 'p,q' AS provider, 'm' AS model, 'chat' AS kind, 3 AS input_tokens, 4 AS output_tokens, CAST(NULL AS DOUBLE) AS cost")
+    path = fresh_path(spark, "usage")
+    stats.export_usage(usage, path)
+    lines = [r["value"] for r in spark.read.text(path).collect()]
+    assert lines == ["timestamp,provider,model,kind,input_tokens,output_tokens,cost", '2024-01-02T03:04:05.500000Z,"p,q",m,chat,3,4,']
+
+
+def test_enrichment_stages(spark):
+    chunks = spark.createDataFrame([("c", None, None, None)], "chunk_id string, version int, is_current boolean, node_type string")
+    out, done = maintenance.enrich(chunks)
+    assert done == ["defaults", "node_type"] and out.first()["node_type"] == "chunk"
+    out, done = maintenance.enrich(chunks, only=["summaries"], models={"summaries": lambda df: df.withColumn("summary", F.lit("s"))})
+    assert done == ["summaries"] and out.first()["summary"] == "s"
+    for name in ("summaries", "clusters", "graph", "tags"):
+        with pytest.raises(ValueError, match=name):
+            maintenance.enrich(chunks, only=[name])
+
+
+def test_file_metadata(spark, tmp_path):
+    from lodestone.sources import files
+
+    (tmp_path / "A.TXT").write_text("abc")
+    r = files.file_metadata(spark, [f"{tmp_path}/A.TXT"]).first()
+    assert (r["size_bytes"], r["ext"]) == (3, ".txt") and r["path"].endswith("/A.TXT") and "T" in r["mtime_iso"]
+    with pytest.raises(Exception):
+        files.file_metadata(spark, [f"{tmp_path}/none"]).collect()
+    with pytest.raises(ValueError):
+        files.file_metadata(spark, [" "])
