@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import fusion, graph, maintenance, mutations
 from ..sources import files
-from .queries import _bonus, _tokens
+from . import pipeline
+from .queries import _bonus, _tokens, corpus_chunks
 from .registry import Tables, query
 
 _POOL = f"""
@@ -97,3 +98,35 @@ def enriched_files(t: Tables) -> DataFrame:
     """Stages by name: node types alone."""
     out, done = maintenance.enrich(t.chunks, only=["node_type"])
     return out.where(F.lit(done == ["node_type"])).groupBy("source_path").agg(F.count("*").alias("n"), F.count(F.when(F.col("node_type") == "chunk", 1)).alias("plain"))
+
+
+_HYBRID = f"""
+  corpus AS (SELECT c.chunk_id AS cid, c.text, c.source_path, e.embedding FROM {{chunks}} c JOIN {{embeddings}} e ON e.vec_id = c.doc_id % (SELECT count(*) FROM {{embeddings}}) WHERE coalesce(c.is_current, true)),
+  asked AS (SELECT b.item_id AS query_id, b.text AS query, e.embedding, {_tokens('b.text')} AS q FROM {{benchmark}} b JOIN {{embeddings}} e ON e.vec_id = b.item_id),
+  near AS (SELECT query_id, cid, row_number() OVER (PARTITION BY query_id ORDER BY d, cid) AS rank FROM (
+    SELECT a.query_id, c.cid, round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) AS d FROM asked a, corpus c)),
+  words AS (SELECT cid, source_path, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS whole, {_tokens('text')} AS p FROM corpus WHERE cid IN (SELECT cid FROM near WHERE rank <= 100)),
+  pool AS (SELECT n.query_id, n.cid, n.rank, w.source_path, w.whole, a.q, w.p, array_to_string(w.p, ' ') AS joined FROM near n JOIN words w USING (cid) JOIN asked a USING (query_id) WHERE n.rank <= 100),
+  scored AS (SELECT query_id, cid, rank, source_path, whole, CASE WHEN len(q) = 0 OR len(p) = 0 THEN 0 ELSE round(len(list_intersect(q, p)) / len(list_distinct(q)) + {_bonus(4)} + {_bonus(3)} + {_bonus(2)}, 9) END AS score FROM pool),
+  once AS (SELECT *, row_number() OVER (PARTITION BY query_id, whole ORDER BY rank) AS n FROM scored WHERE whole <> ''),
+  best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS r FROM once WHERE n = 1),
+  capped AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_path ORDER BY r) AS m FROM best WHERE r <= 36),
+  dense AS (SELECT query_id, cid, row_number() OVER (PARTITION BY query_id ORDER BY r) AS dense_rank FROM capped WHERE m <= 2),
+  tokens AS (SELECT cid, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM corpus),
+  totals AS (SELECT count(*) AS n_docs, avg(len(ts)) AS mean FROM tokens),
+  terms AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM asked),
+  post AS (SELECT cid, len(ts) AS length, term, count(*) AS tf FROM (SELECT cid, ts, unnest(ts) AS term FROM tokens) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
+  held AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+  text_scored AS (SELECT query_id, cid, round(sum(greatest(1e-6, ln((n_docs - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM post JOIN held USING (term) JOIN terms USING (term), totals GROUP BY query_id, cid),
+  sparse AS (SELECT query_id, cid, sparse_rank FROM (SELECT query_id, cid, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cid) AS sparse_rank FROM text_scored) WHERE sparse_rank <= 100),
+  both_lists AS (SELECT query_id, cid, dense_rank, sparse_rank FROM dense FULL JOIN sparse USING (query_id, cid)),
+  sizes AS (SELECT query_id, count(dense_rank) + 1 AS nd, count(sparse_rank) + 1 AS ns FROM both_lists GROUP BY query_id),
+  fused AS (SELECT x.*, round(0.7 / (60 + coalesce(dense_rank, nd)) + 0.3 / (60 + coalesce(sparse_rank, ns)), 9) AS fused_score FROM both_lists x JOIN sizes USING (query_id))"""
+
+
+@query(f"""WITH {_HYBRID}
+SELECT query_id, cid, CAST(rank AS INT) AS rank FROM (SELECT query_id, cid, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST) AS rank FROM fused) WHERE rank <= 10""")
+def hybrid_ranking(t: Tables) -> DataFrame:
+    """The default profile end to end without near-duplicate removal, which hybrid_pipeline has besides."""
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).join(t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+    return pipeline.Pipeline(corpus_chunks(t), pipeline.Config(k=10, dedup_threshold=None)).retrieve(asked).select("query_id", "cid", "rank")
