@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import fusion, graph, maintenance, mutations
+from ..shared import fresh_path
 from ..sources import files
 from . import pipeline
 from .queries import _bonus, _tokens, corpus_chunks
@@ -130,3 +131,54 @@ def hybrid_ranking(t: Tables) -> DataFrame:
     """The default profile end to end without near-duplicate removal, which hybrid_pipeline has besides."""
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).join(t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
     return pipeline.Pipeline(corpus_chunks(t), pipeline.Config(k=10, dedup_threshold=None)).retrieve(asked).select("query_id", "cid", "rank")
+
+
+def _profile_sql(vector: str, order: str, most: int = 36) -> str:
+    """Ranks of a profile over the vectors as chunks: search by ``vector`` of query q, two a file, then ``order``."""
+    return f"""WITH b AS (SELECT q.vec_id AS query_id, e.vec_id AS v, 'v' || CAST(e.vec_id AS STRING) AS cid, 's' || CAST(e.vec_id % 40 AS STRING) AS p,
+    round(1 - list_cosine_similarity({vector}, CAST(e.embedding AS DOUBLE[])), 9) AS d FROM {{embeddings}} q, {{embeddings}} e WHERE q.vec_id % 20 = 0),
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, cid) AS r FROM b), t AS (SELECT * FROM k WHERE r <= {most}), c AS (SELECT *, row_number() OVER (PARTITION BY query_id, p ORDER BY r) AS m FROM t),
+  l AS (SELECT query_id, v, cid, row_number() OVER (PARTITION BY query_id ORDER BY r) AS was FROM c WHERE m <= 2)
+SELECT query_id, cid, CAST(rank AS INT) AS rank FROM (SELECT query_id, cid, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS rank FROM l) WHERE rank <= 10"""
+
+
+def _profile(t: Tables, name: str, models: pipeline.Models) -> DataFrame:
+    v = F.col("vec_id")
+    rows = t.embeddings.select(F.concat(F.lit("v"), v).alias("chunk_id"), F.concat(F.lit("t"), v).alias("text"), F.concat(F.lit("s"), v % 40).alias("source_path"), F.lit(True).alias("is_current"), "embedding")
+    queries = t.embeddings.where("vec_id % 20 = 0").select(v.alias("query_id"), F.lit("absent").alias("query"), "embedding")
+    return pipeline.Pipeline(rows, pipeline.Config(name, k=10, dedup_threshold=None), models).retrieve(queries).select("query_id", "cid", "rank")
+
+
+_OWN = "CAST(q.embedding AS DOUBLE[])"
+
+
+@query(_profile_sql(_OWN, "v % 13 DESC, was"))
+def cross_rerank_profile(t: Tables) -> DataFrame:
+    """Dense candidates in the order of an injected pair scorer, equal scores as they were."""
+    return _profile(t, "dense_cross_rerank", pipeline.Models(cross_score=lambda queries, texts: [float(int(x[1:]) % 13) for x in texts]))
+
+
+@query(_profile_sql(_OWN, "CASE was WHEN 4 THEN 1 WHEN 2 THEN 2 WHEN 7 THEN 3 ELSE 3 + was END"))
+def model_ranked_profile(t: Tables) -> DataFrame:
+    """An injected model names three candidates by their places, one twice and one that is not there; the rest follow."""
+    named = lambda local: local.select("query_id").distinct().withColumn("indices", F.lit([3, 1, 3, 99, 6]))
+    return _profile(t, "llm_rerank", pipeline.Models(rank=named))
+
+
+@query(_profile_sql("list_transform(list_zip(q.embedding, (SELECT h.embedding FROM {embeddings} h WHERE h.vec_id = q.vec_id + 1)), lambda x: (x[1]::DOUBLE + x[2]::DOUBLE) / 2)", "was"))
+def hypothetical_profile(t: Tables) -> DataFrame:
+    """The query's vector and that of an injected hypothetical document, pooled."""
+    made = t.embeddings.select((F.col("vec_id") - 1).alias("query_id"), "embedding")
+    return _profile(t, "hyde_hybrid", pipeline.Models(hypothetical=lambda queries: made.join(queries.select("query_id"), "query_id", "left_semi")))
+
+
+@query("""SELECT source, count(*) AS files, CAST(sum(n) AS BIGINT) AS bytes FROM (SELECT source, CAST(doc_id % 4 AS INT) AS part, sum(strlen(replace(replace(text, chr(10), ' '), chr(13), ' ')) + 1) AS n FROM {documents} WHERE doc_id % 4 <> 3 GROUP BY ALL) GROUP BY source""")
+def scanned_files(t: Tables) -> DataFrame:
+    """Documents written as text files in nested folders, one of which is left out of the scan."""
+    folder = fresh_path(t.spark, "scan")
+    line = F.regexp_replace("text", "[\n\r]", " ")
+    rows = t.documents.select("source", (F.col("doc_id") % 4).cast("int").alias("part"), line.alias("value"))
+    rows.repartition(8, "source", "part").write.partitionBy("source", "part").text(folder)
+    found = files.scan_files(t.spark, [folder], extensions=(".txt",), exclude_dirs=("part=3",))
+    each = found.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "size")
+    return each.groupBy("source").agg(F.count("*").alias("files"), F.sum("size").cast("long").alias("bytes"))
