@@ -5,25 +5,12 @@ from __future__ import annotations
 import atexit
 import contextlib
 import contextvars
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``. Only a local session may do without the setting: it
-    gets a temporary folder. On a cluster that would be a folder of each machine's own, so there it is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+from ..shared import discard, shared_dir
 
 
 #: Scratch paths of the stage that runs in this context, and of the last stage of each pipeline.
@@ -69,12 +56,3 @@ def release(*stored: DataFrame) -> None:
     """Delete materialized tables that nothing will read any more."""
     for df in stored:
         discard(df.sparkSession, df._scratch_path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the JVM may have ended first; the folder belongs to the cluster's scratch space
-        pass
