@@ -17,6 +17,7 @@ from lodestone.plans.multi_hop import iterative_hops
 from lodestone.plans.pipeline import Config, Pipeline
 from lodestone.shared import exists, fresh_path
 from lodestone.sources import connector, docx
+from lodestone.sources.parsing import parse_files
 
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
@@ -245,3 +246,23 @@ def test_recall_of_the_tables(spark, sf):
     index = VectorIndex.build(vectors, fresh_path(spark, "vector-index-recall"), id_col="vec_id")
     shares = [r["recall"] for r in recall(index.search(queries, 10), retrieval.knn(vectors, queries, 10, id_col="vec_id")).collect()]
     assert sum(shares) / len(shares) >= 0.9
+
+
+def test_parse_files(spark):
+    files = [
+        ("/a.DOCX", ".DOCX", word(para("Head", "Heading 1") + para("x"))),
+        ("/b.docx", ".docx", b"no"),
+        ("/c.html", ".html", "<title>T</title><meta name='author' content=''><h2>Hé</h2><p>p</p>".encode()),
+        ("/d.md", ".md", b"---\ntitle: X\nempty:\n---\n\nbody\n"),
+        ("/e.md", ".md", b"plain"),
+        ("/f.txt", ".txt", b"caf\xe9"),
+        ("/g.xyz", ".xyz", "ü".encode()),
+        ("/h.txt", ".txt", None),
+        ("/i.pdf", ".pdf", b"%PDF"),
+        ("/j", None, b"bare"),
+    ]
+    got = {r["path"]: r for r in parse_files(spark.createDataFrame(files, "path string, ext string, content binary")).collect()}
+    text = {k: r["text"].strip() for k, r in got.items()}
+    assert text == {"/a.DOCX": "# Head\nx", "/b.docx": "", "/c.html": "## Hé\n\np", "/d.md": "body", "/e.md": "plain", "/f.txt": "café", "/g.xyz": "ü", "/h.txt": "", "/i.pdf": "", "/j": "bare"}
+    assert got["/c.html"]["metadata"] == {"title": "T"} and got["/d.md"]["metadata"] == {"title": "X"}
+    assert {k for k, r in got.items() if r["error"]} == {"/b.docx", "/i.pdf"}
