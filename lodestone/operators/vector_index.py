@@ -150,7 +150,10 @@ class VectorIndex:
         return rows.mapInArrow(run, f"cid {types['cid']}, code binary, v {types['v']}, angle double, list int")
 
     def add(self, vectors: DataFrame, id_col: str = "cid", vector_col: str = "embedding") -> VectorIndex:
-        """Put further rows (of new ids) into the lists; centroids and codebooks stay. The index as it is then."""
+        """Put further rows (of new ids) into the lists; centroids and codebooks stay. The index as it is then. One that was
+        built of no vectors has no lists to put them into: an error."""
+        if not len(self.lists):
+            raise ValueError("the index was built without vectors; build it anew")
         rows = vectors.select(F.col(id_col).alias("cid"), F.col(vector_col).alias("v")).where("v IS NOT NULL AND size(v) > 0")
         of_all = np.zeros((int(self.lists.max()) + 1, self.centroids.shape[1]))
         of_all[self.lists] = self.centroids

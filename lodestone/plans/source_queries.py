@@ -14,6 +14,7 @@ from ..functions.text import strip
 from ..operators import language, migration
 from ..shared import fresh_path
 from ..sources.docx import parse_docx
+from ..sources.parsing import parse_files
 from .registry import Tables, query
 
 _ODD = "doc_id % 2 = 1"
@@ -75,3 +76,28 @@ def migrated_orders(t: Tables) -> DataFrame:
     again = migration.Migration(source, path, "o_orderkey", ranges=9)  # the ranges of the first run hold
     again.run()
     return again.table()
+
+
+@query(r"""WITH x AS (SELECT doc_id, text, regexp_replace(text, '[\x00-\x09\x0b-\x1f]+', ' ', 'g') AS clean FROM {documents})
+SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN regexp_replace(text, '^\s+|\s+$', '', 'g')
+    ELSE '## Doc ' || doc_id || coalesce(chr(10) || nullif(array_to_string(list_filter(string_split(clean, chr(10)), lambda s: s <> ''), chr(10)), ''), '') END) AS digest,
+  CASE doc_id % 3 WHEN 1 THEN 'T ' || doc_id WHEN 2 THEN 'A' || doc_id END AS named FROM x""")
+def parsed_files(t: Tables) -> DataFrame:
+    """Whole documents as text, as Markdown under front matter and as Word files of their lines, told apart by extension."""
+    d = F.col("doc_id")
+    clean = F.regexp_replace("text", r"[\x00-\x09\x0b-\x1f]+", " ")
+    head = F.concat(F.lit("---\ntitle: T "), d.cast("string"), F.lit("\nnone:\n---\n\n"))
+    plain = t.documents.where("doc_id % 3 < 2").select(
+        d.cast("string").alias("path"),
+        F.when(d % 3 == 0, ".txt").otherwise(".md").alias("ext"),
+        F.encode(F.when(d % 3 == 0, F.col("text")).otherwise(F.concat(head, "text")), "UTF-8").alias("content"),
+    )
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"path": b["doc_id"].astype(str), "ext": ".docx", "content": [_word_file(f"Doc {i}", f"A{i}", x.split("\n")) for i, x in zip(b["doc_id"], b["clean"])]})
+
+    word = t.documents.where("doc_id % 3 = 2").select("doc_id", clean.alias("clean")).mapInPandas(write, "path string, ext string, content binary")
+    found = parse_files(plain.unionByName(word))
+    named = F.coalesce(F.try_element_at("metadata", F.lit("title")), F.try_element_at("metadata", F.lit("author")))
+    return found.select(F.col("path").cast("long").alias("doc_id"), F.md5("text").alias("digest"), named.alias("named"))

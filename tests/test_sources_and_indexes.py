@@ -237,6 +237,8 @@ def test_vector_index(spark):
         VectorIndex.build(df, path)
     empty = VectorIndex.build(df.limit(0), fresh_path(spark, "vector-index-empty"))
     assert empty.search(queries, 3).count() == 0
+    with pytest.raises(ValueError):
+        empty.add(df)
 
 
 @pytest.mark.parametrize("sf", ["0.001", "0.01"])
