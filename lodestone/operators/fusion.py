@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import minhash_table
 from ..functions.text import heading_prefix, lexical_score, tokenize
-from ..shared import store
 
 
 def rrf(dense: DataFrame, sparse: DataFrame, dense_weight: float = 0.7, sparse_weight: float = 0.3, constant: int = 60, digits: int = 9) -> DataFrame:
@@ -110,51 +108,26 @@ def ranking_response(ranking: DataFrame, df: DataFrame, k: int) -> DataFrame:
     return _rerank(j, F.asc_nulls_last("order"), F.col("rank")).drop("order").where(F.col("rank") <= k)
 
 
-def _band(signature: str, band: int, bands: int, permutations: int) -> Column:
-    first, last = band * permutations // bands, (band + 1) * permutations // bands
-    return F.xxhash64(F.lit(band), F.substring(signature, 4 * first + 1, 4 * (last - first)))
-
-
-def near_pairs(signed: DataFrame, threshold: float, permutations: int) -> DataFrame:
-    """(query_id, early, late): cids of a query whose signatures (bytes of 32-bit slots) agree in ``threshold`` of the slots,
-    in rank order. A pair that agrees so far differs in so few slots that of one band more than these at least one is
-    equal: pairs meet by an equality join on the bands, and none is missed."""
-    least = math.ceil(threshold * permutations - 1e-9)
-    bands = min(permutations, permutations - least + 1)
-    each = signed.select("query_id", "cid", "rank", F.explode(F.array(*[_band("__sig", k, bands, permutations) for k in range(bands)])).alias("band"))
-    other = each.select("query_id", "band", F.col("cid").alias("late"), F.col("rank").alias("late_rank"))
-    met = each.withColumnRenamed("cid", "early").join(other, ["query_id", "band"]).where(F.struct("rank", "early") < F.struct("late_rank", "late")).select("query_id", "early", "late").distinct()
-    of = lambda name: signed.select("query_id", F.col("cid").alias(name), F.col("__sig").alias(f"sig_{name}"))
-    both = met.join(of("early"), ["query_id", "early"]).join(of("late"), ["query_id", "late"])
-    slot = lambda c, i: F.substr(F.col(c), i * 4 + 1, F.lit(4))
-    equal = F.aggregate(F.sequence(F.lit(0), F.lit(permutations - 1)), F.lit(0), lambda n, i: n + (slot("sig_early", i) == slot("sig_late", i)).cast("int"))
-    return both.where(equal >= least).select("query_id", "early", "late")
-
-
 def drop_near_repeats(df: DataFrame, threshold: float = 0.8, permutations: int = 128, text_col: str = "text") -> DataFrame:
-    """Greedy in rank order: a candidate stays if it is no near duplicate of any that stayed.
-
-    Of equal signatures only the first can stay. Of the others, pairs of near duplicates are found by bands (near_pairs),
-    and only these pairs, not the candidates, are gone through in order, a query at a time.
-    """
+    """Greedy in rank order: a candidate stays if it is no near duplicate of any that stayed (one query's pool at a time)."""
     # A text is signed once, however many queries found it.
     signatures = minhash_table(df.select("cid", text_col).dropDuplicates(["cid"]), "cid", permutations, text_col).withColumnRenamed("signature", "__sig")
-    signed = df.select("query_id", "cid", "rank").join(signatures, "cid")
-    first = signed.groupBy("query_id", "__sig").agg(F.min(F.struct("rank", "cid")).alias("f"))
-    first = store(first.select("query_id", "f.cid", "f.rank", "__sig"), "first-of-equals")
-    types = dict(first.dtypes)
-    pairs = near_pairs(first, threshold, permutations).join(first.select("query_id", F.col("cid").alias("late"), "rank"), ["query_id", "late"])
-
-    def lose(near: pd.DataFrame) -> pd.DataFrame:
-        gone: set = set()
-        for late, own in near.sort_values(["rank", "late"]).groupby("late", sort=False):
-            if not gone.issuperset(own["early"]):
-                gone.add(late)
-        return pd.DataFrame({"query_id": near["query_id"].iloc[0], "cid": list(gone)})
-
-    lost = pairs.groupBy("query_id").applyInPandas(lose, f"query_id {types['query_id']}, cid {types['cid']}")
-    kept = first.select("query_id", "cid").join(lost, ["query_id", "cid"], "left_anti")
-    return _rerank(df.join(kept, ["query_id", "cid"], "left_semi"), F.col("rank"))
+    signed = df.join(signatures, "cid").select(*df.columns, "__sig")
+    columns = signed.columns
+
+    def pick(pool: pd.DataFrame) -> pd.DataFrame:
+        pool = pool.sort_values("rank")
+        kept, n, keep = np.empty((len(pool), permutations), "<u4"), 0, []
+        for sig in (np.frombuffer(x, "<u4") for x in pool["__sig"]):
+            stays = not ((kept[:n] == sig).mean(axis=1) >= threshold).any()
+            keep.append(stays)
+            if stays:
+                kept[n] = sig
+                n += 1
+        return pool[np.array(keep, bool)].drop(columns="__sig")
+
+    out = signed.groupBy("query_id").applyInPandas(pick, signed.drop("__sig").schema)
+    return _rerank(out.select(*[c for c in columns if c != "__sig"]), F.col("rank"))
 
 
 def mmr(df: DataFrame, trade_off: float = 0.7, k: int = 10, query_vector: str = "query_vector", vector_col: str = "embedding") -> DataFrame:
