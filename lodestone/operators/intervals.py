@@ -26,16 +26,35 @@ def _blocks(start: Column, end: Column, levels: int) -> Column:
     return F.array_compact(F.array(*each))
 
 
-def stab(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str) -> DataFrame:
-    """All columns of ``points`` and those of ``spans`` but ``by``, for each span [start, end) that holds the point's
-    offset. Names other than ``by`` must differ. Points and spans without an offset, or with one below 0, meet nothing."""
+def _keyed(points: DataFrame, spans: DataFrame, at: str, start: str, end: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with __b, a row for each block that a point stands in and that a span is made of."""
     # As many block sizes as the longest span asks for: one row reaches the driver.
     longest = spans.agg(F.max(end)).first()[0]
     levels = min(LEVELS, max(1, int(longest or 0).bit_length() + 1))
     cut = spans.where((F.col(start) >= 0) & (F.col(start) < F.col(end))).withColumn("__b", F.explode(_blocks(F.col(start).cast("long"), F.col(end).cast("long"), levels)))
     stands = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.col(at).cast("long"), k).alias("block")) for k in range(levels)])
-    seen = points.where(F.col(at) >= 0).withColumn("__b", F.explode(stands))
-    return seen.join(cut, [*by, "__b"]).drop("__b")
+    return points.where(F.col(at) >= 0).withColumn("__b", F.explode(stands)), cut
+
+
+def stab(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str) -> DataFrame:
+    """All columns of ``points`` and those of ``spans`` but ``by``, for each span [start, end) that holds the point's
+    offset. Names other than ``by`` must differ. Points and spans without an offset, or with one below 0, meet nothing."""
+    seen, cut = _keyed(points, spans, at, start, end)
+    # Sizes are estimated without the blocks of a span, so a broadcast of them would be many times what it seems.
+    return seen.join(cut.hint("merge"), [*by, "__b"]).drop("__b")
+
+
+def stab_totals(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str, point_value: str, span_value: str) -> DataFrame:
+    """(by, pairs, checksum, deepest): of the pairs of ``stab`` their number, the sum of ``point_value`` times
+    ``span_value``, and the greatest distance of a point from its span's start.
+
+    Pairs are not made. Points of one place are one row, and so are the spans of a block, whose sums hold for every point
+    in it: rows grow with the places and the blocks, while pairs grow with the product of points and spans."""
+    places = points.groupBy(*by, F.col(at).alias("__at")).agg(F.count("*").alias("__n"), F.sum(point_value).alias("__v"))
+    seen, cut = _keyed(places, spans, "__at", start, end)
+    blocks = cut.groupBy(*by, "__b").agg(F.count("*").alias("__m"), F.sum(span_value).alias("__w"), F.min(start).alias("__from"))
+    met = seen.join(blocks.hint("merge"), [*by, "__b"])
+    return met.groupBy(*by).agg(F.sum(F.col("__n") * F.col("__m")).alias("pairs"), F.sum(F.col("__v") * F.col("__w")).alias("checksum"), F.max(F.col("__at") - F.col("__from")).alias("deepest"))
 
 
 def enclosing_headings(chunks: DataFrame, tree: DataFrame, id_col: str = "chunk_id", path_col: str = "source_path", at: str = "start_char") -> DataFrame:

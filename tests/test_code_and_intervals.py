@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import code_structure, intervals, structure
 from lodestone.shared import store
@@ -123,6 +124,26 @@ def test_stab(spark):
     assert intervals.stab(spark.createDataFrame(points, "file string, p int, at int"), empty, ["file"], "at", "lo", "hi").count() == 0
 
 
+def test_stab_totals(spark):
+    rng = random.Random(9)
+    spans = [(f"f{rng.randint(0, 2)}", rng.choice([None, rng.randint(1, 9)]), s := rng.randint(0, 300), s + rng.choice([0, 1, 7, 64, 300])) for _ in range(150)] + [("f1", 1, None, 5), ("f1", 2, -3, 5), (None, 3, 0, 9)]
+    points = [(f"f{rng.randint(0, 2)}", rng.choice([None, rng.randint(1, 9)]), rng.randint(0, 60)) for _ in range(300)] + [("f0", 1, None), ("f0", 1, -1), (None, 2, 1)]
+    p, s = spark.createDataFrame(points, "file string, v long, at long"), spark.createDataFrame(spans, "file string, w long, lo long, hi long")
+    pairs = intervals.stab(p, s, ["file"], "at", "lo", "hi")
+    want = {r["file"]: r[1:] for r in pairs.groupBy("file").agg(F.count("*"), F.sum(F.col("v") * F.col("w")), F.max(F.col("at") - F.col("lo"))).collect()}
+    found = intervals.stab_totals(p, s, ["file"], "at", "lo", "hi", "v", "w")
+    assert found.columns == ["file", "pairs", "checksum", "deepest"]
+    assert len(want) == 3 and {r["file"]: r[1:] for r in found.collect()} == want
+
+
+def test_blocks_of_spans_are_not_broadcast(spark):
+    """Spans look small before they are cut into blocks."""
+    p = spark.range(1000).select(F.lit("f").alias("file"), F.lit(1).alias("v"), F.col("id").alias("at"))
+    s = spark.range(1000).select(F.lit("f").alias("file"), F.lit(1).alias("w"), F.col("id").alias("lo"), (F.col("id") + 700).alias("hi"))
+    for found in (intervals.stab(p, s, ["file"], "at", "lo", "hi"), intervals.stab_totals(p, s, ["file"], "at", "lo", "hi", "v", "w")):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_heading_paths(spark):
     text = "# A\n\none\n\n## B\n\ntwo\n\n### C\n\nthree\n\n## D\n\nfour\n\n# E\n\nfive\n\n## B\n\nsix"
     files = spark.createDataFrame([("/f.md", text), ("/g.md", "no heading")], "source_path string, text string")
