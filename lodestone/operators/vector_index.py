@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.similarity import cosine_similarity
 from ..shared import exists
-from .retrieval import top_k
+from .retrieval import CELLS, Nearest, slices, top_k
 
 #: Rows that centroids, codebooks and the number of probes are fitted on.
 SAMPLE = 65_536
@@ -235,25 +235,19 @@ class VectorIndex:
 def _scan(rows: DataFrame, of_list: dict[int, np.ndarray], distance: Callable[[pa.RecordBatch, int, np.ndarray, np.ndarray], np.ndarray], k: int, schema: str) -> DataFrame:
     """(query, list, cid, distance): of every task the best k rows of each query among the lists that the query asks for."""
 
+    asked = 1 + max((int(x.max()) for x in of_list.values() if len(x)), default=-1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
+        kept = Nearest(asked, k)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for part in slices(batch, asked):
                 lists = part.column("list").to_numpy(zero_copy_only=False)
                 for name in np.unique(lists).tolist():
                     rows, asking = np.flatnonzero(lists == name), of_list[name]
-                    d = distance(part, name, rows, asking)
-                    hit = np.ones(d.shape, bool) if d.shape[1] <= k else d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-                    qi, at = np.nonzero(hit)
-                    some = pa.table({"query": pa.array(asking[qi], pa.int32()), "list": pa.array(np.full(len(qi), name), pa.int32()), "cid": part.column("cid").take(pa.array(rows[at])), "distance": pa.array(d[qi, at])})
-                    kept = some if kept is None else pa.concat_tables([kept, some])
-            if kept is not None:
-                kept = kept.sort_by([("query", "ascending"), ("distance", "ascending"), ("cid", "ascending")])
-                qs = kept.column("query").to_numpy()
-                kept = kept.filter(pa.array(np.arange(len(qs)) - np.searchsorted(qs, qs) < k)).combine_chunks()
-        if kept is not None:
-            yield from kept.to_batches()
+                    kept.add(distance(part, name, rows, asking), asking, {"list": pa.array(np.full(len(rows), name), pa.int32()), "cid": part.column("cid").take(pa.array(rows))})
+        best = kept.best()
+        if best is not None:
+            yield from best.rename_columns(["query", "list", "cid", "distance"]).to_batches(max_chunksize=CELLS)
 
     return rows.mapInArrow(run, schema)
 
@@ -263,10 +257,12 @@ def _probes(points: np.ndarray, centroids: np.ndarray, target: float, queries: i
     if len(points) < 2:
         return 1
     q, list_of = points[:queries], _nearest(points, centroids)
-    s = q @ points.T
-    s[np.arange(len(q)), np.arange(len(q))] = -np.inf
     k = min(k, len(points) - 1)
-    hits = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    hits = np.empty((len(q), k), np.int64)
+    for lo in range(0, len(q), 64):
+        s = q[lo : lo + 64] @ points.T
+        s[np.arange(len(s)), lo + np.arange(len(s))] = -np.inf
+        hits[lo : lo + 64] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     order = np.argsort(-(q @ centroids.T), axis=1, kind="stable")
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(order.shape[1])[None].repeat(len(q), 0), 1)
