@@ -9,15 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a block; a task holds two blocks and what it makes of their pairs.
-BLOCK = 1024
+#: Rows of a block: the set is cut into ``PARTS`` blocks, whose rows are at least ``LEAST`` and at most ``MOST``. A task holds
+#: two blocks and what it makes of ``SLICE`` of its rows at a time.
+PARTS, LEAST, MOST, SLICE = 12, 1024, 16_384, 256
 
 
-def by_blocks(rows: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, block: int = BLOCK, half: bool = False) -> DataFrame:
+def by_blocks(rows: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, block: int | None = None, half: bool = False, most: int = MOST) -> DataFrame:
     """``compare(a, b, same)`` of every block of ``rows`` (column id) with every block, in a task of its own; ``same``: both are
     the same block. With ``half`` each pair of blocks comes once, in one order. Rows are dealt to blocks by their ids' hashes;
-    n rows are shuffled once for each of the n / ``block`` blocks."""
-    n = max(1, math.ceil(rows.count() / block))
+    n rows are shuffled once for each block: ``PARTS`` times, or, beyond ``PARTS`` blocks of ``most`` rows, n / ``most`` times."""
+    size = rows.count()
+    n = max(1, math.ceil(size / (block or min(most, max(LEAST, math.ceil(size / PARTS))))))
     of = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.withColumn("__a", of).withColumn("__b", every)
