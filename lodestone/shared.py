@@ -37,6 +37,17 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch that holds texts or files; both sides of a Python worker hold a few batches at once.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows, for operators that send texts or files to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def folder(spark: SparkSession, path: str):  # noqa: ANN201
     """(file system, path) of a path of any store that Spark reads."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
