@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import minhash_table
 from ..functions.text import heading_prefix, lexical_score, tokenize
+from ..shared import small_batches
 
 
 def rrf(dense: DataFrame, sparse: DataFrame, dense_weight: float = 0.7, sparse_weight: float = 0.3, constant: int = 60, digits: int = 9) -> DataFrame:
@@ -108,26 +109,45 @@ def ranking_response(ranking: DataFrame, df: DataFrame, k: int) -> DataFrame:
     return _rerank(j, F.asc_nulls_last("order"), F.col("rank")).drop("order").where(F.col("rank") <= k)
 
 
+#: Signatures that a candidate's is compared with at once.
+SIGNATURES = 1024
+
+
 def drop_near_repeats(df: DataFrame, threshold: float = 0.8, permutations: int = 128, text_col: str = "text") -> DataFrame:
     """Greedy in rank order: a candidate stays if it is no near duplicate of any that stayed (one query's pool at a time)."""
-    # A text is signed once, however many queries found it.
+    # A text is signed once, however many queries found it. Only keys and signatures make a pool, not the texts.
+    small_batches(df.sparkSession)
     signatures = minhash_table(df.select("cid", text_col).dropDuplicates(["cid"]), "cid", permutations, text_col).withColumnRenamed("signature", "__sig")
-    signed = df.join(signatures, "cid").select(*df.columns, "__sig")
-    columns = signed.columns
+    keys = df.select("query_id", "cid", "rank")
 
     def pick(pool: pd.DataFrame) -> pd.DataFrame:
         pool = pool.sort_values("rank")
         kept, n, keep = np.empty((len(pool), permutations), "<u4"), 0, []
         for sig in (np.frombuffer(x, "<u4") for x in pool["__sig"]):
-            stays = not ((kept[:n] == sig).mean(axis=1) >= threshold).any()
+            stays = not _any_near(kept[:n], sig, threshold)
             keep.append(stays)
             if stays:
                 kept[n] = sig
                 n += 1
         return pool[np.array(keep, bool)].drop(columns="__sig")
 
-    out = signed.groupBy("query_id").applyInPandas(pick, signed.drop("__sig").schema)
-    return _rerank(out.select(*[c for c in columns if c != "__sig"]), F.col("rank"))
+    stay = keys.join(signatures, "cid").select(*keys.columns, "__sig").groupBy("query_id").applyInPandas(pick, keys.schema)
+    on = [df[c].eqNullSafe(stay[c]) for c in keys.columns]
+    out = df.join(stay, on, "left_semi")
+    return _rerank(out, F.col("rank"))
+
+
+def _any_near(kept: np.ndarray, sig: np.ndarray, threshold: float) -> bool:
+    """Whether any of the signatures shares that part of its slots; ``SIGNATURES`` are compared at once."""
+    return any((_equal_slots(kept[lo : lo + SIGNATURES], sig) / len(sig) >= threshold).any() for lo in range(0, len(kept), SIGNATURES))
+
+
+def _equal_slots(kept: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    same = kept == sig
+    if len(sig) % 8 or len(sig) > 255:
+        return same.sum(axis=1)
+    # Eight slots are added at once, a byte each; the product's highest byte is the sum of the bytes.
+    return same.view(np.uint64).sum(axis=1, dtype=np.uint64) * np.uint64(0x0101010101010101) >> np.uint64(56)
 
 
 def mmr(df: DataFrame, trade_off: float = 0.7, k: int = 10, query_vector: str = "query_vector", vector_col: str = "embedding") -> DataFrame:
