@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..operators import language, migration
-from ..shared import fresh_path
+from ..shared import fresh_path, small_batches
 from ..sources.docx import parse_docx
 from ..sources.parsing import parse_files
 from .registry import Tables, query
@@ -94,10 +94,13 @@ def parsed_files(t: Tables) -> DataFrame:
     )
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"path": b["doc_id"].astype(str), "ext": ".docx", "content": [_word_file(f"Doc {i}", f"A{i}", x.split("\n")) for i, x in zip(b["doc_id"], b["clean"])]})
-
-    word = t.documents.where("doc_id % 3 = 2").select("doc_id", clean.alias("clean")).mapInPandas(write, "path string, ext string, content binary")
-    found = parse_files(plain.unionByName(word))
+        for whole in batches:
+            for b in (whole.iloc[lo : lo + 64] for lo in range(0, len(whole), 64)):
+                yield pd.DataFrame({"path": b["doc_id"].astype(str), "content": [_word_file(f"Doc {i}", f"A{i}", x.split("\n")) for i, x in zip(b["doc_id"], b["clean"])]})
+
+    small_batches(t.spark)
+    word = t.documents.where("doc_id % 3 = 2").select("doc_id", clean.alias("clean")).mapInPandas(write, "path string, content binary")
+    # The extension stands outside of what Python writes, so that readers of other kinds don't have Word files written.
+    found = parse_files(plain.unionByName(word.withColumn("ext", F.lit(".docx"))))
     named = F.coalesce(F.try_element_at("metadata", F.lit("title")), F.try_element_at("metadata", F.lit("author")))
     return found.select(F.col("path").cast("long").alias("doc_id"), F.md5("text").alias("digest"), named.alias("named"))

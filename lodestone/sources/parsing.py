@@ -28,7 +28,7 @@ def parse_files(scanned: DataFrame) -> DataFrame:
     none, nothing = F.lit(None).cast("string").alias("error"), F.lit(None).cast(_PAGES).alias("pages")
     kept = lambda m: F.map_filter(m, lambda _, v: v.isNotNull() & (v != "")).alias("metadata")
 
-    word = parse_docx(rows.where("kind = '.docx'")).join(rows.where("kind = '.docx'").select("path", "ext"), "path").select(*out)
+    word = parse_docx(rows.where("kind = '.docx'"), keep=("ext",)).select(*out)
     decoded = decode_text(rows.where(~F.col("kind").isin(".docx", *UNREAD)).withColumn("content", F.coalesce("content", F.lit(b"")))).drop("content")
     html = decoded.where(F.col("kind").isin(".html", ".htm"))
     page = parse_html(html.withColumnRenamed("text", "html"), "path").join(html.select("path", "ext"), "path")
