@@ -205,7 +205,7 @@ class WindowGate:
     def look(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each text its number of words, and whether any of its windows is an item's by hash."""
         counts, hit = np.zeros(len(column), np.int64), np.zeros(len(column), bool)
-        for lo, hi, data, offsets in K.text_slices(column):
+        for lo, hi, data, offsets in K.text_slices(column, K.SMALL_SLICE_BYTES):
             h, first = K.words(data, offsets, K.ALNUM)
             counts[lo:hi] = np.diff(first)
             for size, (shift, bits, every) in self.tables.items():

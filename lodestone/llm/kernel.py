@@ -19,6 +19,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of text hashed at once; a longer single text makes a slice of its own.
 SLICE_BYTES = 1 << 20
+#: The same for workers that several steps share: tables of powers and arrays of a slice take a quarter.
+SMALL_SLICE_BYTES = 1 << 18
 
 def _table(word_bytes: range | list[int], lower: bool) -> np.ndarray:
     """0 for separators, else the byte (A-Z in lower case on request) plus 1."""

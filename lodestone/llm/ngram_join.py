@@ -35,15 +35,17 @@ from .components import connected_components
 from .scratch import materialize, release
 
 FREQUENCY_BLOCK, MOST_FREQUENCY_BITS = 20, 26
+#: Cells (4 bytes each) that a task holds before it counts them.
+HELD_CELLS = 1 << 22
 FRAGMENTS = 8
-#: Pairs that may be broadcast: 16 MB.
+#: Pairs that may be broadcast: 16 MB. As many holders: 8 MB.
 BROADCAST_PAIRS = 500_000
 PREFILTER_ROWS, MOST_PREFILTER_BITS = 3, 28
 
 
 def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, sorted distinct n-gram hashes, index of each row's first) of runs of rows."""
-    for lo, _, data, offsets in K.text_slices(column):
+    for lo, _, data, offsets in K.text_slices(column, K.SMALL_SLICE_BYTES):
         h, first = K.words(data, offsets, K.LOWER)
         n_words = np.diff(first)
         at, row = K.spans_to_index(first[:-1], np.maximum(n_words - size + 1, 0))
@@ -60,6 +62,31 @@ def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.nda
         yield lo, grams, np.searchsorted(row, np.arange(len(offsets)))
 
 
+def _partial_counts(columns: Iterator[pa.Array], size: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """(block, cells): how often each cell comes, in turns of some HELD_CELLS n-grams; a block's turns are added up later."""
+
+    def counted(cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cells.sort()
+        edge = np.searchsorted(cells, np.arange(0, (1 << bits) + 1, 1 << FREQUENCY_BLOCK, np.uint32))
+        for block in np.flatnonzero(np.diff(edge)).tolist():
+            cell, n = np.unique(cells[edge[block] : edge[block + 1]], return_counts=True)
+            pair = np.concatenate([np.diff(cell & (1 << FREQUENCY_BLOCK) - 1, prepend=0), n]).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zlib.compress(pair.tobytes(), 1)], pa.binary())], ["block", "cells"])
+
+    held, n_held = np.empty(HELD_CELLS, np.uint32), 0
+    for column in columns:
+        for _, grams, _ in _sets(column, size):
+            cells = (grams >> np.uint64(64 - bits)).astype(np.uint32)
+            while len(cells):
+                part, cells = cells[: len(held) - n_held], cells[len(held) - n_held :]
+                held[n_held : n_held + len(part)] = part
+                n_held += len(part)
+                if n_held == len(held):
+                    yield from counted(held)
+                    n_held = 0
+    yield from counted(held[:n_held])
+
+
 def _frequencies(docs: DataFrame, size: int, total_bytes: int) -> tuple[int, dict[int, bytes], np.ndarray]:
     """(bits, compressed blocks, cuts). A one-row count sketch over all documents says for each cell how far its count
     is above the mean, in quarter powers of two. Cells grow with the text up to a bound; blocks are summed and graded
@@ -67,15 +94,7 @@ def _frequencies(docs: DataFrame, size: int, total_bytes: int) -> tuple[int, dic
     bits = min(MOST_FREQUENCY_BITS, max(FREQUENCY_BLOCK, round(math.log2(max(1, total_bytes) / 50))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [np.zeros(0, np.int64)]
-        for batch in batches:
-            for _, grams, _ in _sets(batch.column(0), size):
-                found.append((grams >> np.uint64(64 - bits)).astype(np.int64))
-        cell, n = np.unique(np.concatenate(found), return_counts=True)
-        for block in np.unique(cell >> FREQUENCY_BLOCK):
-            lo, hi = np.searchsorted(cell, [block << FREQUENCY_BLOCK, block + 1 << FREQUENCY_BLOCK])
-            pair = np.concatenate([np.diff(cell[lo:hi] & (1 << FREQUENCY_BLOCK) - 1, prepend=0), n[lo:hi]]).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zlib.compress(pair.tobytes(), 1)], pa.binary())], ["block", "cells"])
+        yield from _partial_counts((batch.column(0) for batch in batches), size, bits)
 
     def grade(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << FREQUENCY_BLOCK, np.int64)
@@ -203,10 +222,13 @@ def _possible(percent: int, n: str, at: str, n2: str, at2: str) -> Column:
 
 
 def _rows_of(base: DataFrame, holders: DataFrame) -> DataFrame:
-    """(node, text) of the holders (node, id). A Bloom filter of their ids, of bounded size, keeps most other texts out
-    of the shuffle; the join decides."""
+    """(node, text) of the holders (node, id). Few holders are broadcast. Of more, a Bloom filter of their ids, of bounded
+    size, keeps most other texts out of the shuffle; the join decides. Either way no stage has Python twice, which would
+    double the workers that an executor holds, also in the steps after it."""
     spark = base.sparkSession
     n = holders.count()
+    if n <= BROADCAST_PAIRS:
+        return base.select("id", "text").join(F.broadcast(holders), "id").select("node", "text")
     bits = min(MOST_PREFILTER_BITS, max(12, math.ceil(math.log2(max(1, n) * 12))))
 
     def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +244,7 @@ def _rows_of(base: DataFrame, holders: DataFrame) -> DataFrame:
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             yield batch.filter(pa.array(S.repeated(ids, planes, bits)))
 
-    return K.map_batches(base.select("id", "text"), maybe, "id long, text string").join(holders, "id").select("node", "text")
+    return K.map_batches(base.select("id", "text"), maybe, "id long, text string").join(holders.hint("merge"), "id").select("node", "text")
 
 
 def _left(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:

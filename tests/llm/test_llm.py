@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -647,6 +648,41 @@ def test_ngram_join_of_empty_partitions(spark):
     assert sorted(map(tuple, ngram_join.similar_sets(parts).collect())) == sorted(ngram_join.brute_force(empty + full))
 
 
+def test_texts_of_holders_meet_python_once(spark, monkeypatch):
+    """No stage of the n-gram join has Python twice: each such task would hold two workers."""
+    base = spark.createDataFrame([(i, f"t{i}") for i in range(50)] + [(7, "again"), (None, "none")], "id long, text string").repartition(3)
+    holders = materialize(spark.createDataFrame([(100 + i, i) for i in range(0, 50, 7)], "node long, id long"), "holders")
+    want = sorted([(100 + i, f"t{i}") for i in range(0, 50, 7)] + [(107, "again")])
+    few = ngram_join._rows_of(base, holders)
+    assert sorted(map(tuple, few.collect())) == want
+    assert "InArrow" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ngram_join, "BROADCAST_PAIRS", 0)
+    many = ngram_join._rows_of(base, holders)
+    assert sorted(map(tuple, many.collect())) == want
+    assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()  # what Python gives is shuffled before the next Python
+    base = [(i, " ".join(f"w{(i % 10) * 100 + k}" for k in range(40)) + f" x{i % 3}") for i in range(30)]
+    assert sorted(map(tuple, ngram_join.similar_sets(table(spark, base)).collect())) == sorted(ngram_join.brute_force(base))
+
+
+def test_counting_ngrams_holds_a_bounded_array(monkeypatch):
+    monkeypatch.setattr(ngram_join, "HELD_CELLS", 1 << 17)
+    rng = np.random.default_rng(3)
+    columns = [pa.array([" ".join(map(str, rng.integers(0, 10**6, 2000))) for _ in range(50)]) for _ in range(20)]
+    total, bits = np.zeros(1 << 21, np.int64), 21
+    tracemalloc.start()
+    for batch in ngram_join._partial_counts(iter(columns), 5, bits):
+        at, n = np.frombuffer(zlib.decompress(batch.column(1)[0].as_py()), np.uint32).reshape(2, -1)
+        np.add.at(total, (batch.column(0)[0].as_py() << 20) + np.cumsum(at.astype(np.int64)), n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.zeros(1 << 21, np.int64)
+    for column in columns:
+        for _, grams, _ in ngram_join._sets(column, 5):
+            np.add.at(want, (grams >> np.uint64(64 - bits)).astype(np.int64), 1)
+    assert (total == want).all() and total.sum() > 1_900_000
+    assert peak < 32 << 20  # all n-grams at once, eight bytes each and sorted, took 77 MB
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(k, k + 1) for k in range(0, 40)] + [(100, 200), (200, 150), (7, 7)] + [(rng.randint(300, 340), rng.randint(300, 340)) for _ in range(25)]
