@@ -41,8 +41,10 @@ def strip(c: Column) -> Column:
 
 
 def words_of(c: Column) -> Column:
-    """Lower-case words between white space, with multiplicity."""
-    return F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "")
+    """Lower-case words between blanks, tabs, line and form feeds, with multiplicity, as in the SQL: a vertical tab is part of
+    a word, and letters are lowered one by one (a last sigma as any other, a dotted I to an i)."""
+    plain = F.replace(F.replace(c, F.lit("\u03a3"), F.lit("\u03c3")), F.lit("\u0130"), F.lit("i"))
+    return F.filter(F.split(F.lower(plain), r"[ \t\n\f\r]+"), lambda x: x != "")
 
 
 def normalize_whitespace(c: Column) -> Column:
